@@ -26,29 +26,26 @@ ID_BYTES = 17
 TEXT_FRAME_BYTES = 5
 
 
-def _value_bytes(column: Column, kind: T.DataType) -> Column:
+def _value_bytes(path: str, kind: T.DataType) -> str:
     if isinstance(kind, T.StringType):
-        return F.octet_length(column) + TEXT_FRAME_BYTES
+        return f"octet_length({path}) + {TEXT_FRAME_BYTES}"
     if isinstance(kind, T.StructType):
-        return _fields_bytes(kind, lambda name: column.getField(name)) + DOCUMENT_BYTES
-    return F.lit(VALUE_BYTES[type(kind)])
+        return f"{_fields_bytes(kind, path + '.')} + {DOCUMENT_BYTES}"
+    return str(VALUE_BYTES[type(kind)])
 
 
-def _fields_bytes(schema: T.StructType, get) -> Column:
+def _fields_bytes(schema: T.StructType, prefix: str = "") -> str:
     names = sum(len(field.name.encode()) + 2 for field in schema.fields)
-    total = F.lit(names).cast("long")
+    parts = [f"{names}L"]
     for field in schema.fields:
-        column = get(field.name)
-        total = total + F.when(column.isNull(), 0).otherwise(
-            _value_bytes(column, field.dataType)
-        )
-    return total
+        path = f"{prefix}`{field.name}`"
+        parts.append(f"if({path} IS NULL, 0, {_value_bytes(path, field.dataType)})")
+    return " + ".join(parts)
 
 
 def document_bytes(df: DataFrame) -> Column:
     """Bytes of one row of `df` as a document with an object id."""
-    fields = _fields_bytes(df.schema, lambda name: F.col(f"`{name}`"))
-    return fields + (DOCUMENT_BYTES + ID_BYTES)
+    return F.expr(f"{_fields_bytes(df.schema)} + {DOCUMENT_BYTES + ID_BYTES}")
 
 
 def megabytes(size: Column) -> Column:

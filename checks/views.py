@@ -35,9 +35,13 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders: one per line. `order_ref` is the key that payments name."""
     lines = table(spark, sf_dir, "lineitem")
     heads = table(spark, sf_dir, "orders")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    total = (price * (F.lit(1) - discount)).cast("decimal(18,4)")
+    # Price in cents times what is left of the price in percent is the total in 1/10000.
+    price = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    left = 100 - F.rint(F.col("l_discount") * 100).cast("long")
+    total = (price * left) / F.lit(10000.0)
+    # Times the tax in percent it is the tax in 1/1000000, rounded to 1/10000.
+    tax_share = F.rint(F.col("l_tax") * 100).cast("long")
+    tax = F.floor((price * left * tax_share + 50) / 100) / F.lit(10000.0)
     return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
         F.col("l_orderkey").alias("order_ref"),
@@ -46,8 +50,8 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("timestamp"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         total.alias("total_amount"),
-        F.lit(0).cast("decimal(18,4)").alias("shipping_cost"),
-        (total * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("tax_amount"),
+        F.lit(0.0).alias("shipping_cost"),
+        tax.alias("tax_amount"),
         F.col("o_orderstatus").alias("order_status"),
     )
 
@@ -91,7 +95,7 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("order_id"),
         F.col("user_id").alias("customer_id"),
         F.col("ts").alias("timestamp"),
-        F.col("value").cast("decimal(18,4)").alias("total_amount"),
+        F.col("value").alias("total_amount"),
         F.lit(1).cast("bigint").alias("quantity"),
     )
 

@@ -1,39 +1,58 @@
 """Exact money arithmetic.
 
 Amounts are stored as doubles. A sum of doubles depends on the order in which tasks deliver
-their parts, so amounts are summed as decimals and become doubles only at the very end.
+their parts, so amounts are summed as whole ticks of 1/10000: a long per group, exact for
+amounts of up to four decimals, and far cheaper than a decimal sum. A total beyond 9.2e14
+raises an overflow error under Spark's ANSI mode (the default) and is never wrong silently.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F, types as T
 
+# What an amount must fit to be accepted at ingest.
 MONEY = T.DecimalType(18, 4)
+TICKS = 10_000
+
+
+def ticks(column: str | Column) -> Column:
+    """An amount, double or decimal, as a whole number of ticks."""
+    amount = F.col(column) if isinstance(column, str) else column
+    return F.rint(amount * TICKS).cast("long")
+
+
+def exact(total: Column) -> Column:
+    """Summed ticks as a decimal amount."""
+    return total.cast("decimal(19,0)") * F.lit(Decimal(1) / TICKS)
 
 
-def money(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast(MONEY)
+def as_double(total: Column) -> Column:
+    """Summed ticks as a double amount."""
+    return exact(total).cast("double")
 
 
-def as_double(column: Column) -> Column:
-    return column.cast("double")
+def cents(total: Column) -> Column:
+    """Summed ticks as a double amount, rounded to cents before it leaves the decimal."""
+    return F.round(exact(total), 2).cast("double")
 
 
 def mean(total: Column, count: Column) -> Column:
-    """Total by count; null where there is nothing to count."""
-    return F.try_divide(as_double(total), as_double(count))
+    """Summed ticks by count; null where there is nothing to count."""
+    return F.try_divide(as_double(total), count.cast("double"))
 
 
 def percentage(part: Column, whole: Column) -> Column:
     """Part of whole in percent, 0 where the whole is 0."""
-    return F.coalesce(F.try_divide(as_double(part) * 100, as_double(whole)), F.lit(0.0))
+    share = F.try_divide(part.cast("double") * 100, whole.cast("double"))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def percent_change(new: Column, old: Column) -> Column:
-    """Change from old to new in percent, 0 where old is not positive."""
-    change = F.try_divide(new - old, old) * 100
-    return F.when(new.isNull() | old.isNull(), F.lit(None).cast("double")).otherwise(
-        F.when(old > 0, change).otherwise(F.lit(0.0))
+    """Change from old to new in percent: 0 where old is not positive, null where unknown."""
+    return F.when(old > 0, F.try_divide(new - old, old) * 100).when(
+        new.isNotNull() & old.isNotNull(), F.lit(0.0)
     )
 
 

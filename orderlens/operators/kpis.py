@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.functions.money import as_double, mean, money, percentage
+from orderlens.functions.money import TICKS, as_double, cents, mean, percentage, ticks
 from orderlens.functions.text import pair_label
 from orderlens.functions.times import AsOf, minute, minute_label
 from orderlens.operators.star import UNKNOWN
@@ -26,7 +26,8 @@ def order_count(df: DataFrame) -> Column:
 
 
 def revenue(df: DataFrame) -> Column:
-    return F.sum("revenue") if "revenue" in df.columns else F.sum(money("total_amount"))
+    """Summed ticks."""
+    return F.sum("revenue") if "revenue" in df.columns else F.sum(ticks("total_amount"))
 
 
 def units(df: DataFrame) -> Column:
@@ -59,11 +60,11 @@ def order_summary(orders: DataFrame) -> DataFrame:
 
 
 def _rounded_summary(totals: DataFrame, *more: str) -> DataFrame:
-    revenue_sum = F.coalesce(F.col("sum_revenue"), F.lit(0))
+    revenue_sum = F.coalesce(F.col("sum_revenue"), F.lit(0).cast("long"))
     average = mean(F.col("sum_revenue"), F.col("total_orders"))
     return totals.select(
         "total_orders",
-        as_double(F.round(revenue_sum, 2)).alias("total_revenue"),
+        cents(revenue_sum).alias("total_revenue"),
         F.round(average, 2).alias("avg_order_value"),
         *more,
     )
@@ -84,7 +85,7 @@ def revenue_by_state_category(
         F.count_distinct("customer_id").alias("unique_customers"),
         revenue(df).alias("sum_revenue"),
     )
-    kept = groups.where(F.col("sum_revenue") > F.lit(min_revenue))
+    kept = groups.where(F.col("sum_revenue") > F.lit(min_revenue * TICKS))
     return _top(kept, "sum_revenue", ["customer_state", "product_category"], k).select(
         "customer_state",
         "product_category",
@@ -174,7 +175,7 @@ def payment_metrics(df: DataFrame) -> DataFrame:
     """Count and mean processing time per method and status."""
     groups = df.groupBy("payment_method", "payment_status").agg(
         F.count(F.lit(1)).alias("count"),
-        F.sum(money("processing_time")).alias("sum_time"),
+        F.sum(ticks("processing_time")).alias("sum_time"),
         F.count("processing_time").alias("timed"),
     )
     return groups.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.functions.money import clamp, money
+from orderlens.functions.money import MONEY, clamp
 
 # Least and greatest discount factor, and the base shipping fee.
 LOWEST_FACTOR = "0.7"
@@ -12,6 +12,10 @@ HIGHEST_FACTOR = "1.0"
 SHIPPING_BASE = "2.99"
 
 
+def money(column) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast(MONEY)
+
+
 def derive_order_measures(df: DataFrame) -> DataFrame:
     """Unit price, total, tax and shipping from `list_price`, `discount_factor`,
     `quantity`, `tax_rate` and `shipping_extra`, each rounded to cents."""

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.functions.money import money
+from orderlens.functions.money import ticks
 from orderlens.functions.times import minute
 from orderlens.operators.star import customer_dim, product_dim
 from orderlens.session import work_dir
@@ -34,7 +34,7 @@ def roll_up(orders: DataFrame, customers: DataFrame, products: DataFrame) -> Dat
             "customer_id",
             "product_id",
             minute("timestamp").alias("minute_start"),
-            money("total_amount").alias("amount"),
+            ticks("total_amount").alias("amount"),
             "quantity",
         )
         .join(product_dim(products).select("product_id", "product_category"), "product_id")

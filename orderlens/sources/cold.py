@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orderlens.functions.money import as_double, money
+from orderlens.functions.money import as_double, ticks
 from orderlens.operators.star import product_dim
 
 
@@ -28,13 +28,13 @@ def total_sql(spark: SparkSession, path: str) -> DataFrame:
 
 def category_revenue(archive: DataFrame) -> DataFrame:
     """Revenue and orders per category of a nested archive, largest revenue first."""
-    return _by_category(archive, F.col("product.category"), money("`order`.total_amount"))
+    return _by_category(archive, F.col("product.category"), ticks("`order`.total_amount"))
 
 
 def category_revenue_flat(archive: DataFrame, products: DataFrame) -> DataFrame:
     """The same of a flat archive, with the products that orders name."""
     joined = archive.join(product_dim(products), "product_id", "inner")
-    return _by_category(joined, F.col("product_category"), money("total_amount"))
+    return _by_category(joined, F.col("product_category"), ticks("total_amount"))
 
 
 def _by_category(df: DataFrame, category: Column, amount: Column) -> DataFrame:

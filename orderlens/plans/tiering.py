@@ -136,11 +136,11 @@ def record_archive(row: DataFrame, cold: str, database: str, archive_id: str) ->
     The table is partitioned by archive id and the row replaces its partition, so recording
     an archive twice leaves one row.
     """
-    (
-        row.select(*schemas.MANIFEST.names)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .insertInto(f"{database}.{MANIFEST_TABLE}")
+    columns = ", ".join(f"`{name}`" for name in schemas.MANIFEST.names if name != "archive_id")
+    row.sparkSession.sql(
+        f"INSERT OVERWRITE {database}.{MANIFEST_TABLE} PARTITION (archive_id = '{archive_id}')"
+        f" SELECT {columns} FROM {{row}}",
+        row=row,
     )
     row.write.mode("overwrite").json(f"{cold}/{METADATA}/{archive_id}")
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from orderlens import schemas
-from orderlens.functions.sizes import megabytes
+from orderlens.functions.sizes import MIB, megabytes
 from orderlens.functions.times import AsOf, minutes_before, moment
-from orderlens.operators.health import ARCHIVE_AT_MB, archive_gate, tier_size
+from orderlens.operators.health import ARCHIVE_AT_MB, archive_gate
 from orderlens.sources import files
 from orderlens.sources.store import HotStore
 
@@ -170,26 +170,13 @@ def archive_count(spark: SparkSession, database: str) -> DataFrame:
 
 
 def archive_report(
-    archived: DataFrame, left: DataFrame, size_before: DataFrame, size_after: DataFrame
+    spark: SparkSession, archived: int, remaining: int, bytes_before: int, bytes_after: int
 ) -> DataFrame:
     """Archived and remaining orders, and the hot tier's size before and after."""
-    zero = F.lit(0).cast("long")
-
-    def part(df: DataFrame, name: str, value: Column) -> DataFrame:
-        names = ["archived_orders", "remaining_orders", "bytes_before", "bytes_after"]
-        return df.agg(*[(value if n == name else zero).alias(n) for n in names])
-
-    rows = (
-        part(archived, "archived_orders", F.count(F.lit(1)))
-        .unionByName(part(left, "remaining_orders", F.count(F.lit(1))))
-        .unionByName(part(size_before, "bytes_before", F.sum("bytes")))
-        .unionByName(part(size_after, "bytes_after", F.sum("bytes")))
-    )
-    sums = rows.agg(*[F.sum(name).alias(name) for name in rows.columns])
-    before, after = megabytes(F.col("bytes_before")), megabytes(F.col("bytes_after"))
-    return sums.select(
-        "archived_orders",
-        "remaining_orders",
+    before, after = (megabytes(F.lit(n)) for n in (bytes_before, bytes_after))
+    return spark.range(1).select(
+        F.lit(archived).cast("long").alias("archived_orders"),
+        F.lit(remaining).cast("long").alias("remaining_orders"),
         before.alias("size_before_mb"),
         after.alias("size_after_mb"),
         (before - after).alias("saved_mb"),
@@ -212,8 +199,7 @@ def archive_old_orders(
     spark = store.spark
     through = store.committed()
     orders = store.orders(through)
-    size = tier_size([orders, *(t for n, t in store.tables().items() if n != "orders")])
-    gate = archive_gate(size, threshold_mb).first()
+    gate = archive_gate(store.size(through), threshold_mb).first()
     if not gate["needs_archiving"]:
         return None
     if isinstance(cutoff, Column) or cutoff is None:
@@ -230,17 +216,16 @@ def archive_old_orders(
         raise RuntimeError(f"archive {archive_id} holds {written} of {expected} orders")
 
     location = archive_path(cold, archive_id)
-    size_before = gate["bytes"] / (1024 * 1024)
+    size_before = gate["bytes"] / MIB
     create_catalog(spark, cold, database)
     row = manifest_row(archive, archive_id, location, cutoff, size_before)
     record_archive(row, cold, database, archive_id)
     register_archive(spark, cold, database, archive_id, archive.schema)
 
     store.rebase("orders", remainder(orders, cutoff), through)
-    before = spark.range(1).select(F.lit(gate["bytes"]).alias("bytes"))
-    return archive_report(
-        archive, store.orders(through), before, tier_size(list(store.tables().values()))
-    )
+    remaining, _ = store.order_size(through)
+    after = store.size(through).first()
+    return archive_report(spark, written, remaining, gate["bytes"], after["bytes"])
 
 
 def _fixed(spark: SparkSession, point: Column) -> str:

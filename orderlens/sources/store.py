@@ -3,11 +3,15 @@
     <root>/<table>/changes/batch_id=<n>   rows of one micro-batch, replaced on a replay
     <root>/<table>/base/<mark>            rows of all batches up to the mark's batch
     <root>/<table>/_base/<mark>           marker: this base is in force
+    <root>/<table>/_sizes/<part>-<r>-<b>  marker: a batch or base has r rows of b bytes
     <root>/_committed/<n>                 marker: batch n is whole in every table
 
 A batch becomes visible in all tables at once, when its marker is set. A base is put in
 force the same way, so maintenance runs beside ingest: batches after the base stay as they
 are, and a reader keeps the state it resolved when it built its plan.
+
+Sizes are taken when a part is written, from that part alone, so asking how large the tier
+is means adding up names and reads no order.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orderlens import schemas
 from orderlens.operators.changes import PRESENT, fold, merge
+from orderlens.operators.health import tier_size
 from orderlens.sources import files
 
 BATCH = "batch_id"
 
+# Tables whose rows are documents as they stand. Of the others only the folded state counts.
+SIZED = ("orders",)
+
 SCHEMAS = {
     "orders": schemas.ORDERS,
     "customers": T.StructType([*schemas.CUSTOMERS.fields, schemas.PRESENT]),
@@ -44,6 +52,8 @@ class HotStore:
             columns = SCHEMAS[table].names
             target = f"{self.root}/{table}/changes/{BATCH}={batch_id}"
             frame.select(*columns).write.mode("overwrite").parquet(target)
+            if table in SIZED:
+                self._note_size(table, f"{batch_id:020d}", target)
         files.set_marker(self.spark, f"{self.root}/_committed", f"{batch_id:020d}")
 
     def rebase(self, table: str, rows: DataFrame, through: int) -> None:
@@ -52,8 +62,19 @@ class HotStore:
         mark = f"{through + 1:020d}.{count:010d}"
         target = f"{self.root}/{table}/base/{mark}"
         rows.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(target)
+        if table in SIZED:
+            self._note_size(table, mark, target)
         files.set_marker(self.spark, f"{self.root}/{table}/_base", mark)
 
+    def _note_size(self, table: str, part: str, path: str) -> None:
+        written = self.spark.read.schema(SCHEMAS[table]).parquet(path)
+        size = tier_size([written]).first()
+        folder = f"{self.root}/{table}/_sizes"
+        for name in files.names(self.spark, folder):
+            if name.startswith(f"{part}-"):
+                files.drop(self.spark, f"{folder}/{name}")
+        files.set_marker(self.spark, folder, f"{part}-{size['rows']}-{size['bytes']}")
+
     def compact(self, table: str) -> None:
         """Fold all batches into a new base, so that readers have less to merge."""
         through = self.committed()
@@ -73,6 +94,10 @@ class HotStore:
         for name in files.names(self.spark, f"{self.root}/{table}/changes"):
             if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) <= _through(mark):
                 files.drop(self.spark, f"{self.root}/{table}/changes/{name}")
+        for name in files.names(self.spark, f"{self.root}/{table}/_sizes"):
+            part = name.split("-")[0]
+            if part < mark if "." in part else int(part) <= _through(mark):
+                files.drop(self.spark, f"{self.root}/{table}/_sizes/{name}")
 
     # -- reading ---------------------------------------------------------------------
 
@@ -104,6 +129,28 @@ class HotStore:
             "payments": self.payments(),
         }
 
+    def order_size(self, through: int | None = None) -> tuple[int, int]:
+        """Rows and document bytes of the orders, from the sizes noted at each write."""
+        through = self.committed() if through is None else through
+        base = files.top_marker(self.spark, f"{self.root}/orders/_base")
+        after = -1 if base is None else _through(base)
+        rows = size = 0
+        for name in files.names(self.spark, f"{self.root}/orders/_sizes"):
+            part, *numbers = name.split("-")
+            if part == base or ("." not in part and after < int(part) <= through):
+                rows += int(numbers[0])
+                size += int(numbers[1])
+        return rows, size
+
+    def size(self, through: int | None = None) -> DataFrame:
+        """Rows and bytes of the whole tier, in one row."""
+        rows, size = self.order_size(through)
+        orders = self.spark.range(1).selectExpr(f"{rows}L AS rows", f"{size}L AS bytes")
+        rest = tier_size([self.customers(), self.products(), self.payments()])
+        return orders.unionByName(rest).agg(
+            F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")
+        )
+
     def _nothing(self, table: str) -> DataFrame:
         fields = SCHEMAS[table].fields
         nulls = [f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields]

@@ -126,6 +126,30 @@ def test_rebase_keeps_later_batches_and_old_readers(spark, folder):
     assert files.names(spark, f"{folder}/orders/changes") == ["batch_id=1"]
 
 
+def test_noted_sizes_are_the_sizes(spark, folder):
+    from orderlens.operators.health import tier_size
+
+    store = HotStore(spark, folder)
+
+    def noted():
+        return tuple(store.order_size())
+
+    def counted():
+        return rows(tier_size([store.orders()]))[0]
+
+    assert noted() == (0, 0)
+    store.write_batch(0, {"orders": order_frame(spark, [-1, 10, 200])})
+    store.write_batch(1, {"orders": order_frame(spark, [3])})
+    assert noted() == counted() and noted()[0] == 4
+    store.rebase("orders", order_frame(spark, [200]), 0)
+    assert noted() == counted() and noted()[0] == 2
+    store.rebase("orders", order_frame(spark, [200, 10]), 0)
+    store.vacuum("orders")
+    assert noted() == counted() and noted()[0] == 3
+    store.write_batch(2, {"customers": customer_change(spark, "x", name="Ann")})
+    assert rows(store.size())[0][0] == 4
+
+
 def customer_change(spark, key, **fields):
     given = {"customer_id": key, **fields}
     columns = [

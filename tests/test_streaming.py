@@ -81,7 +81,9 @@ def test_batches_do_not_matter(spark, folder):
     one = run(spark, folder)
     source = {"kind": "files", "path": folder + "/in", "maxFilesPerTrigger": "1"}
     stream = sources.read_events(spark, source)
-    ingest.start_ingest(spark, stream, folder + "/many", ONCE).awaitTermination()
+    ingest.start_ingest(
+        spark, stream, folder + "/many", ONCE, compact_every=3
+    ).awaitTermination()
     many = HotStore(spark, folder + "/many")
     assert one.committed() == 0 and many.committed() == 7
     left, right = contents(one), contents(many)

@@ -85,3 +85,41 @@ def test_results_do_not_depend_on_the_join_strategy(spark, sf_dir, no_broadcast)
     for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(key, "64m")
     assert rows(kpis.revenue_by_state_category(queries.joined(spark, sf_dir))) == without
+
+
+def test_hot_keys_are_split_in_the_join(spark, no_broadcast):
+    """One customer with a third of the orders, in tables too large to broadcast."""
+    from pyspark.sql import functions as F
+
+    n = 300_000
+    customer = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.pmod(F.hash("id"), F.lit(5000)))
+    orders = spark.range(0, n, 1, 16).select(
+        F.col("id").alias("order_id"),
+        customer.cast("long").alias("customer_id"),
+        F.pmod(F.hash("id", F.lit(1)), F.lit(900)).cast("long").alias("product_id"),
+        F.timestamp_seconds(F.col("id")).alias("timestamp"),
+        F.lit(1).alias("quantity"),
+        F.lit(1.0).alias("total_amount"),
+    )
+    customers = spark.range(5000).select(
+        F.col("id").alias("customer_id"), (F.col("id") % 50).cast("string").alias("state")
+    )
+    products = spark.range(900).select(
+        F.col("id").alias("product_id"), (F.col("id") % 9).cast("string").alias("category")
+    )
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        result = kpis.orders_by_state(star.orders_joined(orders, customers, products), 100)
+        found = {r["state"]: r["order_count"] for r in result.collect()}
+        assert "skew=true" in plan(result)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(found.values()) == n and found["7"] >= n // 3

@@ -9,6 +9,7 @@ from checks.queries import (
     GATE_MB,
     MIN_REVENUE,
     NO_CATEGORY,
+    NO_SEGMENT,
     NO_STATE,
     RATE_AS_OF,
 )
@@ -87,7 +88,7 @@ WITH fact0 AS (
                     + strlen(order_status)) AS BIGINT) AS bytes
     FROM hot WHERE "timestamp" >= TIMESTAMP '{cutoff}'
 ), event AS (
-    SELECT printf('ORD_%08d', j.order_id) AS order_id, j.order_id AS number,
+    SELECT printf('ORD_%08d', j.order_id) AS order_id, product_brand AS brand,
            strftime(j."timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp",
            CAST(total_amount AS DOUBLE) AS total_amount, CAST(quantity AS INTEGER) AS quantity,
            CAST(2.99 AS DOUBLE) AS shipping_cost, CAST(tax_amount AS DOUBLE) AS tax_amount,
@@ -216,12 +217,12 @@ def upsert(key_name: str, key: str, always: str, first: str, sometimes: str, sec
 
 
 BROKEN_REASON = """
-    CASE WHEN number % 101 = 0 THEN 'no order'
-         WHEN number % 103 = 0 THEN 'no payment'
-         WHEN number % 107 = 0 THEN 'bad order'
-         WHEN number % 109 = 0 THEN 'order lacks a field'
-         WHEN number % 113 = 0 THEN 'no product_id'
-         ELSE 'kept' END
+    CASE brand WHEN 'Brand#1' THEN 'no order'
+               WHEN 'Brand#2' THEN 'no payment'
+               WHEN 'Brand#3' THEN 'bad order'
+               WHEN 'Brand#4' THEN 'order lacks a field'
+               WHEN 'Brand#5' THEN 'no product_id'
+               ELSE 'kept' END
 """
 
 ORACLES: dict[str, str] = {
@@ -240,10 +241,10 @@ ORACLES: dict[str, str] = {
     """,
     "flatten_event": FULL_EVENT,
     "ingest_decode": FULL_EVENT,
-    "dim_defaults": """
+    "dim_defaults": f"""
         SELECT customer_id, name AS customer_name,
-               CASE WHEN customer_id % 7 <> 0 THEN state ELSE 'Unknown' END AS customer_state,
-               CASE WHEN customer_id % 5 <> 0 THEN segment ELSE 'Regular' END
+               CASE WHEN state <> '{NO_STATE}' THEN state ELSE 'Unknown' END AS customer_state,
+               CASE WHEN segment <> '{NO_SEGMENT}' THEN segment ELSE 'Regular' END
                    AS customer_segment,
                'Unknown' AS customer_city
         FROM cust
@@ -303,13 +304,13 @@ ORACLES: dict[str, str] = {
                           CAST(tax_amount AS DOUBLE) AS tax_amount)
         FROM full15
     """,
-    "join_coverage": """
+    "join_coverage": f"""
         SELECT count(*) AS loaded_orders,
-               count(*) FILTER (WHERE customer_id % 11 <> 0 AND product_id % 13 <> 0)
-                   AS joined_orders,
-               count(*) FILTER (WHERE customer_id % 11 = 0) AS without_customer,
-               count(*) FILTER (WHERE product_id % 13 = 0) AS without_product
-        FROM fact
+               count(*) FILTER (WHERE customer_state <> '{NO_STATE}'
+                                AND product_category <> '{NO_CATEGORY}') AS joined_orders,
+               count(*) FILTER (WHERE customer_state = '{NO_STATE}') AS without_customer,
+               count(*) FILTER (WHERE product_category = '{NO_CATEGORY}') AS without_product
+        FROM j
     """,
     "kpi_summary": SUMMARY,
     "refresh_results": SUMMARY,
@@ -439,7 +440,7 @@ ORACLES: dict[str, str] = {
         SELECT rows, bytes, bytes / 1048576.0 >= {GATE_MB} AS needs_archiving FROM hot_size
     """,
     "storage_stats": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count, 1 AS file_count,"
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(1 AS BIGINT) AS file_count,"
         f" true AS has_size FROM {name}"
         for name in ("lineitem", "orders", "customer", "part", "nation", "events")
     ),
@@ -469,7 +470,7 @@ ORACLES: dict[str, str] = {
         FROM hot_size h, left_size l
     """,
     "archive_inventory": f"""
-        SELECT 2 AS total_archives,
+        SELECT CAST(2 AS BIGINT) AS total_archives,
                count(*) + count(*) FILTER (WHERE "timestamp" < TIMESTAMP '{EARLIER_CUTOFF}')
                    AS total_records,
                true AS has_size
@@ -499,7 +500,7 @@ ORACLES: dict[str, str] = {
             f" FROM ({PAYMENT_METRICS.format(status='status', source='pay')})",
         ]
     ),
-    "published_count": "SELECT 8 AS result_sets",
+    "published_count": "SELECT CAST(8 AS BIGINT) AS result_sets",
     "published_or_compute": f"""
         SELECT s.*, c.from_cache
         FROM ({SUMMARY}) s, (SELECT true AS from_cache UNION ALL SELECT false) c

@@ -32,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters that make each filter bite on the test tables.
 NO_STATE = "NATION_0"
 NO_CATEGORY = "ECONOMY"
+NO_SEGMENT = "BUILDING"
 MIN_REVENUE = 20_000_000
 CUTOFF = "1998-01-01 00:00:00"
 EARLIER_CUTOFF = "1996-01-01 00:00:00"
@@ -92,13 +93,12 @@ def flatten_event(spark, sf_dir):
 
 @query("dim_defaults")
 def dim_defaults(spark, sf_dir):
-    """Some states and segments taken away, then defaults put in."""
+    """One state and one segment taken away, then defaults put in."""
     people = views.cust(spark, sf_dir)
-    key = F.col("customer_id")
     gaps = people.withColumns(
         {
-            "state": F.when(key % 7 != 0, F.col("state")),
-            "segment": F.when(key % 5 != 0, F.col("segment")),
+            "state": F.nullif("state", F.lit(NO_STATE)),
+            "segment": F.nullif("segment", F.lit(NO_SEGMENT)),
         }
     )
     return star.customer_dim(gaps)
@@ -185,12 +185,12 @@ def orders_full15(spark, sf_dir):
 
 @query("join_coverage")
 def join_coverage(spark, sf_dir):
-    """With some customers and products taken away, so that orders are lost."""
+    """With one state's customers and one category's products gone, so that orders are lost."""
     orders, customers, products = views.star(spark, sf_dir)
     return star.join_coverage(
         orders,
-        customers.where(F.col("customer_id") % 11 != 0),
-        products.where(F.col("product_id") % 13 != 0),
+        customers.where(F.col("state") != NO_STATE),
+        products.where(F.col("category") != NO_CATEGORY),
     )
 
 
@@ -612,18 +612,18 @@ def ingest_decode(spark, sf_dir):
 
 
 def broken(lines: DataFrame) -> DataFrame:
-    """Some lines made unreadable, by the number in the order's key."""
-    number = F.get_json_object("value", "$.order.order_id").substr(5, 20).cast("bigint")
+    """The lines of some brands' products made bad, each brand's in another way."""
+    brand = F.get_json_object("value", "$.product.brand")
 
     def spoiled(pattern: str, replacement: str) -> Column:
         return F.regexp_replace("value", pattern, replacement)
 
     value = (
-        F.when(number % 101 == 0, F.col("value").substr(F.lit(1), F.length("value") - 9))
-        .when(number % 103 == 0, spoiled('"payment":', '"paid":'))
-        .when(number % 107 == 0, spoiled('"quantity":[0-9]+', '"quantity":"many"'))
-        .when(number % 109 == 0, spoiled('"order_status"', '"state_of_order"'))
-        .when(number % 113 == 0, spoiled('"product_id":"(PROD_[0-9]+)","name"', '"name"'))
+        F.when(brand == "Brand#1", F.col("value").substr(F.lit(1), F.length("value") - 9))
+        .when(brand == "Brand#2", spoiled('"payment":', '"paid":'))
+        .when(brand == "Brand#3", spoiled('"quantity":[0-9]+', '"quantity":"many"'))
+        .when(brand == "Brand#4", spoiled('"order_status"', '"state_of_order"'))
+        .when(brand == "Brand#5", spoiled('"product_id":"(PROD_[0-9]+)","name"', '"name"'))
         .otherwise(F.col("value"))
     )
     return lines.select(value.alias("value"))

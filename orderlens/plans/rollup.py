@@ -13,6 +13,7 @@ reads only the columns and the kind it needs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,12 +67,15 @@ def roll_up(orders: DataFrame, customers: DataFrame, products: DataFrame) -> Dat
 
 @dataclass(frozen=True)
 class Cells:
-    """The written cells, each kind with the attributes its figures need."""
+    """The written cells, and two of their kinds with the attributes their figures need."""
 
     all: DataFrame
     by_customer: DataFrame
     by_product: DataFrame
-    by_minute: DataFrame
+
+    @property
+    def by_minute(self) -> DataFrame:
+        return self.all.where(F.col("kind") == MINUTE_CELL)
 
 
 def build_cells(
@@ -81,20 +85,28 @@ def build_cells(
     products: DataFrame,
     path: str | None = None,
 ) -> Cells:
-    """Run the pass, keep its result under `path`, and attach the dimensions to it."""
+    """Run the pass, and keep its result under `path`.
+
+    The attributes of customers and products are joined to their cells, not to orders, and
+    only once for all figures: folding large dimensions out of their changes is not free.
+    """
     path = path or work_dir(spark, "cells")
     cells = roll_up(orders, customers, products)
-    cells.write.mode("overwrite").partitionBy("kind").parquet(path)
-    kept = spark.read.schema(cells.schema).parquet(path)
-
-    def of(kind: str, *keys: str) -> DataFrame:
-        return kept.where(F.col("kind") == kind).select(*keys, "n_orders", "revenue", "units")
-
-    return Cells(
-        all=kept,
-        by_customer=of(CUSTOMER_CELL, "customer_id", "product_category").join(
-            customer_dim(customers), "customer_id"
-        ),
-        by_product=of(PRODUCT_CELL, "product_id").join(product_dim(products), "product_id"),
-        by_minute=of(MINUTE_CELL, "minute_start"),
-    )
+    cells.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/all")
+    kept = spark.read.schema(cells.schema).parquet(f"{path}/all")
+
+    def with_attributes(kind: str, keys: tuple[str, ...], dim: DataFrame, on: str) -> DataFrame:
+        of_kind = kept.where(F.col("kind") == kind)
+        rows = of_kind.select(*keys, "n_orders", "revenue", "units").join(dim, on)
+        rows.write.mode("overwrite").parquet(f"{path}/{kind}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{kind}")
+
+    of_customer = (CUSTOMER_CELL, ("customer_id", "product_category"))
+    of_product = (PRODUCT_CELL, ("product_id",))
+    wanted = [
+        (*of_customer, customer_dim(customers).drop("customer_name"), "customer_id"),
+        (*of_product, product_dim(products), "product_id"),
+    ]
+    with ThreadPoolExecutor(max_workers=len(wanted)) as pool:
+        by_customer, by_product = pool.map(lambda args: with_attributes(*args), wanted)
+    return Cells(kept, by_customer, by_product)

@@ -23,6 +23,21 @@ SETTINGS = {
 }
 
 
+# The greatest number of reduce tasks a job is planned with, and the bytes one is to take.
+MOST_PARTITIONS = 40_000
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def shuffle_partitions_for(shuffled_bytes: int, cores: int = 200) -> int:
+    """Reduce tasks for a shuffle of this size.
+
+    AQE merges partitions that turn out small but does not split a large one outside of
+    joins, so a job over much data has to start with many: 10 TB shuffled need the 40,000.
+    """
+    wanted = -(-shuffled_bytes // PARTITION_BYTES)
+    return max(min(wanted, MOST_PARTITIONS), cores)
+
+
 def build_session(
     app: str = "orderlens",
     master: str | None = None,

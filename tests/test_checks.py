@@ -152,3 +152,11 @@ def test_ticks_are_exact_for_four_decimals(spark):
         int(decimal.Decimal(v) * 10000) for v in values
     ]
     assert df.select(money.cents(F.lit(10050))).first()[0] == 1.01
+
+
+def test_shuffle_partitions():
+    from orderlens.session import shuffle_partitions_for
+
+    assert shuffle_partitions_for(0, cores=8) == 8
+    assert shuffle_partitions_for(1 << 40) == 4096
+    assert shuffle_partitions_for(100 << 40) == 40_000

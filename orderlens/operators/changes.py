@@ -33,8 +33,9 @@ def merge(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     A row of the state that no change names is passed on as it is: the changes are the
     small side, so the state is not shuffled. Only rows that meet are folded again.
     """
-    keys = changes.select(key)
-    untouched = state.join(keys, key, "left_anti")
-    touched = state.join(keys, key, "left_semi").withColumn("_age", F.lit(0))
+    old, new = state.alias("old"), changes.select(key).alias("new")
+    same = F.expr(f"old.`{key}` <=> new.`{key}`")
+    untouched = old.join(new, same, "left_anti")
+    touched = old.join(new, same, "left_semi").withColumn("_age", F.lit(0))
     both = touched.unionByName(changes.withColumn("_age", F.lit(1)))
     return untouched.unionByName(fold(both, key, "_age"))

@@ -66,6 +66,8 @@ UPSERT_KEYS = {"customers": "customer_id", "products": "product_id", "payments":
 # can be told from one that was null.
 PRESENT = T.StructField("present", T.ArrayType(T.StringType()))
 
+MINUTES = _struct("minute_start timestamp, revenue bigint, n_orders bigint")
+
 DEAD_LETTERS = _struct("value string, reason string")
 
 MANIFEST = _struct(

@@ -33,8 +33,10 @@ SCHEMAS = {
     "customers": T.StructType([*schemas.CUSTOMERS.fields, schemas.PRESENT]),
     "products": T.StructType([*schemas.PRODUCTS.fields, schemas.PRESENT]),
     "payments": T.StructType([*schemas.PAYMENTS.fields, schemas.PRESENT]),
+    "minutes": T.StructType([*schemas.MINUTES.fields, schemas.PRESENT]),
     "dead_letters": schemas.DEAD_LETTERS,
 }
+KEYS = {**schemas.UPSERT_KEYS, "minutes": "minute_start"}
 
 
 class HotStore:
@@ -79,7 +81,7 @@ class HotStore:
         """Fold all batches into a new base, so that readers have less to merge."""
         through = self.committed()
         rows = self._rows(table, through)
-        if table in schemas.UPSERT_KEYS:
+        if table in KEYS:
             rows = self._folded(table, through)
         self.rebase(table, rows, through)
 
@@ -118,6 +120,9 @@ class HotStore:
     def payments(self) -> DataFrame:
         return self._folded("payments").drop(PRESENT)
 
+    def minutes(self) -> DataFrame:
+        return self._folded("minutes").drop(PRESENT)
+
     def dead_letters(self) -> DataFrame:
         return self._rows("dead_letters")
 
@@ -181,7 +186,7 @@ class HotStore:
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _folded(self, table: str, through: int | None = None) -> DataFrame:
-        key = schemas.UPSERT_KEYS[table]
+        key = KEYS[table]
         base, after = self._base(table)
         changes = self._changes(table, after, self.committed() if through is None else through)
         if changes is None:

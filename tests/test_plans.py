@@ -45,6 +45,8 @@ def test_bounds_reach_the_scan(spark, sf_dir, folder):
     text = plan(tiering.candidates(store.orders(), queries.CUTOFF))
     assert "LessThan(timestamp,1998-01-01" in text
     assert "PartitionFilters: [isnotnull(batch_id" in text
+    rest = plan(tiering.remainder(store.orders(), queries.CUTOFF))
+    assert "Or(GreaterThanOrEqual(timestamp,1998-01-01" in rest and "IsNull(timestamp))" in rest
     assert "GreaterThanOrEqual(ts," in plan(QUERIES["recent_order_rate"](spark, sf_dir))
 
 

@@ -66,6 +66,12 @@ def test_merge_passes_on_what_is_not_named(spark):
     ]
 
 
+def test_merge_takes_a_null_key_as_one_key(spark):
+    state = fold(change_frame(spark, [(None, "1", 1, ["k", "a", "b"], 1)]), "k", "seq")
+    late = fold(change_frame(spark, [(None, "2", None, ["k", "a"], 2)]), "k", "seq")
+    assert rows(merge(state, late, "k").select("k", "a", "b")) == [(None, "2", 1)]
+
+
 def order_frame(spark, numbers):
     return spark.createDataFrame([(n,) for n in numbers], "n int").select(
         F.format_string("o%d", "n").alias("order_id"),

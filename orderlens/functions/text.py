@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def padded_key(prefix: str, number: Column, width: int) -> Column:
+    """Prefix and a number from zero up, with zeros in front up to `width` digits."""
+    digits = number.cast("string")
+    return F.concat(
+        F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+    )
+
+
 def order_key(number: Column) -> Column:
-    return F.format_string("ORD_%08d", number)
+    return padded_key("ORD_", number, 8)
 
 
 def payment_key(number: Column) -> Column:
-    return F.format_string("PAY_%08d", number)
+    return padded_key("PAY_", number, 8)
 
 
 def customer_key(number: Column) -> Column:
-    return F.format_string("CUST_%06d", number)
+    return padded_key("CUST_", number, 6)
 
 
 def product_key(number: Column) -> Column:
-    return F.format_string("PROD_%05d", number)
+    return padded_key("PROD_", number, 5)
 
 
 def pair_label(left: str, right: str) -> Column:

@@ -127,6 +127,8 @@ def test_text(spark):
     assert rows(found) == [
         ("ORD_00000007", "CUST_000007", "PROD_00007", "PAY_00000007", "Ohio - Home", "2024-01-01T10:00:00")
     ]
+    long = df.select(text.product_key(F.lit(1234567)), text.product_key(F.lit(0)))
+    assert rows(long) == [("PROD_1234567", "PROD_00000")]
     assert rows(text.json_rows(df.withColumn("b", F.lit(None).cast("string")))) == [
         ('{"n":7,"a":"Ohio","b":null}',)
     ]

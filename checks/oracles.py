@@ -304,6 +304,11 @@ ORACLES: dict[str, str] = {
                           CAST(tax_amount AS DOUBLE) AS tax_amount)
         FROM full15
     """,
+    "joined_view_sql": """
+        SELECT customer_segment, product_category, count(*) AS order_count,
+               count(DISTINCT customer_id) AS unique_customers
+        FROM j GROUP BY customer_segment, product_category HAVING sum(total_amount) > 50
+    """,
     "join_coverage": f"""
         SELECT count(*) AS loaded_orders,
                count(*) FILTER (WHERE customer_state <> '{NO_STATE}'

@@ -25,6 +25,7 @@ from orderlens.sources.published import (
     read_published,
 )
 from orderlens.sources.store import HotStore
+from orderlens.sources.tables import register_views
 from orderlens.streaming import decode, figures, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,22 @@ def join_coverage(spark, sf_dir):
     )
 
 
+@query("joined_view_sql")
+def joined_view_sql(spark, sf_dir):
+    """The joined view under a name, asked in SQL."""
+    register_views({"orders_joined": joined(spark, sf_dir)})
+    return spark.sql(
+        """
+        SELECT customer_segment, product_category, count(*) AS order_count,
+               count(DISTINCT customer_id) AS unique_customers
+        FROM orders_joined
+        WHERE customer_state != 'Unknown'
+        GROUP BY customer_segment, product_category
+        HAVING sum(total_amount) > 50
+        """
+    )
+
+
 # -- aggregations ----------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@
     spark-submit orderlens/jobs.py archive --root R --cold C
     spark-submit orderlens/jobs.py cold --path C/archives/archive_id=.. [--root R]
     spark-submit orderlens/jobs.py show --serving S --name summary
+    spark-submit orderlens/jobs.py sql --root R --query "SELECT .. FROM orders_joined"
     spark-submit orderlens/jobs.py maintain --root R
 
 How often they run is up to whatever schedules them; `ingest` runs until it is stopped.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from orderlens import schemas  # noqa: E402
 from orderlens.functions.text import json_rows  # noqa: E402
-from orderlens.operators import health, kpis, quality  # noqa: E402
+from orderlens.operators import health, kpis, quality, star  # noqa: E402
 from orderlens.plans import refresh as refresh_plan, tiering  # noqa: E402
 from orderlens.session import build_session  # noqa: E402
 from orderlens.sources import cold, files  # noqa: E402
 from orderlens.sources.events import read_events  # noqa: E402
 from orderlens.sources.published import publish, published_count, read_published  # noqa: E402
 from orderlens.sources.store import HotStore  # noqa: E402
+from orderlens.sources.tables import register_views  # noqa: E402
 from orderlens.streaming import figures, ingest  # noqa: E402
 
 
@@ -80,7 +83,9 @@ def run_health(spark: SparkSession, args: argparse.Namespace) -> None:
     store = HotStore(spark, args.root)
     orders = store.orders()
     payments = store.payments()
+    time.sleep(args.wait)
     checks = {
+        "flow": health.flow_between(orders, store.orders()),
         "recent_rate": health.recent_rate(orders, args.as_of),
         "size_band": health.size_band(store.size()),
         "table_sizes": health.table_sizes(store.tables()),
@@ -125,6 +130,14 @@ def run_show(spark: SparkSession, args: argparse.Namespace) -> None:
         json_rows(result).show(100, truncate=False)
 
 
+def run_sql(spark: SparkSession, args: argparse.Namespace) -> None:
+    """SQL over the tables of the hot tier and over their join."""
+    tables = HotStore(spark, args.root).tables()
+    joined = star.orders_joined(tables["orders"], tables["customers"], tables["products"])
+    register_views({**tables, "orders_joined": joined})
+    spark.sql(args.query).show(args.rows, truncate=False)
+
+
 def run_maintain(spark: SparkSession, args: argparse.Namespace) -> None:
     store = HotStore(spark, args.root)
     for table in (*schemas.UPSERT_KEYS, "orders"):
@@ -156,6 +169,9 @@ def parser() -> argparse.ArgumentParser:
     command = job("health", run_health, "root", "serving")
     command.add_argument("--as-of")
     command.add_argument("--cold")
+    command.add_argument(
+        "--wait", type=float, default=10, help="seconds between the two looks at the flow"
+    )
     command = job("archive", run_archive, "root", "cold")
     command.add_argument("--as-of")
     command.add_argument("--database", default="order_archive")
@@ -166,6 +182,7 @@ def parser() -> argparse.ArgumentParser:
     )
     job("cold", run_cold, "path").add_argument("--root", help="hot tier, for the products")
     job("show", run_show, "serving", "name")
+    job("sql", run_sql, "root", "query").add_argument("--rows", type=int, default=20)
     command = job("maintain", run_maintain, "root")
     command.add_argument(
         "--vacuum", action="store_true", help="drop replaced files; no reader may use them"

@@ -20,6 +20,9 @@ SETTINGS = {
     # dimension is broadcast only while its (pruned) size stays below this.
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Files are compressed: count a scan as the size it unpacks to, so that the threshold
+    # bounds what is held in memory.
+    "spark.sql.sources.fileCompressionFactor": "3.0",
 }
 
 

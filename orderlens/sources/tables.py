@@ -29,6 +29,7 @@ def scan_payments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register_views(frames: dict[str, DataFrame]) -> None:
+    """Frames as views by name, for SQL over them in the same session."""
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
 

@@ -47,8 +47,9 @@ def test_pipeline(spark, folder, capsys):
     archived = tiering.read_archives(spark, cold).count()
     assert archived == 10 and store.orders().count() == 20
 
-    run("health", root=root, serving=serving, cold=cold, as_of="2024-01-01 10:30:00")
+    run("health", root=root, serving=serving, cold=cold, as_of="2024-01-01 10:30:00", wait=0)
     checks = f"{serving}/checks"
+    assert read_published(spark, checks, "flow").first()["is_flowing"] is False
     assert read_published(spark, checks, "recent_rate").first()["recent_orders"] == 2
     assert read_published(spark, checks, "archives").first()["total_records"] == 10
     sizes = {r["table_name"]: r["row_count"] for r in read_published(spark, checks, "table_sizes").collect()}
@@ -57,6 +58,9 @@ def test_pipeline(spark, folder, capsys):
     shown = run("cold", path=tiering.archive_path(cold, "a1"), root=root)
     assert "Home" in shown and "100.0" in shown
 
+    query = "SELECT customer_state, count(*) AS n FROM orders_joined GROUP BY customer_state"
+    assert "|Ohio          |20 |" in run("sql", root=root, query=query)
+
     run("maintain", root=root, vacuum=True)
     assert store.orders().count() == 20 and store.customers().count() == 3
     put(f"{folder}/in", "b.txt", [event(31)])

@@ -336,3 +336,15 @@ def test_cutoff_defaults_to_five_minutes(spark):
     cut = spark.range(1).select(tiering.cutoff_before("2024-01-01 00:05:00")).first()[0]
     assert cut == dt.datetime(2024, 1, 1)
     assert tiering.new_archive_id(spark).startswith("archive_1")
+
+
+def test_catalog_use(spark, folder):
+    db = database(folder)
+    before = spark.catalog.currentDatabase()
+    try:
+        tiering.create_catalog(spark, folder + "/cold", db, use=True)
+        tiering.create_catalog(spark, folder + "/cold", db)  # present: nothing to do
+        assert spark.catalog.currentDatabase() == db
+        assert spark.table(tiering.MANIFEST_TABLE).count() == 0
+    finally:
+        spark.catalog.setCurrentDatabase(before)

@@ -7,8 +7,8 @@ figure is then computed from the cells. Cells are summed within each task before
 shuffle, so what is shuffled grows with customers, products and minutes and a hot customer
 or product sends one row per task.
 
-The cells are written to the shared folder. They outlive a lost executor, and each figure
-reads only the columns and the kind it needs.
+What a step leaves is written to the shared folder. It outlives a lost executor, dimensions
+are folded out of their changes once, and each figure reads only the columns it needs.
 """
 
 from __future__ import annotations
@@ -27,19 +27,49 @@ CUSTOMER_CELL = "customer_category"
 PRODUCT_CELL = "product"
 MINUTE_CELL = "minute"
 
+# A broadcast row of a key and a short text takes some 100 bytes: 100 MB at the most.
+BROADCAST_ROWS = 1_000_000
 
-def roll_up(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """Cells of the three kinds. Of the customers only the key is joined here."""
-    lines = (
-        orders.select(
-            "customer_id",
-            "product_id",
-            minute("timestamp").alias("minute_start"),
-            ticks("total_amount").alias("amount"),
-            "quantity",
-        )
-        .join(product_dim(products).select("product_id", "product_category"), "product_id")
-        .join(customers.select("customer_id"), "customer_id")
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_known_key(
+    orders: DataFrame, known: DataFrame, key: str, path: str, broadcast_rows: int
+) -> DataFrame:
+    """Orders whose `key` is among the `known` ones.
+
+    Few known keys are broadcast. Many would mean shuffling all orders to find the few that
+    have no match, so then those are looked for first: the distinct keys of the orders, of
+    which only the unmatched are kept, and orders with such a key are taken out. What is
+    shuffled is one row per key and task, however many orders a key has.
+    """
+    if known.count() <= broadcast_rows:
+        return orders.join(F.broadcast(known), key, "left_semi")
+    present = orders.select(key).where(F.col(key).isNotNull()).distinct()
+    unmatched = _kept(present.join(known, key, "left_anti"), path)
+    return orders.where(F.col(key).isNotNull()).join(unmatched, key, "left_anti")
+
+
+def with_category(orders: DataFrame, products: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Orders with the category of their product; those without a product drop out."""
+    categories = products.select("product_id", "product_category")
+    if categories.count() <= broadcast_rows:
+        categories = F.broadcast(categories)
+    return orders.join(categories, "product_id")
+
+
+def roll_up(lines: DataFrame) -> DataFrame:
+    """Cells of the three kinds, from orders with their `product_category`."""
+    amounts = lines.select(
+        "customer_id",
+        "product_id",
+        "product_category",
+        minute("timestamp").alias("minute_start"),
+        ticks("total_amount").alias("amount"),
+        "quantity",
     )
     # Which grouping columns a cell lacks tells its kind apart, also where a value is null.
     kind = (
@@ -47,7 +77,7 @@ def roll_up(orders: DataFrame, customers: DataFrame, products: DataFrame) -> Dat
         .when(F.grouping("product_id") == 0, PRODUCT_CELL)
         .otherwise(CUSTOMER_CELL)
     )
-    return lines.groupingSets(
+    return amounts.groupingSets(
         [
             ["customer_id", "product_category"],
             ["product_id"],
@@ -84,29 +114,38 @@ def build_cells(
     customers: DataFrame,
     products: DataFrame,
     path: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> Cells:
     """Run the pass, and keep its result under `path`.
 
-    The attributes of customers and products are joined to their cells, not to orders, and
-    only once for all figures: folding large dimensions out of their changes is not free.
+    Only keys and categories are joined to orders. The other attributes are joined to the
+    cells, once for all figures.
     """
     path = path or work_dir(spark, "cells")
-    cells = roll_up(orders, customers, products)
-    cells.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/all")
-    kept = spark.read.schema(cells.schema).parquet(f"{path}/all")
-
-    def with_attributes(kind: str, keys: tuple[str, ...], dim: DataFrame, on: str) -> DataFrame:
-        of_kind = kept.where(F.col("kind") == kind)
-        rows = of_kind.select(*keys, "n_orders", "revenue", "units").join(dim, on)
-        rows.write.mode("overwrite").parquet(f"{path}/{kind}")
-        return spark.read.schema(rows.schema).parquet(f"{path}/{kind}")
-
-    of_customer = (CUSTOMER_CELL, ("customer_id", "product_category"))
-    of_product = (PRODUCT_CELL, ("product_id",))
-    wanted = [
-        (*of_customer, customer_dim(customers).drop("customer_name"), "customer_id"),
-        (*of_product, product_dim(products), "product_id"),
-    ]
-    with ThreadPoolExecutor(max_workers=len(wanted)) as pool:
-        by_customer, by_product = pool.map(lambda args: with_attributes(*args), wanted)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        people, goods = pool.map(
+            _kept,
+            (customer_dim(customers).drop("customer_name"), product_dim(products)),
+            (f"{path}/customers", f"{path}/products"),
+        )
+        ids = people.select("customer_id")
+        matched = with_known_key(
+            orders, ids, "customer_id", f"{path}/unmatched", broadcast_rows
+        )
+        cells = roll_up(with_category(matched, goods, broadcast_rows))
+        cells.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/all")
+        kept = spark.read.schema(cells.schema).parquet(f"{path}/all")
+
+        def of(kind: str, *keys: str) -> DataFrame:
+            rows = kept.where(F.col("kind") == kind)
+            return rows.select(*keys, "n_orders", "revenue", "units")
+
+        by_customer, by_product = pool.map(
+            _kept,
+            (
+                of(CUSTOMER_CELL, "customer_id", "product_category").join(people, "customer_id"),
+                of(PRODUCT_CELL, "product_id").join(goods, "product_id"),
+            ),
+            (f"{path}/by_customer", f"{path}/by_product"),
+        )
     return Cells(kept, by_customer, by_product)

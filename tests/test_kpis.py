@@ -167,8 +167,9 @@ def test_stamp(spark):
     assert kpis.stamped(spark.range(1)).first()["last_updated"] is not None
 
 
-def test_cells_give_the_direct_results(spark, joined, folder):
-    cells = rollup.build_cells(spark, *frames.star(spark), folder + "/cells")
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_cells_give_the_direct_results(spark, joined, folder, broadcast_rows):
+    cells = rollup.build_cells(spark, *frames.star(spark), folder + "/cells", broadcast_rows)
     results = refresh.results_of(cells, min_revenue=0)
     direct = {
         "summary": kpis.summary(joined),

@@ -51,13 +51,29 @@ def test_bounds_reach_the_scan(spark, sf_dir, folder):
 
 
 def test_rollup_scans_the_orders_once_and_shuffles_sums(spark, sf_dir):
-    text = plan(rollup.roll_up(*views.star(spark, sf_dir)))
+    orders, customers, products = views.star(spark, sf_dir)
+    known = rollup.with_known_key(orders, customers.select("customer_id"), "customer_id", "", 10**6)
+    goods = star.product_dim(products)
+    text = plan(rollup.roll_up(rollup.with_category(known, goods, 10**6)))
     assert text.count("lineitem.parquet") == 1
     assert text.count("Exchange hashpartitioning") == 1
     before_shuffle = text[text.index("Exchange hashpartitioning") :]
     assert "partial_sum" in before_shuffle
 
 
+def test_many_customers_do_not_shuffle_the_orders(spark, sf_dir, folder):
+    """Beyond the bound only distinct keys are shuffled; the orders lose the unmatched."""
+    orders, customers, _ = views.star(spark, sf_dir)
+    ids = customers.where("state != 'NATION_0'").select("customer_id")
+    few = rollup.with_known_key(orders, ids, "customer_id", folder, 10**6)
+    many = rollup.with_known_key(orders, ids, "customer_id", folder + "/unmatched", 0)
+    assert "Exchange hashpartitioning" not in plan(many)
+    assert sorted(rows(many.select("order_id"))) == sorted(rows(few.select("order_id")))
+    assert 0 < many.count() < orders.count()
+    unmatched = spark.read.parquet(folder + "/unmatched").count()
+    assert unmatched == customers.where("state = 'NATION_0'").count()
+
+
 def test_quality_report_is_one_pass(spark, sf_dir):
     text = plan(QUERIES["dq_report"](spark, sf_dir))
     assert text.count("lineitem.parquet") == 1

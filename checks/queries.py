@@ -600,10 +600,10 @@ def state_category_head(spark, sf_dir):
 # -- ingest ----------------------------------------------------------------------------
 
 
-def written_lines(lines: DataFrame, parts: int = 4) -> str:
-    """Event lines in a few files; the folder."""
+def written_lines(lines: DataFrame) -> str:
+    """Event lines in files, one per partition; the folder."""
     folder = work_dir(lines.sparkSession, "events")
-    lines.repartition(parts).write.text(folder)
+    lines.write.text(folder)
     return folder
 
 
@@ -736,8 +736,8 @@ def changes(
 def upsert_customers(spark, sf_dir):
     number = F.col("order_id")
     fields = {
-        "name": F.format_string("name %d", number),
-        "state": F.format_string("state %d", number),
+        "name": F.concat(F.lit("name "), number.cast("string")),
+        "state": F.concat(F.lit("state "), number.cast("string")),
     }
     return changes(spark, sf_dir, "customers", text.customer_key(F.col("customer_id")), fields)
 
@@ -746,7 +746,7 @@ def upsert_customers(spark, sf_dir):
 def upsert_products(spark, sf_dir):
     number = F.col("order_id")
     fields = {
-        "name": F.format_string("name %d", number),
+        "name": F.concat(F.lit("name "), number.cast("string")),
         "list_price": number.cast("double"),
     }
     return changes(spark, sf_dir, "products", text.product_key(F.col("product_id")), fields)
@@ -756,7 +756,7 @@ def upsert_products(spark, sf_dir):
 def upsert_payments(spark, sf_dir):
     number = F.col("order_id")
     fields = {
-        "payment_method": F.format_string("m%d", number % 4),
-        "status": F.format_string("status %d", number),
+        "payment_method": F.concat(F.lit("m"), (number % 4).cast("string")),
+        "status": F.concat(F.lit("status "), number.cast("string")),
     }
     return changes(spark, sf_dir, "payments", text.payment_key(F.col("order_ref")), fields)

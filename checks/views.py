@@ -82,7 +82,7 @@ def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("payment_id"),
         F.col("event_id").alias("order_id"),
-        F.format_string("m%d", F.col("event_id") % 4).alias("payment_method"),
+        F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")).alias("payment_method"),
         F.when(failed, "failed").otherwise("success").alias("status"),
         F.col("value").alias("processing_time"),
         F.col("ts").alias("timestamp"),
@@ -183,8 +183,6 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested events as JSON text."""
-    return event_rows(spark, sf_dir).select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
-    )
+def event_lines(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The nested events as JSON text, in a few partitions."""
+    return text.json_rows(event_rows(spark, sf_dir).repartition(parts))

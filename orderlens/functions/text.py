@@ -13,6 +13,9 @@ def padded_key(prefix: str, number: Column, width: int) -> Column:
     )
 
 
+# Prefixes and widths of the keys.
+
+
 def order_key(number: Column) -> Column:
     return padded_key("ORD_", number, 8)
 

@@ -16,6 +16,8 @@ from orderlens.functions.text import pair_label
 from orderlens.functions.times import AsOf, minute, minute_label
 from orderlens.operators.star import UNKNOWN
 
+# The shop's peak hours, the target share of payments in percent, and the
+# order value that others are compared with.
 PEAK_HOURS = (10, 11, 12, 18, 19, 20)
 SUCCESS_TARGET = 95.0
 ORDER_VALUE_BASE = 100.0

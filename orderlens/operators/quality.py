@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.functions.times import AsOf, age_minutes, moment
 
+# Fixed value.
 STALE_AFTER_MINUTES = 5
 
 

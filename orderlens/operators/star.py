@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# What stands for a missing dimension field, and for a missing segment.
 UNKNOWN = "Unknown"
 REGULAR = "Regular"
 

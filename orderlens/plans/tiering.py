@@ -17,6 +17,7 @@ from orderlens.operators.health import ARCHIVE_AT_MB, archive_gate
 from orderlens.sources import files
 from orderlens.sources.store import HotStore
 
+# Fixed value: how long orders stay in the hot tier once it is full.
 RETENTION_MINUTES = 5
 ARCHIVES = "archives"
 METADATA = "metadata"

@@ -16,8 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # The size check of every broadcast in this package: no join carries a hint, so a
-    # dimension is broadcast only while its (pruned) size stays below this.
+    # The size check of broadcasts: joins carry no hint, so a dimension is broadcast only
+    # while its pruned size stays below this. (The rollup counts rows and then decides.)
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # Files are compressed: count a scan as the size it unpacks to, so that the threshold

@@ -357,6 +357,7 @@ ORACLES: dict[str, str] = {
         FROM minutes GROUP BY 1
     """,
     "revenue_by_minute": "SELECT * FROM by_minute",
+    "latest_minutes": "SELECT * FROM by_minute",
     "stream_revenue_by_minute": "SELECT * FROM by_minute",
     "revenue_velocity": """
         , pair AS (

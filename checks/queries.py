@@ -13,7 +13,7 @@ from orderlens.functions import text
 from orderlens.functions.times import age_minutes, minute_label, moment, parse_iso
 from orderlens.operators import health, kpis, minutes, pricing, quality, star
 from orderlens.operators.changes import PRESENT, fold
-from orderlens.plans import refresh as refresh_plan, rollup, tiering
+from orderlens.plans import latest, refresh as refresh_plan, rollup, tiering
 from orderlens.session import work_dir
 from orderlens.sources import cold
 from orderlens.sources.events import read_events, with_file_order
@@ -293,6 +293,12 @@ def revenue_by_minute(spark, sf_dir):
     return minute_rows(spark, sf_dir)
 
 
+@query("latest_minutes")
+def latest_minutes(spark, sf_dir):
+    """The same minutes, found by looking back from a time near the last orders."""
+    return latest.latest_minutes(views.minutes(spark, sf_dir), as_of=RATE_AS_OF)
+
+
 @query("revenue_velocity")
 def revenue_velocity(spark, sf_dir):
     return minutes.revenue_velocity(minute_rows(spark, sf_dir))

@@ -196,3 +196,27 @@ def test_cells_of_whole_tables_give_the_direct_results(spark, sf_dir, folder):
     assert rows(results["top_products"]) == rows(kpis.top_products(joined))
     assert rows(results["orders_by_state"]) == rows(kpis.orders_by_state(joined))
     assert rows(results["revenue_by_minute"]) == rows(kpis.revenue_by_minute(joined))
+
+
+def test_latest_minutes_widen_until_there_are_enough(spark, joined):
+    from orderlens.plans.latest import latest_minutes
+
+    def found(k, as_of, reaches):
+        return rows(latest_minutes(joined, k, as_of, reaches))
+
+    every = rows(kpis.revenue_by_minute(joined))
+    # One minute back holds one minute with orders, two hours back both.
+    assert found(1, "2024-01-01 10:02:30", (1, 120)) == every[:1]
+    assert found(2, "2024-01-01 10:02:30", (1, 120)) == every[:2]
+    # Too few within any reach: all orders count, also those without a time.
+    assert found(60, "2024-01-01 10:02:30", (1, 120)) == every
+    assert found(2, "2030-01-01 00:00:00", (1, 120)) == every[:2]
+
+
+def test_latest_minutes_bound_reaches_the_scan(spark, sf_dir):
+    from checks import views
+    from orderlens.plans.latest import latest_minutes
+
+    minutes_of = latest_minutes(views.minutes(spark, sf_dir), 5, "2024-01-30 23:59:00")
+    text = minutes_of._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-" in text

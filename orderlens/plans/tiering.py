@@ -199,7 +199,8 @@ def archive_old_orders(
     """One archive run: gate, write, verify, record, put the remainder in force.
 
     Returns the report, or none where the tier is below the threshold or nothing is old.
-    A run that is repeated after it has finished finds nothing old and changes nothing.
+    A run that is repeated after it has finished finds nothing old and changes nothing; one
+    that finds more is refused, as replacing a finished archive would lose its orders.
     """
     spark = store.spark
     through = store.committed()
@@ -215,6 +216,9 @@ def archive_old_orders(
         return None
 
     archive_id = archive_id or new_archive_id(spark)
+    if store.has_rebase("orders", archive_id):
+        # Its orders are in the archive alone: writing it anew would lose them.
+        raise ValueError(f"archive {archive_id} is complete, newer orders need another id")
     archive = write_archive(going, cold, archive_id)
     written = archive.count()
     if written != expected:
@@ -227,7 +231,7 @@ def archive_old_orders(
     record_archive(row, cold, database, archive_id)
     register_archive(spark, cold, database, archive_id, archive.schema)
 
-    store.rebase("orders", remainder(orders, cutoff), through)
+    store.rebase("orders", remainder(orders, cutoff), through, archive_id)
     remaining, _ = store.order_size(through)
     after = store.size(through).first()
     return archive_report(spark, written, remaining, gate["bytes"], after["bytes"])

@@ -58,16 +58,27 @@ class HotStore:
                 self._note_size(table, f"{batch_id:020d}", target)
         files.set_marker(self.spark, f"{self.root}/_committed", f"{batch_id:020d}")
 
-    def rebase(self, table: str, rows: DataFrame, through: int) -> None:
-        """Put `rows` in force in place of everything up to batch `through`."""
+    def rebase(
+        self, table: str, rows: DataFrame, through: int, label: str | None = None
+    ) -> None:
+        """Put `rows` in force in place of everything up to batch `through`.
+
+        `label` names what the change was for; `has_rebase` tells whether it took effect.
+        """
         count = len(files.names(self.spark, f"{self.root}/{table}/_base"))
         mark = f"{through + 1:020d}.{count:010d}"
         target = f"{self.root}/{table}/base/{mark}"
         rows.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(target)
         if table in SIZED:
             self._note_size(table, mark, target)
+        if label is not None:
+            files.set_marker(self.spark, f"{self.root}/{table}/_labels/{label}", mark)
         files.set_marker(self.spark, f"{self.root}/{table}/_base", mark)
 
+    def has_rebase(self, table: str, label: str) -> bool:
+        noted = files.names(self.spark, f"{self.root}/{table}/_labels/{label}")
+        return bool(set(noted) & set(files.names(self.spark, f"{self.root}/{table}/_base")))
+
     def _note_size(self, table: str, part: str, path: str) -> None:
         written = self.spark.read.schema(SCHEMAS[table]).parquet(path)
         size = tier_size([written]).first()

@@ -281,6 +281,16 @@ def test_rerun_changes_nothing(spark, folder, store):
     assert rows(tiering.archive_count(spark, db)) == [(1,)]
 
 
+def test_finished_archive_is_not_replaced(spark, folder, store):
+    cold, db = folder + "/cold", database(folder)
+    tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0)
+    store.write_batch(2, {"orders": order_frame(spark, [2])})
+    with pytest.raises(ValueError):
+        tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0)
+    assert ids(tiering.read_archives(spark, cold)) == names(OLD)
+    assert ids(store.orders()) == names([*NEW, 2])
+
+
 def test_second_archive_leaves_the_first(spark, folder, store):
     cold, db = folder + "/cold", database(folder)
     tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0)

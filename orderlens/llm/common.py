@@ -37,7 +37,7 @@ def prepare(spark: SparkSession) -> None:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts lineage, survives executors."""
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

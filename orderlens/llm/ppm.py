@@ -35,7 +35,7 @@ SYMBOLS = 257
 END = 256
 # Bytes of text in a block, and positions that are worked on at once.
 BLOCK_BYTES = 32 << 20
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 # The word that stands for the end of a text; real words are not empty.
 END_WORD = b""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +206,7 @@ def _asked(block: int, learned: list[bytes], others: list[bytes], shards: int) -
             block,
             i,
             keys[edges[i] : edges[i + 1]].tobytes(),
-            counts[edges[i] : edges[i + 1]].tobytes(),
+            counts[edges[i] : edges[i + 1]].astype(np.uint32).tobytes(),
             b"\n".join(names[word_edges[i] : word_edges[i + 1]]) if word_edges[i] < word_edges[i + 1] else None,
             numbers[word_edges[i] : word_edges[i + 1]].tobytes(),
         )
@@ -260,7 +260,7 @@ def _count_words(asks: pa.Table) -> pa.Table:
 def _count_grams(asks: pa.Table) -> pa.Table:
     """One shard's grams, each once, with their counts in all blocks."""
     keys = np.frombuffer(b"".join(asks["grams"].to_pylist()), np.int64)
-    numbers = np.frombuffer(b"".join(asks["gram_counts"].to_pylist()), np.int64)
+    numbers = np.frombuffer(b"".join(asks["gram_counts"].to_pylist()), np.uint32)
     found, place = np.unique(keys, return_inverse=True)
     counts = np.bincount(place, numbers, len(found)).astype(np.int64)
     shard = np.full(len(found), asks["shard"][0].as_py(), np.int32)
@@ -269,7 +269,7 @@ def _count_grams(asks: pa.Table) -> pa.Table:
 
 def _answer_grams(asks: pa.Table, values: pa.Table) -> pa.Table:
     """The values of each block's grams."""
-    keys, value = values["gram"].to_numpy(), values["value"].to_numpy()
+    keys, value = values["gram"].to_numpy(), values["value"].to_numpy().astype(np.float32)
     order = np.argsort(keys)
     keys, value = keys[order], value[order]
     rows = asks["grams"].to_pylist()
@@ -426,7 +426,7 @@ def _scores(total: int, kinds: int, schema: pa.Schema):
         words_table = Table(hashes, of_word)
         table = Table(
             np.frombuffer(b"".join(x for x in answers["grams"].to_pylist() if x), np.int64),
-            np.frombuffer(b"".join(x for x in answers["values"].to_pylist() if x), np.float64),
+            np.frombuffer(b"".join(x for x in answers["values"].to_pylist() if x), np.float32),
         )
         del answers, names, numbers
         of_end = np.log10((ends + 1) / (total + kinds + 1))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from orderlens.llm.common import documents, prepare, saved, with_id
+from orderlens.llm.common import documents, prepare, release, saved, with_id
 from orderlens.llm.language import held_out
 
 # Bytes of context. A context and its symbol are ORDER + 1 symbols of nine bits in a long.
@@ -34,7 +34,7 @@ WIDTH = 9
 SYMBOLS = 257
 END = 256
 # Bytes of text in a block, and positions that are worked on at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SLICE = 2 << 20
 # The word that stands for the end of a text; real words are not empty.
 END_WORD = b""
@@ -171,6 +171,17 @@ def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return names, word_hashes(b" ".join(names)), np.array(list(counts.values()), np.int64)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: sorted and small ones then compress well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _numbers(parts: list[bytes | None], kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    found = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(size, -1).T).view(kind).ravel() for p in parts if p]
+    return np.concatenate(found) if found else np.zeros(0, kind)
+
+
 _ASKED = pa.schema(
     [("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("gram_counts", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary())]
 )
@@ -205,8 +216,8 @@ def _asked(block: int, learned: list[bytes], others: list[bytes], shards: int) -
         (
             block,
             i,
-            keys[edges[i] : edges[i + 1]].tobytes(),
-            counts[edges[i] : edges[i + 1]].astype(np.uint32).tobytes(),
+            _planes(keys[edges[i] : edges[i + 1]]),
+            _planes(counts[edges[i] : edges[i + 1]].astype(np.uint32)),
             b"\n".join(names[word_edges[i] : word_edges[i + 1]]) if word_edges[i] < word_edges[i + 1] else None,
             numbers[word_edges[i] : word_edges[i + 1]].tobytes(),
         )
@@ -225,9 +236,12 @@ def _asks(shards: int):
                     if now is not None:
                         yield _asked(now, *texts, shards)
                     now, texts = block, ([], [])
+                    release()
                 texts[bool(out)].append(data)
         if now is not None:
             yield _asked(now, *texts, shards)
+        texts = ([], [])
+        release()
 
     return run
 
@@ -259,8 +273,8 @@ def _count_words(asks: pa.Table) -> pa.Table:
 
 def _count_grams(asks: pa.Table) -> pa.Table:
     """One shard's grams, each once, with their counts in all blocks."""
-    keys = np.frombuffer(b"".join(asks["grams"].to_pylist()), np.int64)
-    numbers = np.frombuffer(b"".join(asks["gram_counts"].to_pylist()), np.uint32)
+    keys = _numbers(asks["grams"].to_pylist(), np.int64)
+    numbers = _numbers(asks["gram_counts"].to_pylist(), np.uint32)
     found, place = np.unique(keys, return_inverse=True)
     counts = np.bincount(place, numbers, len(found)).astype(np.int64)
     shard = np.full(len(found), asks["shard"][0].as_py(), np.int32)
@@ -273,7 +287,7 @@ def _answer_grams(asks: pa.Table, values: pa.Table) -> pa.Table:
     order = np.argsort(keys)
     keys, value = keys[order], value[order]
     rows = asks["grams"].to_pylist()
-    found = [value[np.searchsorted(keys, np.frombuffer(r, np.int64))].tobytes() for r in rows]
+    found = [_planes(value[np.searchsorted(keys, _numbers([r], np.int64))]) for r in rows]
     return pa.table({"block": asks["block"], "grams": pa.array(rows, pa.binary()), "values": pa.array(found, pa.binary())})
 
 
@@ -425,10 +439,10 @@ def _scores(total: int, kinds: int, schema: pa.Schema):
         one_by_one = len(np.unique(hashes)) < len(names)
         words_table = Table(hashes, of_word)
         table = Table(
-            np.frombuffer(b"".join(x for x in answers["grams"].to_pylist() if x), np.int64),
-            np.frombuffer(b"".join(x for x in answers["values"].to_pylist() if x), np.float32),
+            _numbers(answers["grams"].to_pylist(), np.int64),
+            _numbers(answers["values"].to_pylist(), np.float32),
         )
-        del answers, names, numbers
+        del answers, numbers
         of_end = np.log10((ends + 1) / (total + kinds + 1))
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for part in _sliced(docs.column("data").to_pylist()):
@@ -450,6 +464,8 @@ def _scores(total: int, kinds: int, schema: pa.Schema):
             out["n_tokens"].append(sizes + 1)
             out["n_known"].append(known[edges[1:]] - known[edges[:-1]] + int(ends > 0))
             out["base_score"].append(own + of_end)
+        del table, words_table, counted, names
+        release()
         out = {k: np.concatenate(v) for k, v in out.items()}
         n = docs.num_rows
         return pa.Table.from_arrays(

@@ -22,8 +22,9 @@ NEIGHBOURS = 20
 CURVES = 4
 # Projected dimensions and bits of each on a curve.
 AXES, BITS = 8, 7
-# Vectors of a block.
+# Vectors of a block, and blocks searched by one group of a task.
 BLOCK = 1024
+TOGETHER = 16
 # Bounds of the samples: vectors for the grid, queries for the window; the share to be found.
 GRID_SAMPLE = 4096
 QUERY_SAMPLE = 64
@@ -186,18 +187,26 @@ def ranked(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     return query_ids[q[best]], ids[at[best]], score[best]
 
 
-def _searched(dim: int, k: int):
+def _searched(dim: int, k: int, reach: int):
+    """Each query's best in the blocks of one stretch that lie within its reach."""
+
     def run(blocks: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(blocks) and len(asks):
             queries = np.frombuffer(b"".join(asks["queries"])).reshape(-1, dim)
             query_ids = np.frombuffer(b"".join(asks["query_ids"]), np.int64)
-            for ids, vectors in zip(blocks["ids"], blocks["vectors"]):
-                ids = np.frombuffer(ids, np.int64)
-                if len(ids) and len(query_ids):
-                    found.append(ranked(queries, query_ids, np.frombuffer(vectors).reshape(-1, dim), ids, k))
+            homes = np.repeat(asks["home"].to_numpy(), [len(x) // 8 for x in asks["query_ids"]])
+            for number, ids, vectors in zip(blocks["number"], blocks["ids"], blocks["vectors"]):
+                ids, near = np.frombuffer(ids, np.int64), np.abs(homes - number) <= reach
+                if len(ids) and near.any():
+                    here = np.frombuffer(vectors).reshape(-1, dim)
+                    found.append(ranked(queries[near], query_ids[near], here, ids, k))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+        # The best of all blocks together.
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        columns = [c[order] for c in columns]
+        best = np.arange(len(order)) - np.searchsorted(columns[0], columns[0]) < k
+        return pd.DataFrame({n: c[best] for n, c in zip(("query_id", "vec_id", "score"), columns)})
 
     return run
 
@@ -226,10 +235,10 @@ def _window(numbered: DataFrame, dim: int, k: int) -> int:
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, asked = shared.value
-        search = _searched(dim, k)
-        asked = pd.DataFrame({"query_ids": [query_ids.tobytes()], "queries": [asked.tobytes()]})
+        search = _searched(dim, k, 0)
+        asked = pd.DataFrame({"query_ids": [query_ids.tobytes()], "queries": [asked.tobytes()], "home": [0]})
         for frame in frames:
-            yield search(frame, asked)
+            yield search(frame.assign(number=0), asked)
 
     first = numbered.filter("curve = 0").select("ids", "vectors")
     answers = _best(first.mapInPandas(exact, "query_id long, vec_id long, score double"), k).select("query_id", "vec_id").toPandas()
@@ -295,6 +304,7 @@ def nearest(
     )
     numbered = saved(blocks.join(numbers, "block"), "numbered")
     reach = _window(numbered, dim, k)
+    stretch = lambda number: F.floor(number / TOGETHER)
     last = numbered.groupBy("curve").agg(F.max("number").alias("last"))
     asks = (
         numbered.filter(F.length("query_ids") > 0)
@@ -302,17 +312,21 @@ def nearest(
         .join(F.broadcast(last), "curve")
         .select(
             F.col("curve").alias("line"),
+            F.col("number").alias("home"),
             F.explode(
-                F.sequence(F.greatest(F.col("number") - reach, F.lit(0)), F.least(F.col("number") + reach, F.col("last")))
+                F.sequence(
+                    stretch(F.greatest(F.col("number") - reach, F.lit(0))),
+                    stretch(F.least(F.col("number") + reach, F.col("last"))),
+                )
             ).alias("target"),
             "query_ids",
             "queries",
         )
     )
     found = (
-        numbered.select("curve", "number", "ids", "vectors")
-        .groupBy("curve", "number")
+        numbered.select("curve", stretch(F.col("number")).alias("stretch"), "number", "ids", "vectors")
+        .groupBy("curve", "stretch")
         .cogroup(asks.groupBy("line", "target"))
-        .applyInPandas(_searched(dim, k), "query_id long, vec_id long, score double")
+        .applyInPandas(_searched(dim, k, reach), "query_id long, vec_id long, score double")
     )
     return _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

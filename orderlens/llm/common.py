@@ -64,16 +64,19 @@ def with_id(docs: DataFrame, *fields: StructField, name: str = "doc_id") -> Stru
     return StructType([StructField(name, docs.schema[name].dataType), *fields])
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+def join_hot(
+    rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left", by: str = "merge"
+) -> DataFrame:
     """`rows` with the columns of their group; `groups` has one row per key and is saved.
 
     The largest groups, a bounded number, come by broadcast, so their rows stay where they
     are; the rows of all others meet in a shuffle, where no key has a thousandth of them.
+    Wide rows are better joined `by` "shuffle_hash", which does not sort them.
     """
     hot = saved(groups.orderBy(F.col(size).desc(), key).limit(HOT_GROUPS), "hot")
     near = rows.join(F.broadcast(hot), key)
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return near.unionByName(far.join(groups.hint("merge"), key, how))
+    return near.unionByName(far.join(groups.hint(by), key, how))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.common import SPACE, documents, join_hot, saved
+from orderlens.llm.common import documents, join_hot, saved
 
 VARIABLE = "<*>"
 # Depth of the tree below the number of tokens, and the share of equal tokens.
@@ -20,11 +20,15 @@ SIMILAR = 0.8
 # Documents from which on a template recurs.
 LEAST_DOCS = 3
 
+# White space other than one blank; a whole token with a digit, tried at its start only.
+_NOT_ONE_BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+_WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+
 
 def form(line: Column) -> Column:
     """The line in single blanks, tokens with a digit as variable."""
-    plain = F.trim(F.regexp_replace(line, SPACE, " "))
-    return F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)
+    plain = F.trim(F.regexp_replace(line, _NOT_ONE_BLANK, " "))
+    return F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -42,13 +46,14 @@ def _leaf(tokens: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, text_hash, line) of each line to drop, from (doc_id, text)."""
-    keys = saved(
+    texts = saved(
         _lines(docs)
-        .withColumn("tokens", F.split("form", " "))
-        .select("doc_id", "text_hash", "line", F.xxhash64("form").alias("form"), _leaf(F.col("tokens")).alias("leaf")),
+        .withColumn("leaf", _leaf(F.split("form", " ")))
+        .select("doc_id", "text_hash", "line", "leaf", F.xxhash64("form").alias("key"), "form"),
         "lines",
     )
-    # Only leaves with several forms have something to generalise; their texts are read again.
+    keys = texts.select("doc_id", "text_hash", "line", "leaf", F.col("key").alias("form"))
+    # Only leaves with several forms have something to generalise and need the texts.
     several = saved(
         keys.groupBy("leaf")
         .agg(F.min("form").alias("a"), F.max("form").alias("b"), F.count("*").alias("n"))
@@ -56,9 +61,8 @@ def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         .select("leaf", "n"),
         "leaves",
     )
-    texts = _lines(docs).withColumn("tokens", F.split("form", " ")).withColumn("leaf", _leaf(F.col("tokens")))
     forms = saved(
-        join_hot(texts.select("leaf", "form", "doc_id"), several, "leaf", "n", "inner")
+        join_hot(texts.select("leaf", "form"), several, "leaf", "n", "inner", "shuffle_hash")
         .groupBy("leaf", "form")
         .agg(F.count("*").alias("lines")),
         "forms",

@@ -32,7 +32,7 @@ def moment(df: DataFrame, column: str, as_of: AsOf) -> Column:
 
 
 def minutes_before(point: Column, minutes: float) -> Column:
-    return point - F.make_dt_interval(mins=F.lit(int(minutes)))
+    return point - F.make_dt_interval(secs=F.lit(round(minutes * 60, 6)))
 
 
 def age_minutes(latest: Column, now: Column) -> Column:

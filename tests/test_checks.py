@@ -162,3 +162,12 @@ def test_shuffle_partitions():
     assert shuffle_partitions_for(0, cores=8) == 8
     assert shuffle_partitions_for(1 << 40) == 4096
     assert shuffle_partitions_for(100 << 40) == 40_000
+
+
+def test_cut_off_keeps_fractions_of_a_minute(spark):
+    from orderlens.plans.tiering import cutoff_before
+
+    row = spark.range(1).select(cutoff_before("2024-01-01 00:10:00", 0.5).cast("string").alias("t")).first()
+    assert row["t"] == "2024-01-01 00:09:30"
+    row = spark.range(1).select(cutoff_before("2024-01-01 00:10:00", 2.9).cast("string").alias("t")).first()
+    assert row["t"] == "2024-01-01 00:07:06"

@@ -129,26 +129,21 @@ def orders_with_payments(
 def join_coverage(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Orders loaded, joined and lost, in one pass over the orders.
 
-    Orders are counted per key pair before the keys are looked up, so what reaches the joins
-    is one row per pair and task and a hot key brings no more than that.
+    Only keys are looked up, each once however often a dimension repeats it, so an order
+    stays one row and is shuffled only where a dimension is too large to broadcast.
     """
-    known_customer = customers.select("customer_id", F.lit(True).alias("has_customer"))
-    known_product = products.select("product_id", F.lit(True).alias("has_product"))
-    pairs = (
-        orders.groupBy("customer_id", "product_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+    known_customer = customers.select("customer_id").distinct().withColumn("has_customer", F.lit(True))
+    known_product = products.select("product_id").distinct().withColumn("has_product", F.lit(True))
+    looked_up = (
+        orders.select("customer_id", "product_id")
         .join(known_customer, "customer_id", "left")
         .join(known_product, "product_id", "left")
     )
     no_customer = F.col("has_customer").isNull()
     no_product = F.col("has_product").isNull()
-
-    def orders_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    return pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("loaded_orders"),
-        orders_where(~no_customer & ~no_product).alias("joined_orders"),
-        orders_where(no_customer).alias("without_customer"),
-        orders_where(no_product).alias("without_product"),
+    return looked_up.agg(
+        F.count(F.lit(1)).alias("loaded_orders"),
+        F.count_if(~no_customer & ~no_product).alias("joined_orders"),
+        F.count_if(no_customer).alias("without_customer"),
+        F.count_if(no_product).alias("without_product"),
     )

@@ -8,6 +8,8 @@ with the same archive id replaces what an earlier attempt left.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from orderlens import schemas
@@ -15,7 +17,7 @@ from orderlens.functions.sizes import MIB, megabytes
 from orderlens.functions.times import AsOf, minutes_before, moment
 from orderlens.operators.health import ARCHIVE_AT_MB, archive_gate
 from orderlens.sources import files
-from orderlens.sources.store import HotStore
+from orderlens.sources.store import HotStore, RebaseConflict
 
 # Fixed value: how long orders stay in the hot tier once it is full.
 RETENTION_MINUTES = 5
@@ -23,6 +25,9 @@ ARCHIVES = "archives"
 METADATA = "metadata"
 MANIFEST_TABLE = "archive_manifest"
 
+# How often a run starts again because another writer has replaced the orders' base.
+ATTEMPTS = 5
+
 
 def cutoff_before(as_of: AsOf = None, minutes: float = RETENTION_MINUTES) -> Column:
     """The time before which orders are old."""
@@ -201,21 +206,54 @@ def archive_old_orders(
     Returns the report, or none where the tier is below the threshold or nothing is old.
     A run that is repeated after it has finished finds nothing old and changes nothing; one
     that finds more is refused, as replacing a finished archive would lose its orders.
+
+    Ingest and compaction may go on beside it. If another base comes into force before the
+    remainder does, the archive is taken back and the run starts again from the new state.
+    An id is for one run at a time, and names tables: letters, digits and underscores.
     """
     spark = store.spark
+    archive_id = archive_id or new_archive_id(spark)
+    if not re.fullmatch(r"[A-Za-z0-9_]+", archive_id):
+        raise ValueError(f"archive id {archive_id!r}: only letters, digits and underscores")
+    if isinstance(cutoff, Column) or cutoff is None:
+        cutoff = _fixed(spark, cutoff if cutoff is not None else cutoff_before())
+    for _ in range(ATTEMPTS):
+        try:
+            return _archive_once(store, cold, cutoff, database, archive_id, threshold_mb)
+        except RebaseConflict:
+            if store.has_rebase("orders", archive_id):
+                raise
+            withdraw_archive(spark, cold, database, archive_id)
+    raise RebaseConflict(f"archive {archive_id}: other writers came first {ATTEMPTS} times")
+
+
+def withdraw_archive(spark: SparkSession, cold: str, database: str, archive_id: str) -> None:
+    """Take back an archive whose orders are still in the hot tier."""
+    spark.sql(f"DROP TABLE IF EXISTS {database}.archived_orders_{archive_id}")
+    spark.sql(
+        f"ALTER TABLE {database}.{MANIFEST_TABLE}"
+        f" DROP IF EXISTS PARTITION (archive_id = '{archive_id}')"
+    )
+    files.drop(spark, f"{cold}/manifest/archive_id={archive_id}")
+    files.drop(spark, f"{cold}/{METADATA}/{archive_id}")
+    files.drop(spark, archive_path(cold, archive_id))
+
+
+def _archive_once(
+    store: HotStore, cold: str, cutoff: AsOf, database: str, archive_id: str, threshold_mb: float
+) -> DataFrame | None:
+    spark = store.spark
+    before = store.mark("orders")
     through = store.committed()
     orders = store.orders(through)
     gate = archive_gate(store.size(through), threshold_mb).first()
     if not gate["needs_archiving"]:
         return None
-    if isinstance(cutoff, Column) or cutoff is None:
-        cutoff = _fixed(spark, cutoff if cutoff is not None else cutoff_before())
     going = candidates(orders, cutoff)
     expected = going.count()
     if expected == 0:
         return None
 
-    archive_id = archive_id or new_archive_id(spark)
     if store.has_rebase("orders", archive_id):
         # Its orders are in the archive alone: writing it anew would lose them.
         raise ValueError(f"archive {archive_id} is complete, newer orders need another id")
@@ -231,8 +269,8 @@ def archive_old_orders(
     record_archive(row, cold, database, archive_id)
     register_archive(spark, cold, database, archive_id, archive.schema)
 
-    store.rebase("orders", remainder(orders, cutoff), through, archive_id)
-    remaining, _ = store.order_size(through)
+    mark = store.rebase("orders", remainder(orders, cutoff), through, archive_id, before)
+    remaining = store.base_rows("orders", mark)
     after = store.size(through).first()
     return archive_report(spark, written, remaining, gate["bytes"], after["bytes"])
 
@@ -242,6 +280,3 @@ def _fixed(spark: SparkSession, point: Column) -> str:
     text = F.date_format(point, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return spark.range(1).select(text.alias("t")).first()["t"]
 
-
-def archive_exists(spark: SparkSession, cold: str, archive_id: str) -> bool:
-    return files.exists(spark, archive_path(cold, archive_id))

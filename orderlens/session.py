@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -60,16 +61,23 @@ def build_session(
     return builder.getOrCreate()
 
 
+def runs_in_one_process(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where `spark.checkpoint.dir` is unset, as in local tests, a temporary folder is
-    made and recorded in the session.
+    Only where `spark.checkpoint.dir` is unset and everything runs in one process, as in local
+    tests, a temporary folder is made and recorded in the session. On a cluster each executor
+    would write to its own disk, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not runs_in_one_process(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="orderlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

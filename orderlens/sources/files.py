@@ -38,9 +38,10 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def set_marker(spark: SparkSession, folder: str, name: str) -> None:
+def set_marker(spark: SparkSession, folder: str, name: str) -> bool:
+    """Create a marker; false if it was there already."""
     fs, where = _path(spark, f"{folder}/{name}")
-    fs.createNewFile(where)
+    return fs.createNewFile(where)
 
 
 def top_marker(spark: SparkSession, folder: str) -> str | None:

@@ -2,13 +2,17 @@
 
     <root>/<table>/changes/batch_id=<n>   rows of one micro-batch, replaced on a replay
     <root>/<table>/base/<mark>            rows of all batches up to the mark's batch
-    <root>/<table>/_base/<mark>           marker: this base is in force
+    <root>/<table>/_base/<mark>           marker: this base is or was in force
+    <root>/<table>/_claims/<number>       marker: the base of this number has its one writer
     <root>/<table>/_sizes/<part>-<r>-<b>  marker: a batch or base has r rows of b bytes
     <root>/_committed/<n>                 marker: batch n is whole in every table
+    <root>/_stream/<id>                   marker: the stream that numbers the batches
 
 A batch becomes visible in all tables at once, when its marker is set. A base is put in
 force the same way, so maintenance runs beside ingest: batches after the base stay as they
-are, and a reader keeps the state it resolved when it built its plan.
+are, and a reader keeps the state it resolved when it built its plan. Bases are numbered,
+and a number is claimed by whoever creates its marker first: of two writers that replace the
+same base one gets a `RebaseConflict`, and nothing of it comes into force.
 
 Sizes are taken when a part is written, from that part alone, so asking how large the tier
 is means adding up names and reads no order.
@@ -16,6 +20,8 @@ is means adding up names and reads no order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orderlens import schemas
@@ -39,6 +45,10 @@ SCHEMAS = {
 KEYS = {**schemas.UPSERT_KEYS, "minutes": "minute_start"}
 
 
+class RebaseConflict(RuntimeError):
+    """Another writer has replaced the base that this one read."""
+
+
 class HotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -46,8 +56,17 @@ class HotStore:
 
     # -- writing ---------------------------------------------------------------------
 
-    def write_batch(self, batch_id: int, frames: dict[str, DataFrame]) -> None:
-        """All tables of one micro-batch, then the marker that shows them."""
+    def write_batch(
+        self, batch_id: int, frames: dict[str, DataFrame], stream: str | None = None
+    ) -> None:
+        """All tables of one micro-batch, then the marker that shows them.
+
+        `stream` is the identity of the checkpoint that numbers the batches. Only a replay by
+        the same stream is passed over: a number that was used under another identity holds
+        other rows, and taking it for a replay would lose the new ones, so it is an error.
+        """
+        if stream is not None:
+            self._own(stream)
         if batch_id <= self.committed():
             return
         for table, frame in frames.items():
@@ -58,22 +77,58 @@ class HotStore:
                 self._note_size(table, f"{batch_id:020d}", target)
         files.set_marker(self.spark, f"{self.root}/_committed", f"{batch_id:020d}")
 
+    def _own(self, stream: str) -> None:
+        folder = f"{self.root}/_stream"
+        owners = files.names(self.spark, folder)
+        if not owners and self.committed() < 0:
+            files.set_marker(self.spark, folder, stream)
+            owners = files.names(self.spark, folder)
+        if owners != [stream]:
+            raise ValueError(
+                f"the batches of {self.root} were numbered by {owners or 'an unknown stream'},"
+                f" not by {stream}: give back its checkpoint, or take another root"
+            )
+
+    def mark(self, table: str) -> str:
+        """The base in force, empty if there is none."""
+        return files.top_marker(self.spark, f"{self.root}/{table}/_base") or ""
+
     def rebase(
-        self, table: str, rows: DataFrame, through: int, label: str | None = None
-    ) -> None:
+        self,
+        table: str,
+        rows: DataFrame,
+        through: int,
+        label: str | None = None,
+        replaces: str | None = None,
+    ) -> str:
         """Put `rows` in force in place of everything up to batch `through`.
 
+        `replaces` is the mark that was in force before `rows` were read. If another base has
+        come into force since, this one is dropped and a `RebaseConflict` raised. A writer that
+        dies between claim and marker leaves a claim, which `release` takes back.
         `label` names what the change was for; `has_rebase` tells whether it took effect.
         """
-        count = len(files.names(self.spark, f"{self.root}/{table}/_base"))
-        mark = f"{through + 1:020d}.{count:010d}"
+        replaces = self.mark(table) if replaces is None else replaces
+        number = _number(replaces) + 1
+        mark = f"{number:010d}.{through + 1:020d}.{uuid.uuid4().hex}"
         target = f"{self.root}/{table}/base/{mark}"
-        rows.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(target)
+        rows.select(*SCHEMAS[table].names).write.parquet(target)
         if table in SIZED:
             self._note_size(table, mark, target)
+        if not files.set_marker(self.spark, f"{self.root}/{table}/_claims", f"{number:010d}"):
+            files.drop(self.spark, target)
+            raise RebaseConflict(f"base {number} of {table} has been written by another")
         if label is not None:
             files.set_marker(self.spark, f"{self.root}/{table}/_labels/{label}", mark)
         files.set_marker(self.spark, f"{self.root}/{table}/_base", mark)
+        return mark
+
+    def release(self, table: str) -> None:
+        """Take back a claim whose writer died. For when nothing else rebases the table."""
+        done = _number(self.mark(table))
+        for name in files.names(self.spark, f"{self.root}/{table}/_claims"):
+            if int(name) > done:
+                files.drop(self.spark, f"{self.root}/{table}/_claims/{name}")
 
     def has_rebase(self, table: str, label: str) -> bool:
         noted = files.names(self.spark, f"{self.root}/{table}/_labels/{label}")
@@ -88,13 +143,21 @@ class HotStore:
                 files.drop(self.spark, f"{folder}/{name}")
         files.set_marker(self.spark, folder, f"{part}-{size['rows']}-{size['bytes']}")
 
-    def compact(self, table: str) -> None:
-        """Fold all batches into a new base, so that readers have less to merge."""
+    def compact(self, table: str) -> bool:
+        """Fold all batches into a new base, so that readers have less to merge.
+
+        Gives way, with false, where another base comes into force meanwhile.
+        """
+        before = self.mark(table)
         through = self.committed()
         rows = self._rows(table, through)
         if table in KEYS:
             rows = self._folded(table, through)
-        self.rebase(table, rows, through)
+        try:
+            self.rebase(table, rows, through, replaces=before)
+        except RebaseConflict:
+            return False
+        return True
 
     def vacuum(self, table: str) -> None:
         """Drop what the base in force has replaced. For when no reader uses it any more."""
@@ -158,6 +221,11 @@ class HotStore:
                 size += int(numbers[1])
         return rows, size
 
+    def base_rows(self, table: str, mark: str) -> int:
+        """Rows of one base, as noted when it was written."""
+        names = files.names(self.spark, f"{self.root}/{table}/_sizes")
+        return next(int(n.split("-")[1]) for n in names if n.startswith(f"{mark}-"))
+
     def size(self, through: int | None = None) -> DataFrame:
         """Rows and bytes of the whole tier, in one row."""
         rows, size = self.order_size(through)
@@ -206,5 +274,9 @@ class HotStore:
         return latest if base is None else merge(base, latest, key)
 
 
+def _number(mark: str) -> int:
+    return int(mark.split(".")[0]) if mark else -1
+
+
 def _through(mark: str) -> int:
-    return int(mark.split(".")[0]) - 1
+    return int(mark.split(".")[1]) - 1

@@ -220,3 +220,29 @@ def test_latest_minutes_bound_reaches_the_scan(spark, sf_dir):
     minutes_of = latest_minutes(views.minutes(spark, sf_dir), 5, "2024-01-30 23:59:00")
     text = minutes_of._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-" in text
+
+
+def test_measures_take_factors_whole(spark):
+    df = spark.createDataFrame(
+        [(1999.99, 0.87654321, 1, 0.08123456, 0.0)],
+        "list_price double, discount_factor double, quantity int, tax_rate double,"
+        " shipping_extra double",
+    )
+    found = pricing.derive_order_measures(df).select(
+        F.col("unit_price").cast("double"), F.col("tax_amount").cast("double")
+    )
+    assert rows(found) == [(1753.08, 142.41)]
+
+
+def test_small_times_are_not_cut(spark):
+    df = spark.createDataFrame(
+        [("card", "ok", 0.00004), ("card", "ok", 0.00002), ("card", "ok", float("nan"))],
+        "payment_method string, payment_status string, processing_time double",
+    )
+    assert rows(kpis.payment_metrics(df)) == [("card", "ok", 3, 0.00003)]
+
+
+def test_join_coverage_with_repeated_dimension_keys(spark):
+    orders, customers, products = frames.star(spark)
+    twice = star.join_coverage(orders, customers.union(customers), products.union(products))
+    assert rows(twice) == [(7, 4, 2, 1)]

@@ -15,7 +15,7 @@ from orderlens.sources.published import (
     published_or_compute,
     read_published,
 )
-from orderlens.sources.store import HotStore
+from orderlens.sources.store import HotStore, RebaseConflict
 
 CHANGE = "k string, a string, b int, present array<string>, seq bigint"
 
@@ -358,3 +358,88 @@ def test_catalog_use(spark, folder):
         assert spark.table(tiering.MANIFEST_TABLE).count() == 0
     finally:
         spark.catalog.setCurrentDatabase(before)
+
+
+# -- two writers, and streams that start again --------------------------------------------
+
+
+def test_of_two_writers_one_comes_into_force(spark, folder):
+    store = HotStore(spark, folder)
+    store.write_batch(0, {"orders": order_frame(spark, [1, 2])})
+    before = store.mark("orders")
+    store.rebase("orders", order_frame(spark, [1]), 0, replaces=before)
+    with pytest.raises(RebaseConflict):
+        store.rebase("orders", order_frame(spark, [2]), 0, replaces=before)
+    assert ids(store.orders()) == names([1])
+
+
+def test_claim_of_a_dead_writer_is_released(spark, folder):
+    store = HotStore(spark, folder)
+    store.write_batch(0, {"orders": order_frame(spark, [1])})
+    assert files.set_marker(spark, f"{folder}/orders/_claims", f"{0:010d}")
+    assert not store.compact("orders")
+    store.release("orders")
+    assert store.compact("orders")
+    assert ids(store.orders()) == names([1])
+
+
+def test_another_streams_batches_are_refused(spark, folder):
+    store = HotStore(spark, folder)
+    store.write_batch(0, {"orders": order_frame(spark, [1])}, "a")
+    store.write_batch(0, {"orders": order_frame(spark, [9])}, "a")  # a replay
+    assert ids(store.orders()) == names([1])
+    with pytest.raises(ValueError):
+        store.write_batch(0, {"orders": order_frame(spark, [2])}, "b")
+    store.write_batch(1, {"orders": order_frame(spark, [2])}, "a")
+    assert ids(store.orders()) == names([1, 2])
+
+
+def test_archive_beside_compaction_keeps_every_order_once(spark, folder, store, monkeypatch):
+    cold, db = folder + "/cold", database(folder)
+    register, seen = tiering.register_archive, []
+
+    def register_late(*args, **kwargs):
+        if not seen:
+            seen.append(True)
+            store.write_batch(2, {"orders": order_frame(spark, [1, 20])})
+            store.compact("orders")
+        return register(*args, **kwargs)
+
+    monkeypatch.setattr(tiering, "register_archive", register_late)
+    report = tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0).first()
+    assert ids(store.orders()) == names([*NEW, 20])
+    assert ids(tiering.read_archives(spark, cold)) == names([*OLD, 1])
+    assert report["remaining_orders"] == len(NEW) + 1
+    assert rows(tiering.archive_count(spark, db)) == [(1,)]
+    assert tiering.archive_old_orders(store, cold, CUTOFF, db, "a2", threshold_mb=0) is None
+
+
+def test_archive_that_another_forestalls_leaves_nothing(spark, folder, store, monkeypatch):
+    cold, db = folder + "/cold", database(folder)
+    register, seen = tiering.register_archive, []
+
+    def register_late(*args, **kwargs):
+        if not seen:
+            seen.append(True)
+            tiering.archive_old_orders(store, cold, CUTOFF, db, "b", threshold_mb=0)
+        return register(*args, **kwargs)
+
+    monkeypatch.setattr(tiering, "register_archive", register_late)
+    assert tiering.archive_old_orders(store, cold, CUTOFF, db, "a", threshold_mb=0) is None
+    assert ids(store.orders()) == names(NEW)
+    assert ids(tiering.read_archives(spark, cold)) == names(OLD)
+    assert rows(tiering.archive_count(spark, db)) == [(1,)]
+
+
+def test_archive_id_is_checked_before_writing(spark, folder, store):
+    with pytest.raises(ValueError):
+        tiering.archive_old_orders(store, folder + "/cold", CUTOFF, "db", "2024-01-01", 0)
+    assert not files.exists(spark, folder + "/cold")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from orderlens.session import runs_in_one_process
+
+    assert runs_in_one_process("local") and runs_in_one_process("local[8]")
+    assert not runs_in_one_process("local-cluster[3,2,1000]")
+    assert not runs_in_one_process("yarn") and not runs_in_one_process("spark://host:7077")

@@ -173,7 +173,7 @@ ORDER_MINUTES = """
 
 PAYMENT_METRICS = """
     SELECT payment_method, {status} AS payment_status, count(*) AS count,
-           CAST(sum(CAST(processing_time AS DECIMAL(18,4))) AS DOUBLE)
+           CAST(sum(CAST(processing_time AS DECIMAL(28,12))) AS DOUBLE)
                / count(processing_time) AS avg_processing_time
     FROM {source} GROUP BY payment_method, {status}
 """
@@ -253,14 +253,14 @@ ORACLES: dict[str, str] = {
         , line AS (
             SELECT l_orderkey AS order_ref, l_linenumber AS line, l_partkey AS product_id,
                    CAST(l_quantity AS INTEGER) AS quantity,
-                   greatest(least(CAST(1.1 AS DECIMAL(4,2))
-                       - CAST(l_discount AS DECIMAL(4,2)) * 6, 1.0), 0.7) AS factor,
-                   CAST(l_tax AS DECIMAL(18,4)) AS tax_rate,
+                   greatest(least(CAST(1.1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))
+                       * CAST(6.12345678 AS DECIMAL(9,8)), 1.0), 0.7) AS factor,
+                   CAST(l_tax AS DECIMAL(4,2)) * CAST(1.01234567 AS DECIMAL(9,8)) AS tax_rate,
                    CAST(l_discount AS DECIMAL(18,4)) AS extra,
                    CAST(list_price AS DECIMAL(18,4)) AS list_price
             FROM lineitem JOIN prod ON l_partkey = product_id
         ), priced AS (
-            SELECT *, round(CAST(list_price * factor AS DECIMAL(30,8)), 2) AS unit_price
+            SELECT *, round(CAST(list_price * factor AS DECIMAL(36,16)), 2) AS unit_price
             FROM line
         ), totalled AS (
             SELECT *, CAST(unit_price * quantity AS DECIMAL(18,2)) AS total_amount FROM priced

@@ -107,16 +107,20 @@ def dim_defaults(spark, sf_dir):
 
 @query("derive_order_measures")
 def derive_order_measures(spark, sf_dir):
-    """Discounts widened so that both ends of the clamp are met."""
+    """Discounts widened so that both ends of the clamp are met; factors of many decimals."""
+
+    def exact(column: str, factor: str) -> Column:
+        return F.col(column).cast("decimal(4,2)") * F.lit(factor).cast("decimal(9,8)")
+
     lines = views.table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("product_id"),
         F.col("l_orderkey").alias("order_ref"),
         F.col("l_linenumber").alias("line"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        (F.lit(1.1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)") * 6).alias(
+        (F.lit(1.1).cast("decimal(4,2)") - exact("l_discount", "6.12345678")).alias(
             "discount_factor"
         ),
-        F.col("l_tax").alias("tax_rate"),
+        exact("l_tax", "1.01234567").alias("tax_rate"),
         F.col("l_discount").alias("shipping_extra"),
     )
     priced = pricing.derive_order_measures(lines.join(views.prod(spark, sf_dir), "product_id"))

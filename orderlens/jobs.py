@@ -43,6 +43,9 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     source = {"kind": "kafka", "servers": args.servers, "topic": args.topic}
     if args.path:
         source = {"kind": "files", "path": args.path}
+    if args.most:
+        limit = "maxFilesPerTrigger" if args.path else "maxOffsetsPerTrigger"
+        source[limit] = str(args.most)
     events = read_events(spark, source)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.every}
     if args.serving:
@@ -113,13 +116,24 @@ def run_archive(spark: SparkSession, args: argparse.Namespace) -> None:
         report.show()
 
 
+def _give(result: DataFrame, output: str | None, rows: int = 20) -> None:
+    """The whole result as Parquet, or its first rows on the screen."""
+    if output:
+        result.write.parquet(output)
+    else:
+        result.show(rows, truncate=False)
+
+
 def run_cold(spark: SparkSession, args: argparse.Namespace) -> None:
     archive = cold.read_archive(spark, args.path)
-    cold.total(archive).show()
+    results = {"total": cold.total(archive)}
     if "product" in archive.columns:
-        cold.category_revenue(archive).show()
+        results["category"] = cold.category_revenue(archive)
     elif args.root:
-        cold.category_revenue_flat(archive, HotStore(spark, args.root).products()).show()
+        products = HotStore(spark, args.root).products()
+        results["category"] = cold.category_revenue_flat(archive, products)
+    for name, result in results.items():
+        _give(result, args.output and f"{args.output}/{name}")
 
 
 def run_show(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -127,7 +141,7 @@ def run_show(spark: SparkSession, args: argparse.Namespace) -> None:
     if result is None:
         print(f"{args.name} is not published")
     else:
-        json_rows(result).show(100, truncate=False)
+        _give(result if args.output else json_rows(result), args.output, 100)
 
 
 def run_sql(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -135,7 +149,7 @@ def run_sql(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = HotStore(spark, args.root).tables()
     joined = star.orders_joined(tables["orders"], tables["customers"], tables["products"])
     register_views({**tables, "orders_joined": joined})
-    spark.sql(args.query).show(args.rows, truncate=False)
+    _give(spark.sql(args.query), args.output, args.rows)
 
 
 def run_maintain(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -163,6 +177,9 @@ def parser() -> argparse.ArgumentParser:
     command.add_argument("--path", help="read files of JSON lines here in place of Kafka")
     command.add_argument("--serving", help="refresh and publish the KPIs after each batch")
     command.add_argument("--every", default="1 minute")
+    command.add_argument(
+        "--most", type=int, help="take at most so many offsets (files) in one batch"
+    )
     command.add_argument("--once", action="store_true", help="take what is there and stop")
     job("refresh", run_refresh, "root", "serving")
     job("quality", run_quality, "root", "serving").add_argument("--as-of")
@@ -180,9 +197,14 @@ def parser() -> argparse.ArgumentParser:
     command.add_argument(
         "--retention-minutes", type=float, default=tiering.RETENTION_MINUTES
     )
-    job("cold", run_cold, "path").add_argument("--root", help="hot tier, for the products")
-    job("show", run_show, "serving", "name")
-    job("sql", run_sql, "root", "query").add_argument("--rows", type=int, default=20)
+    output = {"help": "write the whole result here as Parquet in place of showing rows"}
+    command = job("cold", run_cold, "path")
+    command.add_argument("--root", help="hot tier, for the products")
+    command.add_argument("--output", **output)
+    job("show", run_show, "serving", "name").add_argument("--output", **output)
+    command = job("sql", run_sql, "root", "query")
+    command.add_argument("--rows", type=int, default=20)
+    command.add_argument("--output", **output)
     command = job("maintain", run_maintain, "root")
     command.add_argument(
         "--vacuum", action="store_true", help="drop replaced files; no reader may use them"

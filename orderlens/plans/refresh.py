@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orderlens.functions.money import cents, mean
 from orderlens.operators import kpis
 from orderlens.plans.rollup import CUSTOMER_CELL, PRODUCT_CELL, Cells, build_cells
-from orderlens.session import work_dir
 from orderlens.sources import files
 from orderlens.sources.published import publish
 from orderlens.sources.tables import has_rows
@@ -64,11 +64,12 @@ def refresh(
 ) -> bool:
     """Compute and publish all result sets; does nothing when there are no orders.
 
-    The payment figures are published too where payments are given.
+    The payment figures are published too where payments are given. The cells lie beside the
+    results, which is a shared folder in any case, and go when all are published.
     """
     if not has_rows(orders):
         return False
-    work = work_dir(spark, "cells")
+    work = f"{serving}/_cells/{uuid.uuid4().hex}"
     try:
         cells = build_cells(spark, orders, customers, products, work)
         results = results_of(cells)

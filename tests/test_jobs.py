@@ -22,7 +22,7 @@ def test_pipeline(spark, folder, capsys):
         return capsys.readouterr().out
 
     assert "nothing published" in run("refresh", root=root, serving=serving)
-    run("ingest", path=f"{folder}/in", root=root, once=True)
+    run("ingest", path=f"{folder}/in", root=root, once=True, most=5)
     run("refresh", root=root, serving=serving)
     assert len(published_names(spark, serving)) == 8
     assert '"total_orders":30' in run("show", serving=serving, name="summary")
@@ -61,6 +61,11 @@ def test_pipeline(spark, folder, capsys):
     query = "SELECT customer_state, count(*) AS n FROM orders_joined GROUP BY customer_state"
     assert "|Ohio          |20 |" in run("sql", root=root, query=query)
 
+    run("sql", root=root, query=query, output=f"{folder}/out")
+    assert spark.read.parquet(f"{folder}/out").count() == 1
+    run("cold", path=tiering.archive_path(cold, "a1"), root=root, output=f"{folder}/figures")
+    assert spark.read.parquet(f"{folder}/figures/category").first()["order_count"] == 10
+
     run("maintain", root=root, vacuum=True)
     assert store.orders().count() == 20 and store.customers().count() == 3
     put(f"{folder}/in", "b.txt", [event(31)])

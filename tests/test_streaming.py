@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orderlens.operators import kpis
 from orderlens.sources import events as sources
 from orderlens.sources.published import published_names, read_published
+from orderlens.sources import files
 from orderlens.sources.store import HotStore
 from orderlens.streaming import decode, figures, ingest
 
@@ -123,6 +124,13 @@ def test_replayed_batch_adds_nothing(spark, folder):
     assert store.orders().count() == 2
 
 
+def test_batches_bear_their_streams_identity(spark, folder):
+    put(f"{folder}/in", "a.txt", [event(1)])
+    store = run(spark, folder)
+    metadata = spark.read.json(f"{store.root}/_checkpoint/metadata").first()
+    assert files.names(spark, f"{store.root}/_stream") == [metadata["id"]]
+
+
 def test_reasons(spark):
     cases = {
         event(1): None,

@@ -463,6 +463,17 @@ ORACLES: dict[str, str] = {
                'parquet' AS format
         FROM hot WHERE "timestamp" < TIMESTAMP '{CUTOFF}'
     """,
+    "archive_ids": """
+        SELECT order_id, 'archive_' || CAST(CAST(epoch("timestamp") AS BIGINT) AS VARCHAR)
+                   AS archive_id
+        FROM hot
+    """,
+    "archive_count": f"""
+        SELECT count(DISTINCT "timestamp" < TIMESTAMP '{EARLIER_CUTOFF}') AS total_archives,
+               count(DISTINCT "timestamp" < TIMESTAMP '{EARLIER_CUTOFF}')
+                   FILTER (WHERE "timestamp" < TIMESTAMP '{EARLIER_CUTOFF}') AS after_first_run
+        FROM hot WHERE "timestamp" < TIMESTAMP '{CUTOFF}'
+    """,
     "archive_catalog": f"""
         SELECT count(*) AS total_orders, CAST(round(sum(amount), 2) AS DOUBLE) AS total_revenue,
                round(CAST(sum(amount) AS DOUBLE) / count(*), 2) AS avg_order_value
@@ -506,6 +517,29 @@ ORACLES: dict[str, str] = {
             f" FROM ({PAYMENT_METRICS.format(status='status', source='pay')})",
         ]
     ),
+    "refresh_guard": """
+        SELECT 'all' AS orders, count(*) > 0 AS published, count(*) AS total_orders FROM j
+        UNION ALL
+        SELECT 'none', count(*) > 0, count(*) FROM j WHERE "timestamp" < TIMESTAMP '1900-01-01'
+    """,
+    "last_updated": f"""
+        SELECT *, TIMESTAMP '{FRESH_AS_OF}' AS last_updated FROM ({CATEGORIES})
+    """,
+    "published_figures": f"""
+        , ranked AS (
+            SELECT *, row_number() OVER (ORDER BY minute DESC) AS place FROM ({ORDER_MINUTES})
+        )
+        SELECT 'orders_per_minute' AS figure, CAST(order_count AS DOUBLE) AS value
+        FROM ranked WHERE place = 1
+        UNION ALL SELECT 'latest_revenue', total_revenue FROM ranked WHERE place = 1
+        UNION ALL SELECT 'shown_minutes', CAST(count(*) AS DOUBLE) FROM ranked WHERE place <= 30
+        UNION ALL
+        SELECT 'avg_revenue',
+               CAST(sum(CAST(total_revenue AS DECIMAL(28,4))) AS DOUBLE) / count(*)
+        FROM ranked WHERE place <= 10
+        UNION ALL
+        SELECT 'percent_above_base', (avg_order_value - 100) / 100 * 100 FROM ({SUMMARY})
+    """,
     "published_count": "SELECT CAST(8 AS BIGINT) AS result_sets",
     "published_or_compute": f"""
         SELECT s.*, c.from_cache
@@ -519,6 +553,7 @@ ORACLES: dict[str, str] = {
     "ingest_dead_letter": f"""
         SELECT {BROKEN_REASON} AS reason, count(*) AS events FROM event GROUP BY 1
     """,
+    "stream_replay": ORDER_ROWS,
     "stream_ingest_orders": """
         SELECT h.order_id, h.customer_id, h.product_id, h."timestamp", h.quantity,
                list_price AS unit_price, h.total_amount, CAST(2.99 AS DOUBLE) AS shipping_cost,

@@ -422,14 +422,16 @@ def hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def archived(spark: SparkSession, sf_dir: str) -> tuple[HotStore, str, str, DataFrame]:
+def archived(
+    spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF
+) -> tuple[HotStore, str, str, DataFrame]:
     """A store with all orders after one archive run: store, folder, database, report."""
     store = HotStore(spark, work_dir(spark, "hot"))
     store.write_batch(0, {"orders": hot_orders(spark, sf_dir)})
     folder = work_dir(spark, "cold")
     database = f"archive_{uuid.uuid4().hex}"
     report = tiering.archive_old_orders(
-        store, folder, CUTOFF, database, archive_id="archive_1", threshold_mb=0
+        store, folder, cutoff, database, archive_id="archive_1", threshold_mb=0
     )
     return store, folder, database, report
 
@@ -467,6 +469,24 @@ def archive_manifest(spark, sf_dir):
     return rows.select("archive_id", "source", "threshold_date", "record_count", "format")
 
 
+@query("archive_ids")
+def archive_ids(spark, sf_dir):
+    """The id of an archive made at each order's time."""
+    orders = hot_orders(spark, sf_dir)
+    return orders.select("order_id", tiering.archive_id_at(F.col("timestamp")).alias("archive_id"))
+
+
+@query("archive_count")
+def archive_count(spark, sf_dir):
+    """Archives in the manifest after one run, and after a second one."""
+    store, folder, database, _ = archived(spark, sf_dir, EARLIER_CUTOFF)
+    first = tiering.archive_count(spark, database).first()["total_archives"]
+    tiering.archive_old_orders(
+        store, folder, CUTOFF, database, archive_id="archive_2", threshold_mb=0
+    )
+    return tiering.archive_count(spark, database).withColumn("after_first_run", F.lit(first))
+
+
 @query("archive_catalog")
 def archive_catalog(spark, sf_dir):
     """The table over one archive, asked by its catalog name."""
@@ -577,6 +597,48 @@ def publish_kpis(spark, sf_dir):
     return result
 
 
+@query("refresh_guard")
+def refresh_guard(spark, sf_dir):
+    """A refresh of all orders by state, and one of none; what each has published."""
+    orders, customers, products = views.star(spark, sf_dir)
+    result = None
+    for name, rows in {"all": orders, "none": orders.where("timestamp < '1900-01-01'")}.items():
+        serving = work_dir(spark, "serving")
+        done = refresh_plan.refresh(spark, serving, rows, customers, products)
+        summary = read_published(spark, serving, "summary")
+        count = F.lit(0).cast("long") if summary is None else F.col("total_orders")
+        part = (spark.range(1) if summary is None else summary).select(
+            F.lit(name).alias("orders"), F.lit(done).alias("published"), count.alias("total_orders")
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query("last_updated")
+def last_updated(spark, sf_dir):
+    """The categories with the time they were made, as it is published."""
+    made = kpis.stamped(kpis.category_performance(joined(spark, sf_dir)), FRESH_AS_OF)
+    return _plain_times(made, "last_updated")
+
+
+@query("published_figures")
+def published_figures(spark, sf_dir):
+    """The figures that a refresh publishes beside its results."""
+    folder = f"{refreshed(spark, sf_dir)}/figures"
+    read = lambda name: read_published(spark, folder, name).drop("last_updated")
+    last = read("revenue_last_30").agg(F.count(F.lit(1)).alias("shown_minutes"))
+    one = lambda rows, name: rows.select(
+        F.lit(name).alias("figure"), F.col(name).cast("double").alias("value")
+    )
+    return (
+        one(read("orders_per_minute"), "orders_per_minute")
+        .unionByName(one(read("avg_revenue_10min"), "avg_revenue"))
+        .unionByName(one(read("order_value_against_base"), "percent_above_base"))
+        .unionByName(one(read("revenue_velocity"), "latest_revenue"))
+        .unionByName(one(last, "shown_minutes"))
+    )
+
+
 @query("published_count")
 def count_published(spark, sf_dir):
     return published_count(spark, refreshed(spark, sf_dir))
@@ -673,6 +735,18 @@ def stream_ingest_orders(spark, sf_dir):
     return _plain_times(store.orders(), "timestamp")
 
 
+@query("stream_replay")
+def stream_replay(spark, sf_dir):
+    """Orders of two batches, the second handed in twice by its stream."""
+    orders = hot_orders(spark, sf_dir)
+    store = HotStore(spark, work_dir(spark, "hot"))
+    early = F.col("timestamp") < F.lit(CUTOFF).cast(orders.schema["timestamp"].dataType)
+    store.write_batch(0, {"orders": orders.where(early)}, "stream")
+    for _ in range(2):
+        store.write_batch(1, {"orders": orders.where(~early)}, "stream")
+    return _order_rows(store.orders())
+
+
 @query("stream_ingest_customers")
 def stream_ingest_customers(spark, sf_dir):
     return ingested(spark, views.event_lines(spark, sf_dir)).customers()

@@ -1,9 +1,9 @@
 """Exact money arithmetic.
 
 Amounts are stored as doubles. A sum of doubles depends on the order in which tasks deliver
-their parts, so amounts are summed as whole ticks of 1/10000: a long per group, exact for
-amounts of up to four decimals, and far cheaper than a decimal sum. A total beyond 9.2e14
-raises an overflow error under Spark's ANSI mode (the default) and is never wrong silently.
+their parts, so amounts are summed as whole ticks of 1/10000, exact for amounts of up to four
+decimals. A total is kept as two longs per group, of the high and of the low bits: together
+they hold more than a long, and are far cheaper than a decimal sum.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import Column, functions as F, types as T
 MONEY = T.DecimalType(18, 4)
 TICKS = 10_000
 
+# Bits of the low part of a sum: rows by the million million do not overflow it.
+LOW_BITS = 20
+
 
 def ticks(column: str | Column) -> Column:
     """An amount, double or decimal, as a whole number of ticks."""
@@ -23,9 +26,16 @@ def ticks(column: str | Column) -> Column:
     return F.rint(amount * TICKS).cast("long")
 
 
+def summed(amount: Column) -> Column:
+    """The sum of ticks as a whole decimal, also beyond what a long holds."""
+    high = F.sum(F.shiftright(amount, LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(amount.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
+    return high * F.lit(Decimal(1 << LOW_BITS)) + low
+
+
 def exact(total: Column) -> Column:
     """Summed ticks as a decimal amount."""
-    return total.cast("decimal(19,0)") * F.lit(Decimal(1) / TICKS)
+    return total.cast("decimal(29,0)") * F.lit(Decimal(1) / TICKS)
 
 
 def as_double(total: Column) -> Column:

@@ -30,7 +30,7 @@ from orderlens import schemas  # noqa: E402
 from orderlens.functions.text import json_rows  # noqa: E402
 from orderlens.operators import health, kpis, quality, star  # noqa: E402
 from orderlens.plans import refresh as refresh_plan, tiering  # noqa: E402
-from orderlens.session import build_session  # noqa: E402
+from orderlens.session import build_session, shuffle_partitions_for  # noqa: E402
 from orderlens.sources import cold, files  # noqa: E402
 from orderlens.sources.events import read_events  # noqa: E402
 from orderlens.sources.published import publish, published_count, read_published  # noqa: E402
@@ -89,6 +89,7 @@ def run_health(spark: SparkSession, args: argparse.Namespace) -> None:
     time.sleep(args.wait)
     checks = {
         "flow": health.flow_between(orders, store.orders()),
+        "coverage": star.join_coverage(orders, store.customers(), store.products()),
         "recent_rate": health.recent_rate(orders, args.as_of),
         "size_band": health.size_band(store.size()),
         "table_sizes": health.table_sizes(store.tables()),
@@ -212,9 +213,20 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def fit_shuffles(spark: SparkSession, root: str) -> None:
+    """Reduce tasks for the orders there are, unless the session was given a number."""
+    key = "spark.sql.shuffle.partitions"
+    if not spark.sparkContext.getConf().contains(key):
+        _, size = HotStore(spark, root).order_size()
+        spark.conf.set(key, str(shuffle_partitions_for(size)))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(build_session(f"orderlens-{args.job}"), args)
+    spark = build_session(f"orderlens-{args.job}")
+    if getattr(args, "root", None):
+        fit_shuffles(spark, args.root)
+    args.run(spark, args)
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.functions.money import TICKS, as_double, cents, mean, percentage, ticks
+from orderlens.functions.money import TICKS, as_double, cents, mean, percentage, summed, ticks
 from orderlens.functions.text import pair_label
 from orderlens.functions.times import AsOf, minute, minute_label
 from orderlens.operators.star import UNKNOWN
@@ -29,7 +29,7 @@ def order_count(df: DataFrame) -> Column:
 
 def revenue(df: DataFrame) -> Column:
     """Summed ticks."""
-    return F.sum("revenue") if "revenue" in df.columns else F.sum(ticks("total_amount"))
+    return summed(F.col("revenue") if "revenue" in df.columns else ticks("total_amount"))
 
 
 def units(df: DataFrame) -> Column:

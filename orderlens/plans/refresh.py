@@ -7,11 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.functions.money import cents, mean
-from orderlens.operators import kpis
+from orderlens.functions.money import cents, mean, summed
+from orderlens.operators import kpis, minutes
 from orderlens.plans.rollup import CUSTOMER_CELL, PRODUCT_CELL, Cells, build_cells
 from orderlens.sources import files
-from orderlens.sources.published import publish
+from orderlens.sources.published import publish, read_published
 from orderlens.sources.tables import has_rows
 
 PARALLEL_RESULTS = 8
@@ -27,7 +27,7 @@ def summary_of(cells: Cells) -> DataFrame:
         F.coalesce(F.sum(F.when(of_customer, F.col("n_orders"))), F.lit(0)).alias(
             "total_orders"
         ),
-        F.sum(F.when(of_customer, F.col("revenue"))).alias("sum_revenue"),
+        summed(F.when(of_customer, F.col("revenue"))).alias("sum_revenue"),
         F.count_distinct("customer_id").alias("unique_customers"),
         F.count("product_id").alias("unique_products"),
     )
@@ -53,6 +53,17 @@ def results_of(cells: Cells, **state_category: object) -> dict[str, DataFrame]:
     }
 
 
+def figures_of(recent: DataFrame, summary: DataFrame) -> dict[str, DataFrame]:
+    """The dashboard's figures, from published results of at most 60 rows and of one."""
+    return {
+        "revenue_velocity": minutes.revenue_velocity(recent),
+        "orders_per_minute": minutes.latest_order_rate(recent),
+        "avg_revenue_10min": minutes.mean_recent_revenue(recent),
+        "revenue_last_30": minutes.last_minutes(recent),
+        "order_value_against_base": kpis.order_value_against_base(summary),
+    }
+
+
 def refresh(
     spark: SparkSession,
     serving: str,
@@ -64,8 +75,9 @@ def refresh(
 ) -> bool:
     """Compute and publish all result sets; does nothing when there are no orders.
 
-    The payment figures are published too where payments are given. The cells lie beside the
-    results, which is a shared folder in any case, and go when all are published.
+    The payment figures are published too where payments are given, and the figures per
+    minute below `<serving>/figures`. The cells lie beside the results, which is a shared
+    folder in any case, and go when all are published.
     """
     if not has_rows(orders):
         return False
@@ -78,12 +90,14 @@ def refresh(
             results["payment_metrics"] = kpis.payment_metrics(rows)
 
         # Small independent jobs over the cells: run side by side, their fixed costs overlap.
-        def put(item: tuple[str, DataFrame]) -> None:
-            name, result = item
-            publish(spark, serving, name, kpis.stamped(result), version)
+        def put(folder: str, name: str, result: DataFrame) -> None:
+            publish(spark, folder, name, kpis.stamped(result), version)
 
         with ThreadPoolExecutor(max_workers=PARALLEL_RESULTS) as pool:
-            list(pool.map(put, results.items()))
+            list(pool.map(lambda item: put(serving, *item), results.items()))
+            recent = read_published(spark, serving, "revenue_by_minute")
+            figures = figures_of(recent, read_published(spark, serving, "summary"))
+            list(pool.map(lambda item: put(f"{serving}/figures", *item), figures.items()))
     finally:
         files.drop(spark, work)
     return True

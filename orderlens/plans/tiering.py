@@ -63,9 +63,13 @@ def archive_path(cold: str, archive_id: str) -> str:
     return f"{archives_path(cold)}/archive_id={archive_id}"
 
 
+def archive_id_at(time: Column) -> Column:
+    """The id of an archive that is made at this time."""
+    return F.concat(F.lit("archive_"), F.unix_seconds(time.cast("timestamp")).cast("string"))
+
+
 def new_archive_id(spark: SparkSession) -> str:
-    second = spark.range(1).select(F.unix_seconds(F.current_timestamp()).alias("s")).first()
-    return f"archive_{second['s']}"
+    return spark.range(1).select(archive_id_at(F.current_timestamp()).alias("id")).first()["id"]
 
 
 def write_archive(rows: DataFrame, cold: str, archive_id: str) -> DataFrame:

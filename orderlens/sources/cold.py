@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orderlens.functions.money import as_double, ticks
+from orderlens.functions.money import as_double, summed, ticks
 from orderlens.operators.star import product_dim
 
 
@@ -39,7 +39,7 @@ def category_revenue_flat(archive: DataFrame, products: DataFrame) -> DataFrame:
 
 def _by_category(df: DataFrame, category: Column, amount: Column) -> DataFrame:
     groups = df.groupBy(category.alias("category")).agg(
-        F.sum(amount).alias("sum_revenue"), F.count(F.lit(1)).alias("order_count")
+        summed(amount).alias("sum_revenue"), F.count(F.lit(1)).alias("order_count")
     )
     return groups.orderBy(F.desc("sum_revenue"), "category").select(
         "category", as_double(F.col("sum_revenue")).alias("total_revenue"), "order_count"

@@ -27,6 +27,10 @@ def test_pipeline(spark, folder, capsys):
     assert len(published_names(spark, serving)) == 8
     assert '"total_orders":30' in run("show", serving=serving, name="summary")
     assert "not published" in run("show", serving=serving, name="nothing")
+    figures = f"{serving}/figures"
+    assert len(published_names(spark, figures)) == 5
+    assert read_published(spark, figures, "orders_per_minute").first()["orders_per_minute"] == 1
+    assert '"minutes":10' in run("show", serving=figures, name="avg_revenue_10min")
 
     run("quality", root=root, serving=serving, as_of="2024-01-01 10:30:00")
     report = read_published(spark, f"{serving}/checks", "data_quality").first()
@@ -50,6 +54,8 @@ def test_pipeline(spark, folder, capsys):
     run("health", root=root, serving=serving, cold=cold, as_of="2024-01-01 10:30:00", wait=0)
     checks = f"{serving}/checks"
     assert read_published(spark, checks, "flow").first()["is_flowing"] is False
+    coverage = read_published(spark, checks, "coverage").first()
+    assert (coverage["loaded_orders"], coverage["joined_orders"]) == (20, 20)
     assert read_published(spark, checks, "recent_rate").first()["recent_orders"] == 2
     assert read_published(spark, checks, "archives").first()["total_records"] == 10
     sizes = {r["table_name"]: r["row_count"] for r in read_published(spark, checks, "table_sizes").collect()}

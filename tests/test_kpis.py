@@ -5,6 +5,7 @@ import pytest
 from frames import at, rows
 from pyspark.sql import functions as F
 
+from orderlens.functions.money import exact, summed, ticks
 from orderlens.operators import kpis, minutes, pricing, star
 from orderlens.plans import refresh, rollup
 
@@ -246,3 +247,12 @@ def test_join_coverage_with_repeated_dimension_keys(spark):
     orders, customers, products = frames.star(spark)
     twice = star.join_coverage(orders, customers.union(customers), products.union(products))
     assert rows(twice) == [(7, 4, 2, 1)]
+
+
+def test_totals_beyond_a_long_and_below_zero(spark):
+    amounts = [(n, 9e13 if n % 4 else -1.5) for n in range(200)]
+    df = spark.createDataFrame(amounts, "id int, total_amount double")
+    found = df.agg(exact(summed(ticks("total_amount"))).alias("total")).first()["total"]
+    assert found == 150 * 90_000_000_000_000 - 75
+    nothing = df.limit(0).agg(exact(summed(ticks("total_amount"))).alias("total")).first()
+    assert nothing["total"] is None

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
 Each curve orders all vectors by the Hilbert number of a random projection, shifted by a
-random offset. Spark range-partitions each order; runs of rows form blocks. A query searches
+random offset. Equal vectors lie there once, with their smallest ids, and are asked once.
+Spark range-partitions each order; runs of rows form blocks. A query searches
 the blocks around its own place on every curve, and what it finds is merged and ranked by the
 exact inner product. How far it looks is fitted: a bounded sample of queries is answered
 exactly, and the window is the smallest that finds the wanted share of those answers.
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from orderlens.llm.common import saved
+from orderlens.llm.common import join_hot, saved
 
 NEIGHBOURS = 20
 CURVES = 4
@@ -98,22 +99,53 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-def _placed(shared, query_step: int):
+def _folded(base: DataFrame, query_step: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each vector once, and (h, query_id) of all queries.
+
+    A vector comes with a key, its hash, its k + 1 smallest ids (of ties the smaller ids count,
+    and one may be the query itself) and the number of its queries. No group of equal vectors
+    meets in one task: ids are limited by task before they are shuffled.
+    """
+    base = base.withColumn("h", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v"))))
+    members = saved(base.select("h", "id").distinct(), "members")
+    least = (
+        members.withColumn("place", F.row_number().over(W.partitionBy("h").orderBy("id")))
+        .filter(F.col("place") <= k + 1)
+        .groupBy("h")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    )
+    queries = members.filter(F.col("id") % query_step == 0)
+    asked = queries.groupBy("h").agg(F.count("*").alias("n"))
+    vectors = base.groupBy("h").agg(F.first("v").alias("v")).join(least, "h").join(asked, "h", "left")
+    # The key is written, so it stays the same.
+    keyed = vectors.select(F.monotonically_increasing_id().alias("key"), "h", "v", "ids", F.coalesce("n", F.lit(0)).alias("n"))
+    return saved(keyed, "folded"), queries.select("h", F.col("id").alias("query_id"))
+
+
+def _placed(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         curves = shared.value
         for frame in frames:
             if not len(frame):
                 continue
-            vectors, ids = np.stack(frame["v"].to_numpy()), frame["id"].to_numpy()
-            asks = ids % query_step == 0
+            vectors, keys = np.stack(frame["v"].to_numpy()), frame["key"].to_numpy()
+            asks = frame["n"].to_numpy() > 0
             data = [v.tobytes() for v in vectors]
+            ids = [np.asarray(i, np.int64).tobytes() for i in frame["ids"]]
             for rows, query, lifted in (
-                (np.arange(len(ids)), False, curves.lift(vectors)),
+                (np.arange(len(keys)), False, curves.lift(vectors)),
                 (np.flatnonzero(asks), True, curves.aim(vectors[asks])),
             ):
                 for curve, places in enumerate(curves.places(lifted)):
                     yield pd.DataFrame(
-                        {"curve": curve, "place": places, "query": query, "id": ids[rows], "v": [data[i] for i in rows]}
+                        {
+                            "curve": curve,
+                            "place": places,
+                            "query": query,
+                            "key": keys[rows],
+                            "ids": [b"" if query else ids[i] for i in rows],
+                            "v": [data[i] for i in rows],
+                        }
                     )
 
     return run
@@ -144,9 +176,10 @@ def _blocked(size: int):
                         "curve": curve,
                         "block": task + number,
                         "place": block["place"].iloc[0],
-                        "ids": [vectors["id"].to_numpy(np.int64).tobytes()],
+                        "ids": [b"".join(vectors["ids"])],
+                        "counts": [(vectors["ids"].map(len).to_numpy(np.int64) // 8).tobytes()],
                         "vectors": [b"".join(vectors["v"])],
-                        "query_ids": [asks["id"].to_numpy(np.int64).tobytes()],
+                        "keys": [asks["key"].to_numpy(np.int64).tobytes()],
                         "queries": [b"".join(asks["v"])],
                     }
                 )
@@ -162,105 +195,113 @@ def _blocked(size: int):
     return run
 
 
-_BLOCK_TYPE = "curve int, block long, place long, ids binary, vectors binary, query_ids binary, queries binary"
+_BLOCK_TYPE = "curve int, block long, place long, ids binary, counts binary, vectors binary, keys binary, queries binary"
 
 
-def ranked(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query, id, score) of each query's best k here; ties to smaller ids, never itself.
+def ranked(queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int):
+    """(key, id, score) of each query's best k here; ties to smaller ids.
 
-    A matrix product selects; scores are then summed component by component, so that equal
-    vectors have equal scores wherever they lie.
+    `ids` has the ids of each vector one after the other, `counts` how many are whose. A matrix
+    product selects; scores are then summed component by component, so that vectors of equal
+    scores have them wherever they lie.
     """
     rough = queries @ vectors.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    keep = min(k, len(ids))
-    least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
+    keep = min(k, len(vectors))
+    least = np.partition(rough, len(vectors) - keep, axis=1)[:, len(vectors) - keep]
     slack = _TIE * (1 + np.abs(least))
     q, at = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
     score = np.zeros(len(q))
     for d in range(vectors.shape[1]):
         score += queries[q, d] * vectors[at, d]
-    order = np.lexsort((ids[at], -score, q))
-    q, at, score = q[order], at[order], score[order]
-    first = np.searchsorted(q, q)
-    best = np.arange(len(q)) - first < k
-    return query_ids[q[best]], ids[at[best]], score[best]
+    many = counts[at]
+    own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return _first(keys[np.repeat(q, many)], ids[np.repeat((np.cumsum(counts) - counts)[at], many) + own], np.repeat(score, many), k)
+
+
+def _first(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The best k of each key."""
+    order = np.lexsort((ids, -scores, keys))
+    keys, ids, scores = keys[order], ids[order], scores[order]
+    best = np.arange(len(keys)) - np.searchsorted(keys, keys) < k
+    return keys[best], ids[best], scores[best]
 
 
 def _searched(dim: int, k: int, reach: int):
     """Each query's best in the blocks of one stretch that lie within its reach."""
 
     def run(blocks: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(blocks) and len(asks):
             queries = np.frombuffer(b"".join(asks["queries"])).reshape(-1, dim)
-            query_ids = np.frombuffer(b"".join(asks["query_ids"]), np.int64)
-            homes = np.repeat(asks["home"].to_numpy(), [len(x) // 8 for x in asks["query_ids"]])
-            for number, ids, vectors in zip(blocks["number"], blocks["ids"], blocks["vectors"]):
-                ids, near = np.frombuffer(ids, np.int64), np.abs(homes - number) <= reach
+            keys = np.frombuffer(b"".join(asks["keys"]), np.int64)
+            homes = np.repeat(asks["home"].to_numpy(), [len(x) // 8 for x in asks["keys"]])
+            for number, ids, counts, vectors in zip(blocks["number"], blocks["ids"], blocks["counts"], blocks["vectors"]):
+                ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
+                near = np.abs(homes - number) <= reach
                 if len(ids) and near.any():
                     here = np.frombuffer(vectors).reshape(-1, dim)
-                    found.append(ranked(queries[near], query_ids[near], here, ids, k))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+                    found.append(ranked(queries[near], keys[near], here, ids, counts, k))
         # The best of all blocks together.
-        order = np.lexsort((columns[1], -columns[2], columns[0]))
-        columns = [c[order] for c in columns]
-        best = np.arange(len(order)) - np.searchsorted(columns[0], columns[0]) < k
-        return pd.DataFrame({n: c[best] for n, c in zip(("query_id", "vec_id", "score"), columns)})
+        best = _first(*(np.concatenate(c) for c in zip(*found)), k)
+        return pd.DataFrame(dict(zip(("key", "vec_id", "score"), best)))
 
     return run
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+def _best(found: DataFrame, k: int, key: str) -> DataFrame:
+    order = W.partitionBy(key).orderBy(F.col("score").desc(), "vec_id")
     return (
-        found.groupBy("query_id", "vec_id")
+        found.groupBy(key, "vec_id")
         .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
     )
 
 
-def _window(numbered: DataFrame, dim: int, k: int) -> int:
-    """Blocks to either side that find WANTED of the sample's exact answers."""
+def _window(numbered: DataFrame, folded: DataFrame, queries: DataFrame, dim: int, k: int) -> int:
+    """Blocks to either side that find WANTED of the exact answers of a sample of all queries."""
     spark = numbered.sparkSession
-    asks = numbered.filter("curve = 0").select("query_ids", "queries")
-    per_block = max(1, -(-QUERY_SAMPLE // max(asks.count(), 1)))
-    taken = asks.orderBy(F.xxhash64("query_ids")).limit(QUERY_SAMPLE).collect()
-    ids = np.concatenate([np.frombuffer(r["query_ids"], np.int64)[:per_block] for r in taken])[:QUERY_SAMPLE]
-    queries = np.concatenate([np.frombuffer(r["queries"]).reshape(-1, dim)[:per_block] for r in taken])[:QUERY_SAMPLE]
-    if not len(ids):
+    sample = queries.select("query_id").distinct().orderBy(F.xxhash64("query_id"), "query_id").limit(QUERY_SAMPLE)
+    taken = queries.join(F.broadcast(sample), "query_id")
+    asked = folded.join(F.broadcast(taken), "h").select("query_id", "key", "v").toPandas()
+    if not len(asked):
         return 0
-    shared = spark.sparkContext.broadcast((ids, queries))
+    once = asked.drop_duplicates("key")
+    shared = spark.sparkContext.broadcast((once["key"].to_numpy(), np.stack(once["v"].to_numpy())))
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, asked = shared.value
-        search = _searched(dim, k, 0)
-        asked = pd.DataFrame({"query_ids": [query_ids.tobytes()], "queries": [asked.tobytes()], "home": [0]})
+        keys, vectors = shared.value
+        search = _searched(dim, k + 1, 0)
+        asks = pd.DataFrame({"keys": [keys.tobytes()], "queries": [vectors.tobytes()], "home": [0]})
         for frame in frames:
-            yield search(frame.assign(number=0), asked)
+            yield search(frame.assign(number=0), asks)
 
-    first = numbered.filter("curve = 0").select("ids", "vectors")
-    answers = _best(first.mapInPandas(exact, "query_id long, vec_id long, score double"), k).select("query_id", "vec_id").toPandas()
-    wanted = spark.sparkContext.broadcast(np.unique(np.concatenate([answers["vec_id"].to_numpy(), ids])))
+    first = numbered.filter("curve = 0").select("ids", "counts", "vectors")
+    answers = _best(first.mapInPandas(exact, "key long, vec_id long, score double"), k + 1, "key").toPandas()
+    answers = asked[["query_id", "key"]].merge(answers, on="key")
+    answers = answers[answers["query_id"] != answers["vec_id"]]
+    # A repeated id with several vectors asks for the best of all of them.
+    answers = answers.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    answers = answers.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)[["query_id", "key", "vec_id"]]
+    wanted = spark.sparkContext.broadcast((np.unique(answers["vec_id"].to_numpy()), once["key"].to_numpy()))
 
     def located(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for curve, number, kind, column in [
                 (c, n, q, x)
-                for c, n, a, b in zip(frame["curve"], frame["number"], frame["ids"], frame["query_ids"])
+                for c, n, a, b in zip(frame["curve"], frame["number"], frame["ids"], frame["keys"])
                 for q, x in ((False, a), (True, b))
             ]:
                 here = np.frombuffer(column, np.int64)
-                here = here[np.isin(here, wanted.value)]
+                here = here[np.isin(here, wanted.value[kind])]
                 yield pd.DataFrame({"curve": curve, "number": number, "query": kind, "id": here})
 
-    places = numbered.select("curve", "number", "ids", "query_ids").mapInPandas(
+    places = numbered.select("curve", "number", "ids", "keys").mapInPandas(
         located, "curve int, number int, query boolean, id long"
     ).toPandas()
-    own = places[places["query"]].rename(columns={"id": "query_id", "number": "home"})[["curve", "query_id", "home"]]
+    own = places[places["query"]].rename(columns={"id": "key", "number": "home"})[["curve", "key", "home"]]
     other = places[~places["query"]].rename(columns={"id": "vec_id"})[["curve", "vec_id", "number"]]
-    far = answers.merge(own, on="query_id").merge(other, on=["curve", "vec_id"])
+    far = answers.merge(own, on="key").merge(other, on=["curve", "vec_id"])
     nearest = (far["home"] - far["number"]).abs().groupby([far["query_id"], far["vec_id"]]).min().sort_values()
     return int(nearest.iloc[min(len(nearest) - 1, int(np.ceil(WANTED * len(nearest))))]) if len(nearest) else 0
 
@@ -286,29 +327,31 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
         return spark.createDataFrame([], schema)
-    dim, n = lengths["dim"], lengths["count"]
-    base = base.filter(F.size("v") == dim)
+    dim = lengths["dim"]
+    folded, queries = _folded(base.filter(F.size("v") == dim), query_step, k)
+    n = folded.count()
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    longest = float(np.sqrt(base.agg(F.max(norm)).first()[0]))
-    sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(max(1, GRID_SAMPLE * (1 << 20) // n)))
+    longest = float(np.sqrt(folded.agg(F.max(norm)).first()[0]))
+    sample = folded.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.lit(max(1, GRID_SAMPLE * (1 << 20) // n)))
     seen = np.array([r["v"] for r in sample.select("v").limit(2 * GRID_SAMPLE).collect()] or [[longest] + [0.0] * (dim - 1)])
     shared = spark.sparkContext.broadcast(Curves(seen, longest))
-    placed = base.mapInPandas(_placed(shared, query_step), "curve int, place long, query boolean, id long, v binary")
+    kind = "curve int, place long, query boolean, key long, ids binary, v binary"
+    placed = folded.select("key", "v", "ids", "n").mapInPandas(_placed(shared), kind)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CURVES)
-    ordered = placed.repartitionByRange(tasks, "curve", "place", "query", "id").sortWithinPartitions(
-        "curve", "place", "query", "id"
-    )
+    # A query lies beside its own vector where both have one place.
+    order = ["curve", "place", "key", "query"]
+    ordered = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     blocks = saved(ordered.mapInPandas(_blocked(block), _BLOCK_TYPE), "blocks")
     numbers = blocks.select(
         "block", (F.row_number().over(W.partitionBy("curve").orderBy("place", "block")) - 1).alias("number")
     )
     numbered = saved(blocks.join(numbers, "block"), "numbered")
-    reach = _window(numbered, dim, k)
+    reach = _window(numbered, folded, queries, dim, k)
     stretch = lambda number: F.floor(number / TOGETHER)
     last = numbered.groupBy("curve").agg(F.max("number").alias("last"))
     asks = (
-        numbered.filter(F.length("query_ids") > 0)
-        .select("curve", "number", "query_ids", "queries")
+        numbered.filter(F.length("keys") > 0)
+        .select("curve", "number", "keys", "queries")
         .join(F.broadcast(last), "curve")
         .select(
             F.col("curve").alias("line"),
@@ -319,14 +362,21 @@ def nearest(
                     stretch(F.least(F.col("number") + reach, F.col("last"))),
                 )
             ).alias("target"),
-            "query_ids",
+            "keys",
             "queries",
         )
     )
     found = (
-        numbered.select("curve", stretch(F.col("number")).alias("stretch"), "number", "ids", "vectors")
+        numbered.select("curve", stretch(F.col("number")).alias("stretch"), "number", "ids", "counts", "vectors")
         .groupBy("curve", "stretch")
         .cogroup(asks.groupBy("line", "target"))
-        .applyInPandas(_searched(dim, k, reach), "query_id long, vec_id long, score double")
+        .applyInPandas(_searched(dim, k + 1, reach), "key long, vec_id long, score double")
+    )
+    near = _best(found, k + 1, "key").groupBy("key").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    answers = saved(folded.select("key", "h", "n").join(near, "key").select("h", "n", "near"), "answers")
+    pairs = (
+        join_hot(queries, answers, "h", "n", "inner")
+        .select("query_id", F.inline("near"))
+        .filter("query_id != vec_id")
     )
-    return _best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return _best(pairs, k, "query_id").select("query_id", F.col("rank").cast("int"), "vec_id", "score")

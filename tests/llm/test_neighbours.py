@@ -70,3 +70,23 @@ def test_many_equal_vectors(spark):
     same = [i for i in range(3000) if (i % 3 == 1) == (60 % 3 == 1) and i != 60]
     assert len(found) == 20 and all(abs(r.score - 1.0) < 1e-12 for r in found)
     assert {r.vec_id for r in found} <= set(range(3000)) - {60} and same
+
+
+def test_equal_vectors_among_many_blocks(spark):
+    """Half of all vectors are one, the rest lie in clusters: its queries have its smallest ids, exactly."""
+    draw = np.random.default_rng(5)
+    vectors = np.repeat(draw.standard_normal((60, 6)), 50, axis=0) + draw.standard_normal((3000, 6)) * 0.02
+    vectors = np.concatenate([vectors, np.repeat(draw.standard_normal((1, 6)), 3000, axis=0)])
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    ids = draw.permutation(len(vectors))
+    same, hits, found = np.sort(ids[3000:]).tolist(), 0, {}
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    for r in neighbours.nearest(rows, block=8).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(found) == set(range(0, len(ids), 20))
+    for query, own in found.items():
+        got = [i for _, i in sorted(own)]
+        if query in same:
+            assert got == [i for i in same if i != query][:20]
+        hits += len(set(got) & {i for i, _ in exact(ids, vectors, query, 20)})
+    assert hits >= 0.9 * 20 * len(found)

@@ -203,11 +203,16 @@ def ranked(queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, ids: np.n
 
     `ids` has the ids of each vector one after the other, `counts` how many are whose. A matrix
     product selects; scores are then summed component by component, so that vectors of equal
-    scores have them wherever they lie.
+    scores have them wherever they lie. An id of several vectors has the best score of them and
+    takes one place; at least k ids reach the k-th best of the vectors' first ids.
     """
     rough = queries @ vectors.T
-    keep = min(k, len(vectors))
-    least = np.partition(rough, len(vectors) - keep, axis=1)[:, len(vectors) - keep]
+    starts = np.cumsum(counts) - counts
+    order = np.argsort(ids[starts], kind="stable")
+    change = np.flatnonzero(np.diff(ids[starts][order], prepend=ids[starts][order[0]] - 1))
+    each = rough if len(change) == len(order) else np.maximum.reduceat(rough[:, order], change, axis=1)
+    keep = min(k, len(change))
+    least = np.partition(each, len(change) - keep, axis=1)[:, len(change) - keep]
     slack = _TIE * (1 + np.abs(least))
     q, at = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
     score = np.zeros(len(q))
@@ -215,12 +220,16 @@ def ranked(queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, ids: np.n
         score += queries[q, d] * vectors[at, d]
     many = counts[at]
     own = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return _first(keys[np.repeat(q, many)], ids[np.repeat((np.cumsum(counts) - counts)[at], many) + own], np.repeat(score, many), k)
+    return _first(keys[np.repeat(q, many)], ids[np.repeat(starts[at], many) + own], np.repeat(score, many), k)
 
 
 def _first(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """The best k of each key."""
-    order = np.lexsort((ids, -scores, keys))
+    """The best k ids of each key; an id that comes more than once has its best score."""
+    order = np.lexsort((-scores, ids, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(keys[order]) != 0) | (np.diff(ids[order]) != 0)
+    order = order[new]
+    order = order[np.lexsort((ids[order], -scores[order], keys[order]))]
     keys, ids, scores = keys[order], ids[order], scores[order]
     best = np.arange(len(keys)) - np.searchsorted(keys, keys) < k
     return keys[best], ids[best], scores[best]

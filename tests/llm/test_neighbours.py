@@ -90,3 +90,33 @@ def test_equal_vectors_among_many_blocks(spark):
             assert got == [i for i in same if i != query][:20]
         hits += len(set(got) & {i for i, _ in exact(ids, vectors, query, 20)})
     assert hits >= 0.9 * 20 * len(found)
+
+
+def test_repeated_ids(spark):
+    """Every row twice, and each tenth id with a second and a third vector of its own."""
+    draw = np.random.default_rng(6)
+    vectors = draw.standard_normal((400, 5))
+    pairs = [(i, v) for i, v in enumerate(vectors)] * 2
+    pairs += [(i, vectors[i] * s) for i in range(0, 400, 10) for s in (1.5, 2.0)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in pairs], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(rows, block=1024).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == set(range(0, 400, 20))
+    hits = 0
+    for query, own in found.items():
+        best = {}
+        for i, v in pairs:
+            for q in (vectors[query] * s for s in (1, 1.5, 2)):
+                best[i] = max(best.get(i, -np.inf), q @ v)
+        wanted = sorted((-s, i) for i, s in best.items() if i != query)[:20]
+        assert len({i for _, i, _ in own}) == len(own) == 20
+        hits += sum(abs(best[i] - s) < 1e-9 for _, i, s in own if i in {i for _, i in wanted})
+    assert hits >= 0.9 * 20 * len(found)
+
+
+def test_repeated_ids_in_a_block():
+    vectors = np.array([[5.0], [4.0], [3.0], [2.0], [1.0]])
+    ids, counts = np.array([7, 7, 7, 8, 9, 10]), np.array([1, 1, 1, 2, 1])
+    found = neighbours.ranked(np.array([[1.0]]), np.array([3]), vectors, ids, counts, 3)
+    assert [c.tolist() for c in found] == [[3, 3, 3], [7, 8, 9], [5.0, 2.0, 2.0]]

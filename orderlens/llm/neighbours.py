@@ -26,6 +26,9 @@ AXES, BITS = 8, 7
 # Vectors of a block, and blocks searched by one group of a task.
 BLOCK = 1024
 TOGETHER = 16
+# Queries that one group of a task takes, about; and those multiplied with a block at once.
+ASKED = 16_384
+SLICE = 256
 # Bounds of the samples: vectors for the grid, queries for the window; the share to be found.
 GRID_SAMPLE = 4096
 QUERY_SAMPLE = 64
@@ -152,30 +155,40 @@ def _placed(shared):
 
 
 def _blocked(size: int):
-    """Rows in curve order to blocks; each query gets the block that it falls into."""
+    """Rows in curve order to blocks of `size` vectors; each query gets the block that it falls into.
+
+    A block is one row or, if more than `size` queries fall into it, several under one number,
+    with at most `size` queries each.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number = TaskContext.get().partitionId() << 32, 0
+        block, on, filled = TaskContext.get().partitionId() << 32, None, 0
         held: list[pd.DataFrame] = []
 
         def whole(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal number, held
+            nonlocal block, on, filled, held
             rows = pd.concat(held) if held else pd.DataFrame()
             while len(rows):
                 curve = rows["curve"].iloc[0]
                 own = rows["curve"].to_numpy() == curve
-                end = len(rows) if own.all() else int(np.argmin(own))
-                filled = np.cumsum(~rows["query"].to_numpy()[:end])
-                cut = int(np.searchsorted(filled, size + 1)) if filled[-1] > size else end
+                asked = rows["query"].to_numpy()[: len(rows) if own.all() else int(np.argmin(own))]
+                here = filled if curve == on and (filled < size or asked[0]) else 0
+                cut = min(
+                    int(np.searchsorted(np.cumsum(~asked), size - here + 1)),
+                    int(np.searchsorted(np.cumsum(asked), size + 1)),
+                )
                 if cut == len(rows) and not last:
                     break
-                block, rows = rows.iloc[:cut], rows.iloc[cut:]
-                vectors, asks = block[~block["query"]], block[block["query"]]
+                if on is not None and (curve != on or here != filled):
+                    block += 1
+                on = curve
+                piece, rows = rows.iloc[:cut], rows.iloc[cut:]
+                vectors, asks = piece[~piece["query"]], piece[piece["query"]]
+                filled = here + len(vectors)
                 yield pd.DataFrame(
                     {
                         "curve": curve,
-                        "block": task + number,
-                        "place": block["place"].iloc[0],
+                        "block": block,
                         "ids": [b"".join(vectors["ids"])],
                         "counts": [(vectors["ids"].map(len).to_numpy(np.int64) // 8).tobytes()],
                         "vectors": [b"".join(vectors["v"])],
@@ -183,7 +196,6 @@ def _blocked(size: int):
                         "queries": [b"".join(asks["v"])],
                     }
                 )
-                number += 1
             held = [rows] if len(rows) else []
 
         for frame in frames:
@@ -195,7 +207,7 @@ def _blocked(size: int):
     return run
 
 
-_BLOCK_TYPE = "curve int, block long, place long, ids binary, counts binary, vectors binary, keys binary, queries binary"
+_BLOCK_TYPE = "curve int, block long, ids binary, counts binary, vectors binary, keys binary, queries binary"
 
 
 def ranked(queries: np.ndarray, keys: np.ndarray, vectors: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int):
@@ -244,14 +256,19 @@ def _searched(dim: int, k: int, reach: int):
             queries = np.frombuffer(b"".join(asks["queries"])).reshape(-1, dim)
             keys = np.frombuffer(b"".join(asks["keys"]), np.int64)
             homes = np.repeat(asks["home"].to_numpy(), [len(x) // 8 for x in asks["keys"]])
-            for number, ids, counts, vectors in zip(blocks["number"], blocks["ids"], blocks["counts"], blocks["vectors"]):
-                ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
-                near = np.abs(homes - number) <= reach
-                if len(ids) and near.any():
-                    here = np.frombuffer(vectors).reshape(-1, dim)
-                    found.append(ranked(queries[near], keys[near], here, ids, counts, k))
-        # The best of all blocks together.
-        best = _first(*(np.concatenate(c) for c in zip(*found)), k)
+            for at in range(0, len(keys), SLICE):
+                asked, own, home = (x[at : at + SLICE] for x in (queries, keys, homes))
+                part = []
+                for number, ids, counts, vectors in zip(blocks["number"], blocks["ids"], blocks["counts"], blocks["vectors"]):
+                    ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
+                    near = np.abs(home - number) <= reach
+                    if len(ids) and near.any():
+                        here = np.frombuffer(vectors).reshape(-1, dim)
+                        part.append(ranked(asked[near], own[near], here, ids, counts, k))
+                # The best of all blocks together.
+                if part:
+                    found.append(_first(*(np.concatenate(c) for c in zip(*part)), k))
+        best = (np.concatenate(c) for c in zip(*found))
         return pd.DataFrame(dict(zip(("key", "vec_id", "score"), best)))
 
     return run
@@ -351,10 +368,13 @@ def nearest(
     order = ["curve", "place", "key", "query"]
     ordered = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     blocks = saved(ordered.mapInPandas(_blocked(block), _BLOCK_TYPE), "blocks")
-    numbers = blocks.select(
-        "block", (F.row_number().over(W.partitionBy("curve").orderBy("place", "block")) - 1).alias("number")
+    # Tasks hold ranges in their order, so blocks do too.
+    numbers = (
+        blocks.select("curve", "block")
+        .distinct()
+        .select("curve", "block", (F.row_number().over(W.partitionBy("curve").orderBy("block")) - 1).alias("number"))
     )
-    numbered = saved(blocks.join(numbers, "block"), "numbered")
+    numbered = saved(blocks.join(numbers, ["curve", "block"]), "numbered")
     reach = _window(numbered, folded, queries, dim, k)
     stretch = lambda number: F.floor(number / TOGETHER)
     last = numbered.groupBy("curve").agg(F.max("number").alias("last"))
@@ -375,10 +395,21 @@ def nearest(
             "queries",
         )
     )
+    # Queries of a stretch are dealt to as many groups as keep them bounded, each with all blocks.
+    parts = saved(
+        asks.groupBy("line", "target").agg(F.ceil(F.sum(F.length("keys")) / (8 * ASKED)).alias("parts")), "parts"
+    )
+    asks = asks.join(F.broadcast(parts), ["line", "target"])
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("keys"), "parts")).drop("parts")
+    dealt = parts.select(F.col("line").alias("curve"), F.col("target").alias("stretch"), F.col("parts").alias("groups"))
     found = (
-        numbered.select("curve", stretch(F.col("number")).alias("stretch"), "number", "ids", "counts", "vectors")
-        .groupBy("curve", "stretch")
-        .cogroup(asks.groupBy("line", "target"))
+        numbered.filter(F.length("ids") > 0)
+        .select("curve", stretch(F.col("number")).alias("stretch"), "number", "ids", "counts", "vectors")
+        .join(F.broadcast(dealt), ["curve", "stretch"])
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        .drop("groups")
+        .groupBy("curve", "stretch", "part")
+        .cogroup(asks.groupBy("line", "target", "part"))
         .applyInPandas(_searched(dim, k + 1, reach), "key long, vec_id long, score double")
     )
     near = _best(found, k + 1, "key").groupBy("key").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))

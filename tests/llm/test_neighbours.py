@@ -120,3 +120,33 @@ def test_repeated_ids_in_a_block():
     ids, counts = np.array([7, 7, 7, 8, 9, 10]), np.array([1, 1, 1, 2, 1])
     found = neighbours.ranked(np.array([[1.0]]), np.array([3]), vectors, ids, counts, 3)
     assert [c.tolist() for c in found] == [[3, 3, 3], [7, 8, 9], [5.0, 2.0, 2.0]]
+
+
+def test_blocks_hold_bounded_queries(spark):
+    """Many queries between two vectors: several rows of one block, no cell of all of them."""
+    asked = [i >= 20 and i < 520 for i in range(540)]
+    rows = [(0, i, q, i, b"" if q else i.to_bytes(8, "little"), bytes(16)) for i, q in enumerate(asked)]
+    kind = "curve int, place long, query boolean, key long, ids binary, v binary"
+    placed = spark.createDataFrame(rows, kind).coalesce(1).sortWithinPartitions("place")
+    blocks = placed.mapInPandas(neighbours._blocked(16), neighbours._BLOCK_TYPE).collect()
+    assert max(len(b.keys) for b in blocks) <= 16 * 8 and max(len(b.vectors) for b in blocks) <= 16 * 16
+    keys = np.frombuffer(b"".join(b.keys for b in blocks), np.int64)
+    assert keys.tolist() == list(range(20, 520))
+    # All 500 have the block of the vectors 16 to 19, whose other vectors come after them.
+    assert len({b.block for b in blocks if len(b.keys)}) == 1
+    sizes = {}
+    for b in blocks:
+        sizes[b.block] = sizes.get(b.block, 0) + len(b.ids) // 8
+    assert sorted(sizes.values()) == [8, 16, 16]
+
+
+def test_many_queries_of_one_direction(spark, monkeypatch):
+    """All queries fall to one place; they are dealt to groups and searched in slices."""
+    monkeypatch.setattr(neighbours, "ASKED", 8)
+    rows = spark.range(1200).selectExpr("id as vec_id", "array(0.6D * (id + 1), 0.8D * (id + 1)) as embedding")
+    found = {}
+    for r in neighbours.nearest(rows, block=32, k=5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(found) == set(range(0, 1200, 20))
+    hits = sum(len({i for _, i in own} & {i for i in range(1194, 1200) if i != q}) for q, own in found.items())
+    assert hits >= 0.9 * 5 * len(found)

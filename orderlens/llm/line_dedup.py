@@ -1,9 +1,9 @@
 """Recurring lines by a tree of log templates, with DataFrame functions only.
 
 A line is parsed at fixed depth: its number of tokens, then its leading tokens, in which
-every token with a digit counts as variable. In each leaf the most frequent form is the
-template; lines that agree with it in most tokens belong to it, and the tokens in which they
-differ are variable too. Templates that recur across documents are dropped, except in the
+every token with a digit counts as variable. A leaf has as many templates as it needs: the more
+frequent forms come first, lines that agree with one in most tokens belong to it, and the
+tokens in which they differ are variable too. Templates that recur across documents are dropped, except in the
 first document that has them.
 """
 
@@ -44,6 +44,59 @@ def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, LEADING), " "))
 
 
+def _buckets(tokens: Column, leaf: Column) -> Column:
+    """One number for each part of the tokens; two forms of a leaf that agree have one in common.
+
+    There is one part more than tokens in which such forms may differ, so one part is equal.
+    """
+    size = F.size(tokens)
+    parts = size - F.ceil(SIMILAR * size) + 1
+    rest = F.greatest(size - LEADING, F.lit(0))
+    start = lambda i: F.floor(i * rest / parts).cast("int")
+    part = lambda i: F.array_join(F.slice(tokens, start(i) + LEADING + 1, start(i + 1) - start(i)), " ")
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: F.xxhash64(leaf, i, part(i)))
+
+
+def _moved(forms: DataFrame) -> DataFrame:
+    """(form, head, lines) of the forms that belong to another, by hashes, from (leaf, form, lines).
+
+    In each round a form that comes first in all of its buckets is a template, and all forms
+    that agree with it join it; they meet it in a bucket, so what is left agrees with no
+    template yet. Forms that meet no other are done. Equally frequent forms come by hash.
+    """
+    spark = forms.sparkSession
+    texts = forms.select(F.xxhash64("form").alias("key"), "form", "lines")
+    left = forms.select(
+        F.xxhash64("form").alias("key"), "lines", F.explode(_buckets(F.split("form", " "), F.col("leaf"))).alias("bucket")
+    )
+    out = spark.createDataFrame([], "form long, head long, lines long")
+    while True:
+        first = F.min(F.struct(-F.col("lines"), "key")).alias("top")
+        tops = saved(left.groupBy("bucket").agg(first, F.count("*").alias("n")).filter("n > 1"), "tops")
+        if tops.isEmpty():
+            return out
+        met = saved(join_hot(left, tops, "bucket", "n", "inner").select("bucket", "key", "lines", "top"), "met")
+        heads = met.groupBy("key").agg(F.min("top")["key"].alias("top")).filter("key = top").select("key")
+        heads = saved(heads.join(texts, "key").select(F.col("key").alias("head"), F.col("form").alias("text"), F.col("lines").alias("of")), "heads")
+        pairs = met.select("key", F.col("top")["key"].alias("head")).filter("key != head").distinct()
+        # How many forms meet a template, so that a frequent one comes by broadcast.
+        asked = pairs.groupBy("head").agg(F.count("*").alias("n"))
+        named = saved(heads.join(asked, "head"), "named")
+        near = join_hot(saved(pairs.join(texts, "key"), "pairs"), named, "head", "n", "inner")
+        own, other = F.split("form", " "), F.split("text", " ")
+        equal = F.size(F.filter(F.zip_with(own, other, lambda a, b: a == b), lambda x: x))
+        joined = saved(
+            near.filter(equal >= SIMILAR * F.size(own))
+            .groupBy("key", "lines")
+            .agg(F.min(F.struct(-F.col("of"), "head"))["head"].alias("head"))
+            .select(F.col("key").alias("form"), "head", "lines"),
+            "joined",
+        )
+        out = out.unionByName(joined)
+        placed = heads.select(F.col("head").alias("key")).unionByName(joined.select(F.col("form").alias("key")))
+        left = saved(met.select("bucket", "key", "lines").join(placed, "key", "left_anti"), "left")
+
+
 def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, text_hash, line) of each line to drop, from (doc_id, text)."""
     texts = saved(
@@ -67,22 +120,7 @@ def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         .agg(F.count("*").alias("lines")),
         "forms",
     )
-    # Of equally frequent forms the first by text is the template.
-    heads = saved(
-        forms.groupBy("leaf").agg(
-            F.min(F.struct(-F.col("lines"), "form"))["form"].alias("head"), F.count("*").alias("n")
-        ),
-        "heads",
-    )
-    matched = join_hot(forms, heads, "leaf", "n", "inner")
-    own, head = F.split("form", " "), F.split("head", " ")
-    equal = F.size(F.filter(F.zip_with(own, head, lambda a, b: a == b), lambda x: x))
-    moved = saved(
-        matched.filter((F.col("form") != F.col("head")) & (equal >= SIMILAR * F.size(own))).select(
-            F.xxhash64("form").alias("form"), F.xxhash64("head").alias("head"), "lines"
-        ),
-        "moved",
-    )
+    moved = saved(_moved(forms), "moved")
     placed = saved(
         join_hot(keys.select("doc_id", "text_hash", "line", "form"), moved, "form", "lines").select(
             "doc_id", "text_hash", "line", F.coalesce("head", "form").alias("template")

@@ -85,3 +85,15 @@ def test_hot_lines(spark):
     rows = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs).collect()}
     assert rows[0] == (2, 0) and rows[3] == (502, 501) and rows[6] == (2, 1)
     assert sum(d for _, d in rows.values()) == 298 + 501
+
+
+def test_two_families_in_a_leaf(spark):
+    """A fixed line is the more frequent one; the family beside it has names without digits."""
+    name = lambda i: "reader" + "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = {i: f"own {name(i)}\nPosted in the category sports by our own staff today" for i in range(100)}
+    texts |= {i: f"own {name(i)}\nPosted in the category archive section of reader {name(i)} here" for i in range(100, 150)}
+    texts |= {i: f"own {name(i)}\nPosted in the category places near {name(i)} and its harbour" for i in range(150, 170)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_recurring_lines(docs).collect()}
+    for i, text in texts.items():
+        assert rows[i] == ((0, text) if i in (0, 100, 150) else (1, f"own {name(i)}"))

@@ -15,4 +15,70 @@ SELECT doc_id,
 FROM hashed
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP}
+# Each round of a recursion climbs one level of the trees that have several nodes left; a leaf
+# carries its ancestor, its siblings so far, and what its own digest folds to. CRC32 is worked
+# out bit by bit: each byte is followed by eight shifts.
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE
+enc AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295], flatten(list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS crc
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, source,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) END AS claim
+  FROM enc
+),
+low AS (
+  SELECT doc_id, source, leaf, 0 AS height, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS nodes, leaf AS node, '' AS siblings, coalesce(claim, leaf) AS folded
+  FROM leaves
+  UNION ALL
+  SELECT l.doc_id, l.source, l.leaf, l.height + 1, l.pos // 16, (l.nodes + 15) // 16, sha256(array_to_string(r.run, '')),
+         l.siblings || array_to_string(r.run[1:l.pos % 16], '') || array_to_string(r.run[l.pos % 16 + 2:], ''),
+         sha256(array_to_string(r.run[1:l.pos % 16], '') || l.folded || array_to_string(r.run[l.pos % 16 + 2:], ''))
+  FROM low l JOIN (
+    SELECT source, pos // 16 AS up, list(node ORDER BY pos) AS run
+    FROM (SELECT DISTINCT source, pos, node FROM low) GROUP BY source, pos // 16
+  ) r ON r.source IS NOT DISTINCT FROM l.source AND r.up = l.pos // 16
+  WHERE l.nodes > 1
+),
+subroots AS (
+  SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS nodes
+  FROM (SELECT DISTINCT source, node FROM low WHERE nodes = 1)
+),
+high AS (
+  SELECT s.source, s.subroot, s.pos, s.nodes, s.subroot AS node, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS path
+  FROM subroots s
+  UNION ALL
+  SELECT h.source, h.subroot, h.pos // 16, (h.nodes + 15) // 16, sha256(array_to_string(r.run, '')),
+         list_append(h.path, {'l': array_to_string(r.run[1:h.pos % 16], ''), 'r': array_to_string(r.run[h.pos % 16 + 2:], '')})
+  FROM high h JOIN (
+    SELECT pos // 16 AS up, list(node ORDER BY pos) AS run FROM (SELECT DISTINCT pos, node FROM high) GROUP BY pos // 16
+  ) r ON r.up = h.pos // 16
+  WHERE h.nodes > 1
+),
+folding AS (
+  SELECT w.doc_id, w.leaf, w.source, h.subroot, h.node AS root, h.path, w.siblings, w.folded, 1 AS step
+  FROM low w JOIN high h ON w.source IS NOT DISTINCT FROM h.source
+  WHERE w.nodes = 1 AND h.nodes = 1
+  UNION ALL
+  SELECT doc_id, leaf, source, subroot, root, path, siblings || path[step].l || path[step].r,
+         sha256(path[step].l || folded || path[step].r), step + 1
+  FROM folding WHERE step <= len(path)
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM folding WHERE step = len(path) + 1
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op11_merkle_manifest": MERKLE_MANIFEST}

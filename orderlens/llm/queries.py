@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, exact_dedup, language, line_dedup, neighbours, packing, ppm, secret_scan, simhash
-from orderlens.llm import substring_dedup
+from orderlens.llm import bpe, exact_dedup, language, line_dedup, merkle, neighbours, packing, ppm, secret_scan
+from orderlens.llm import simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,26 @@ def op10_lm_scoring(spark, sf_dir):
     return ppm.score_texts(documents(spark, sf_dir))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark, sf_dir):
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf([*[F.col(n) for n in names[:-1]], F.translate("text", UPPER, LOWER)])
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    manifest = merkle.build(documents(spark, sf_dir), names, "source", "doc_id", F.when(chosen, tampered))
+    found = merkle.proofs(manifest).withColumn("folded_root", merkle.fold(F.coalesce("claim", "leaf"), F.col("path")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,5 +113,6 @@ QUERIES: dict[str, Query] = {
         op8_simhash_dedup,
         op9_nearest_neighbours,
         op10_lm_scoring,
+        op11_merkle_manifest,
     )
 }

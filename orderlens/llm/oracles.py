@@ -81,4 +81,38 @@ SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS
 FROM folding WHERE step = len(path) + 1
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": EXACT_DEDUP, "op11_merkle_manifest": MERKLE_MANIFEST}
+_TERMS = r"""
+regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+"""
+
+LEXICAL_SEARCH = f"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM docs) GROUP BY doc_id, term
+),
+lengths AS (SELECT doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, corpus GROUP BY term
+),
+asked AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id), corpus
+  GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": EXACT_DEDUP,
+    "op11_merkle_manifest": MERKLE_MANIFEST,
+    "op12_lexical_search": LEXICAL_SEARCH,
+}

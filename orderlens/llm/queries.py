@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, exact_dedup, language, line_dedup, merkle, neighbours, packing, ppm, secret_scan
-from orderlens.llm import simhash, substring_dedup
+from orderlens.llm import bpe, exact_dedup, language, lexical, line_dedup, merkle, neighbours, packing, ppm
+from orderlens.llm import secret_scan, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +100,10 @@ def op11_merkle_manifest(spark, sf_dir):
     )
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -114,5 +118,6 @@ QUERIES: dict[str, Query] = {
         op9_nearest_neighbours,
         op10_lm_scoring,
         op11_merkle_manifest,
+        op12_lexical_search,
     )
 }

@@ -1,0 +1,116 @@
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from compare import connect, difference
+from pyspark.sql import functions as F
+
+from orderlens.llm import lexical
+from orderlens.llm.oracles import ORACLES
+from orderlens.llm.queries import QUERIES
+
+LOWER = str.maketrans(lexical.UPPER, lexical.LOWER)
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def plain(docs, items, k=10):
+    """Rows (item_id, rank, doc_id, score), in order."""
+    held = [(i, Counter(terms_of(t))) for i, t in docs]
+    held = [(i, c) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(c.total() for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item_id, text in items:
+        scored = []
+        for doc_id, c in held:
+            m = 100 - 75 + (75 * c.total() * n_docs) // n_terms
+            score = 0
+            for t in terms_of(text):
+                if t in c:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += w * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id or 0, doc_id))
+        out += [(item_id, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scored, key=lambda s: s[:3])[:k])]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def frames(spark, docs, items, parts=3):
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(parts),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+
+
+def test_query_against_sql_and_plain(spark, sf_dir):
+    df = QUERIES["op12_lexical_search"](spark, sf_dir)
+    assert difference(df, connect(sf_dir), ORACLES["op12_lexical_search"]) is None
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    assert got(df) == plain(docs, items)
+
+
+WORDS = ["a", "ab", "b", "bab", "é", "日本", "x1", "1", "\x80", "A", "Ab"]
+GAPS = [" ", "\n", ".", "--", "_", "\x00", "\x7f", "@["]
+
+
+@pytest.mark.parametrize("block_bytes", [200, lexical.BLOCK_BYTES])
+def test_random_texts_in_blocks(spark, block_bytes):
+    draw = np.random.default_rng(3)
+
+    def text(n):
+        return "".join(str(draw.choice(WORDS)) + str(draw.choice(GAPS)) for _ in range(n))
+
+    docs = [(i, text(draw.integers(0, 12))) for i in range(150)] + [(7, "ab ab é"), (7, "ab ab é"), (None, "ab é b")]
+    items = [(i, text(draw.integers(0, 6))) for i in range(9)] + [(3, "日本 \x80"), (None, "ab")]
+    found = lexical.search(*frames(spark, docs, items), block_bytes=block_bytes)
+    assert got(found) == plain(docs, items)
+
+
+def test_terms_inside_others_are_not_found():
+    machine = lexical.automaton([b"ab", b"b", "é".encode()])
+    n, terms, tf = lexical.count_terms(machine, "AB bab,ab b\tÉ é éb")
+    assert n == 7 and dict(zip(terms.tolist(), tf.tolist())) == {0: 2, 1: 1, 2: 1}
+
+
+def test_equal_scores_go_by_id_over_cuts(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "_CUT", 4)
+    docs = [(i, "same words here") for i in range(200, 0, -1)] + [(i, "other") for i in range(300, 600)]
+    items = [(1, "same"), (2, "words words"), (3, "none of it")]
+    found = lexical.search(*frames(spark, docs, items, 9), k=5)
+    assert got(found) == plain(docs, items, 5)
+    assert {r.doc_id for r in found.collect()} == {1, 2, 3, 4, 5}
+
+
+def test_odd_rows(spark, odd):
+    docs = odd.select(*odd.columns, F.lit(1).alias("item"), F.lit(2).alias("score"), F.lit(3).alias("rank"))
+    items = spark.createDataFrame(
+        [(1, "Alpha 1234", "x"), (2, None, "x"), (3, "", "x"), (4, "lorem ñandú", "x"), (4, "lorem ñandú", "x")],
+        "item_id long, text string, doc_id string",
+    )
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    asked = [(r.item_id, r.text) for r in items.collect()]
+    assert got(lexical.search(docs, items)) == plain(rows, asked)
+
+
+def test_empty_tables(spark, odd, nothing):
+    items = spark.createDataFrame([(1, "alpha")], "item_id long, text string")
+    for docs, asked in ((nothing, items), (odd, items.limit(0)), (odd, items.select("item_id", F.lit("..").alias("text")))):
+        found = lexical.search(docs, asked)
+        assert found.columns == ["item_id", "rank", "doc_id", "score"] and found.collect() == []
+
+
+def test_a_very_long_text(spark):
+    docs = [(1, "alpha beta " * 2_000_000), (2, "alpha"), (3, "gamma")]
+    items = [(1, "alpha beta")]
+    assert got(lexical.search(*frames(spark, docs, items, 1))) == plain(docs, items)

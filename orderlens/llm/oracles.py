@@ -111,8 +111,43 @@ ranked AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
+# Words come from text whose white space is single blanks. A link is two documents that share
+# enough shingles; components grow from every document to the smallest id in reach.
+JACCARD_JOIN = r"""
+WITH RECURSIVE
+worded AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda w: w <> '') AS words
+  FROM documents
+),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                      WHEN len(words) <= 4 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+                 END AS shingles
+  FROM worded
+),
+sets AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM shingled s JOIN reach r ON r.a = s.doc_id
+GROUP BY s.doc_id, shingles
+"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op11_merkle_manifest": MERKLE_MANIFEST,
     "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_jaccard_join": JACCARD_JOIN,
 }

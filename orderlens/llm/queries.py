@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.llm import bpe, exact_dedup, language, lexical, line_dedup, merkle, neighbours, packing, ppm
-from orderlens.llm import secret_scan, simhash, substring_dedup
+from orderlens.llm import bpe, exact_dedup, jaccard, language, lexical, line_dedup, merkle, neighbours
+from orderlens.llm import packing, ppm, secret_scan, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,10 @@ def op12_lexical_search(spark, sf_dir):
     return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -119,5 +123,6 @@ QUERIES: dict[str, Query] = {
         op10_lm_scoring,
         op11_merkle_manifest,
         op12_lexical_search,
+        op13_jaccard_join,
     )
 }

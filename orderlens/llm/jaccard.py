@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from orderlens.llm.common import documents, join_hot, prepare, release, saved, with_id
 from orderlens.llm.exact_dedup import may_repeat
@@ -49,36 +49,58 @@ SIGNATURE = 8
 HUBS = (1, 16, 64, 256)
 # Pairs of one hub that meet its set in one place.
 DEALT = 1024
-# Words whose hashes a task keeps.
-_KNOWN = 1 << 18
+# Words of a text that are hashed at once.
+CHUNK = 1 << 16
 
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+
+
+class Powers:
+    """Powers of the base and of its inverse, as many as a text has needed so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            self.up, self.down = (
+                np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, base)))) for base in (_BASE, inverse)
+            )
+        return self.up[:n], self.down[:n]
 
 
 class Hasher:
-    """Shingle sets of texts; keeps the hashes of words it has seen, a bounded number."""
+    """Shingle sets of texts.
+
+    A shingle's hash is that of its words with one blank between, a polynomial in a 64-bit base
+    over random numbers for its bytes: the difference of two sums over the text, mixed.
+    """
 
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
+        self.powers = Powers()
 
     def elements(self, text: str) -> np.ndarray:
         """The distinct shingles of a text as sorted hashes."""
         found = text.encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > _KNOWN:
-            known.clear()
-        for word in set(found).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         n = min(self.words, len(found))
-        out = np.full(len(found) - n + 1, n, np.uint64)
-        for i in range(n):
-            out = out * _BASE + hashes[i : len(hashes) - n + 1 + i]
+        parts = [self._hashes(found[i : i + CHUNK + n - 1], n) for i in range(0, len(found) - n + 1, CHUNK)]
+        out = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        return out
+
+    def _hashes(self, found: list[bytes], n: int) -> np.ndarray:
+        line = np.frombuffer(b" ".join([*found, b""]), np.uint8)
+        ends = np.flatnonzero(line == 32)
+        up, down = self.powers.to(len(line))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[line] * up)))
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(ends) - n + 1]
+        out = (sums[ends[n - 1 :]] - sums[starts]) * down[starts]
         out = (out ^ (out >> np.uint64(32))) * _MIX
-        return np.unique(out ^ (out >> np.uint64(29)))
+        return out ^ (out >> np.uint64(29))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -96,6 +118,7 @@ def _counters(words: int):
         yield pa.RecordBatch.from_pydict(
             {"slice": pa.array(range(len(rows)), pa.int64()), "counts": [row.tobytes() for row in rows]}
         )
+        release()
 
     return run
 
@@ -113,11 +136,11 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def commonness(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, float]:
-    """How many times the mean each counter holds, as powers of two, and the mean.
+def commonness(texts: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How many times the mean each counter holds, as powers of two.
 
-    Only the order of elements and the boundary depend on it, never a result: its fixed size
-    makes it coarser on more data.
+    Only the order of elements depends on it, never a result: its fixed size makes it coarser
+    on more data.
     """
     counted = texts.mapInArrow(_counters(words), "slice long, counts binary")
     rows = saved(counted.withColumn("part", F.spark_partition_id()), "counters")
@@ -133,7 +156,7 @@ def commonness(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, float]
     for row in rows.collect():  # one row per slice: 8 MB in all
         total[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.int64)
     mean = max(float(total.mean()), 1.0)
-    return np.log2(np.maximum(total / mean, 1)).astype(np.uint8), mean
+    return np.log2(np.maximum(total / mean, 1)).astype(np.uint8)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -160,7 +183,7 @@ def signature(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _described(shared, mean: float, words: int, percent: int, schema: pa.Schema):
+def _described(shared, words: int, percent: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, common = Hasher(words), shared.value
         for batch in batches:
@@ -169,16 +192,15 @@ def _described(shared, mean: float, words: int, percent: int, schema: pa.Schema)
                 elements = hasher.elements(text)
                 n = len(elements)
                 if not n:
-                    rows.append((doc_id, 0, None, None, None, 0.0))
+                    rows.append((doc_id, 0, None, None, None))
                     continue
                 digest = hashlib.sha256(elements.tobytes()).digest()
-                first, scan = None, 0.0
+                first = None
                 if can_link(n, percent):
-                    powers = common[_counter(elements)]
-                    order = np.lexsort((elements, powers))[: reach(n, percent) + 1]
+                    # Sorted already, so equally common elements stay in the order of hashes.
+                    order = np.argsort(common[_counter(elements)], kind="stable")[: reach(n, percent) + 1]
                     first = elements[order].view(np.int64)
-                    scan = float((1 + mean * (np.exp2(powers[order[:-1]]) - 1)).sum())
-                rows.append((doc_id, n, digest, first, signature(elements), scan))
+                rows.append((doc_id, n, digest, first, signature(elements)))
             columns = [pa.array(list(values), field.type) for values, field in zip(zip(*rows), schema)]
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -188,64 +210,72 @@ def _described(shared, mean: float, words: int, percent: int, schema: pa.Schema)
 
 
 def describe(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: n, digest of the set, first elements, signature, cost of its lists."""
+    """One row per document: n, digest of the set, first elements, signature."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    common, mean = commonness(texts, words)
+    common = commonness(texts, words)
     schema = with_id(
         texts,
         StructField("n", LongType()),
         StructField("digest", BinaryType()),
         StructField("first", ArrayType(LongType())),
         StructField("signature", ArrayType(LongType())),
-        StructField("scan", DoubleType()),
     )
     shared = texts.sparkSession.sparkContext.broadcast(common)
-    return texts.mapInArrow(_described(shared, mean, words, percent, to_arrow_schema(schema)), schema)
+    return texts.mapInArrow(_described(shared, words, percent, to_arrow_schema(schema)), schema)
 
 
-def boundary(classes: DataFrame, percent: int = PERCENT) -> int:
-    """The size up to which sets are light: subsets to write and lists to scan cost least."""
-    sized = classes.filter("first IS NOT NULL").groupBy(F.least("n", F.lit(MOST_LIGHT + 1)).alias("n"))
-    rows = sized.agg(F.count("*").alias("sets"), F.sum("scan").alias("scan")).collect()  # MOST_LIGHT + 1 at most
-    subsets, scans = np.zeros(MOST_LIGHT + 2), np.zeros(MOST_LIGHT + 2)
-    for row in rows:
+def boundary(classes: DataFrame, lists: DataFrame, percent: int = PERCENT) -> int:
+    """The size up to which sets are light: subsets to write and lists to scan cost least.
+
+    `lists` are the repeated lists of all sets, one row per member with the list's size: a
+    member's scan costs the other members.
+    """
+    size = F.least("n", F.lit(MOST_LIGHT + 1)).alias("n")
+    sets = classes.filter("first IS NOT NULL").groupBy(size).agg(F.count("*").alias("cost")).collect()
+    scans = lists.groupBy(size).agg(F.sum(F.col("size") - 1).alias("cost")).collect()
+    # MOST_LIGHT + 1 rows at most, each.
+    write, scan = np.zeros(MOST_LIGHT + 2), np.zeros(MOST_LIGHT + 2)
+    for row in sets:
         m = reach(row["n"], percent) + 1
-        subsets[row["n"]] = row["sets"] * m * (m - 1) / 2
-        scans[row["n"]] = row["scan"]
-    light = np.cumsum(subsets)[: MOST_LIGHT + 1]
-    below = np.concatenate(([0.0], np.cumsum(scans)))
+        write[row["n"]] = row["cost"] * m * (m - 1) / 2
+    for row in scans:
+        scan[row["n"]] = row["cost"]
+    light = np.cumsum(write)[: MOST_LIGHT + 1]
+    below = np.concatenate(([0.0], np.cumsum(scan)))
     heavy = [below[-1] - below[least_overlap(x + 1, percent)] for x in range(MOST_LIGHT + 1)]
     return int(np.argmin(light + np.array(heavy)))
 
 
-def keys(classes: DataFrame, light: int, percent: int = PERCENT) -> DataFrame:
-    """(key, class, n, pos): subsets of light sets, single elements of heavy and adjoining ones.
+# (key, class, n, pos): `pos` is the place of the (first) element in its set's order.
+_PAIRS = (
+    "flatten(transform(sequence(0, size(first) - 2), i -> transform(sequence(i + 1, size(first) - 1), "
+    "j -> struct(xxhash64(first[i], first[j]) AS key, i AS pos))))"
+)
+_SINGLES = "transform(sequence(0, size(first) - 2), i -> struct(first[i] AS key, i AS pos))"
 
-    `pos` is the place of the (first) element in its set's order.
-    """
-    held = classes.filter("first IS NOT NULL")
-    pair = (
-        "flatten(transform(sequence(0, size(first) - 2), i -> transform(sequence(i + 1, size(first) - 1), "
-        "j -> struct(xxhash64(first[i], first[j]) AS key, i AS pos))))"
-    )
-    one = "transform(sequence(0, size(first) - 2), i -> struct(first[i] AS key, i AS pos))"
-    subsets = held.filter(F.col("n") <= light).select("class", "n", F.explode(F.expr(pair)).alias("k"))
-    lists = held.filter(F.col("n") >= least_overlap(light + 1, percent))
-    lists = lists.select("class", "n", F.explode(F.expr(one)).alias("k"))
-    return subsets.unionByName(lists).select("k.key", "class", "n", "k.pos")
 
+def _lists(classes: DataFrame, keys: str) -> DataFrame:
+    """(key, class, n, pos, size) of the keys that several classes have."""
+    held = classes.filter("first IS NOT NULL").select("class", "n", F.explode(F.expr(keys)).alias("k"))
+    keyed = saved(held.select("k.key", "class", "n", "k.pos"), "keyed")
+    test = may_repeat(keyed.select("key"))
+    maybe = saved(keyed.filter(test("key")), "maybe")
+    sizes = saved(maybe.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    return saved(join_hot(maybe, sizes, "key", "size", "inner"), "lists")
 
-def _members(keyed: DataFrame) -> DataFrame:
+
+def _members(classes: DataFrame, light: int | None, percent: int) -> DataFrame:
     """(key, class, n, pos, order) of the lists that hold several classes.
 
     `order` puts first what is on many lists with many others: the text that the others of a
     group were made from, where it is there.
     """
-    test = may_repeat(keyed.select("key"))
-    maybe = saved(keyed.filter(test("key")), "maybe")
-    sizes = saved(maybe.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    met = saved(join_hot(maybe, sizes, "key", "size", "inner"), "met")
+    met = _lists(classes, _SINGLES)
+    light = boundary(classes, met, percent) if light is None else light
+    if light:
+        heavy = met.filter(F.col("n") >= least_overlap(light + 1, percent))
+        met = heavy.unionByName(_lists(classes.filter(F.col("n") <= light), _PAIRS))
     liked = met.groupBy("class").agg((-F.sum("size")).alias("liked"))
     out = met.join(liked, "class").select("key", "class", "n", "pos", F.struct("liked", "class").alias("order"))
     return saved(out, "members")
@@ -304,10 +334,10 @@ def _elements(words: int, schema: pa.Schema):
 def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(class, set) of the given classes, made from the text of one document of each."""
     schema = pa.schema([("digest", pa.binary()), ("set", pa.list_(pa.int64()))])
-    named = classes.select(F.col("least").alias("doc_id")).distinct()
+    named = saved(classes.select(F.col("least").alias("doc_id")).distinct(), "named")
     found = texts.alias("t").join(named.alias("c"), F.expr("t.doc_id <=> c.doc_id"), "left_semi")
     made = found.mapInArrow(_elements(words, schema), "digest binary, set array<long>")
-    # Rows that share an id may hold other sets.
+    # Rows that share an id may hold other sets, and the same set several times.
     met = made.join(classes.select("class", "digest"), "digest")
     return saved(met.groupBy("class").agg(F.any_value("set").alias("set")), "sets")
 
@@ -316,7 +346,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that have the similarity. A hub's set goes to as many places as its pairs need."""
     parts = F.expr(f"(load + {DEALT - 1}) div {DEALT}")
     dealt = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), parts))
-    slots = pairs.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("slot")).distinct()
+    slots = pairs.select("a", parts.alias("parts")).distinct()
+    slots = saved(slots.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot")), "slots")
     hubs = slots.join(sets.toDF("a", "set_a"), "a")
     met = dealt.join(hubs, ["a", "slot"]).join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -324,21 +355,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(met.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")), "links")
 
 
-def _joined(texts: DataFrame, classes: DataFrame, light: int, words: int, percent: int) -> DataFrame:
+def _joined(texts: DataFrame, classes: DataFrame, light: int | None, words: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link to another."""
-    members = _members(saved(keys(classes, light, percent), "keyed")).withColumn("root", F.col("class"))
+    members = _members(classes, light, percent).withColumn("root", F.col("class"))
     links = texts.sparkSession.createDataFrame([], "child long, parent long")
-    have = texts.sparkSession.createDataFrame([], "class long, set array<long>")
-    round_ = 0
+    roots = links.toDF("node", "root")
+    hubs = iter(HUBS)
+    n_hubs = 1
     while not members.isEmpty():
-        pairs, heads = _candidates(members, HUBS[min(round_, len(HUBS) - 1)], percent)
+        n_hubs = next(hubs, n_hubs)
+        pairs, heads = _candidates(members, n_hubs, percent)
         near = _may_link(pairs, classes, percent)
-        asked = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        missing = saved(classes.join(asked.join(have, "class", "left_anti"), "class", "left_semi"), "missing")
-        if not missing.isEmpty():
-            have = have.unionByName(_sets(texts, missing, words))
-        links = links.unionByName(_linked(near, have, percent))
-        roots = saved(components(links), "roots")
+        if not near.isEmpty():
+            asked = saved(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
+            wanted = saved(classes.join(asked, "class", "left_semi").select("class", "digest", "least"), "wanted")
+            links = links.unionByName(_linked(near, _sets(texts, wanted, words), percent))
+            roots = saved(components(links), "roots")
         members = join_hot(members, heads, "key", "size", "inner").filter("order > last").drop("last", "size", "root")
         members = members.join(roots.withColumnRenamed("node", "class"), "class", "left")
         members = saved(members.withColumn("root", F.coalesce("root", "class")), "members")
@@ -347,8 +379,7 @@ def _joined(texts: DataFrame, classes: DataFrame, light: int, words: int, percen
         )
         open_ = saved(open_.filter("low < high").select("key", "size"), "open")
         members = saved(join_hot(members, open_, "key", "size", "inner").drop("size"), "members")
-        round_ += 1
-    return roots if round_ else links.toDF("node", "root")
+    return roots
 
 
 def jaccard_components(
@@ -375,10 +406,9 @@ def jaccard_components(
     folded = rows.filter("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"),
         F.count("*").alias("size"),
-        *[F.any_value(name).alias(name) for name in ("n", "first", "signature", "scan")],
+        *[F.any_value(name).alias(name) for name in ("n", "first", "signature")],
     )
     classes = saved(folded.withColumn("class", F.monotonically_increasing_id()), "classes")
-    light = boundary(classes, percent) if light is None else light
     roots = _joined(texts, classes, light, words, percent).withColumnRenamed("node", "class")
     rooted = classes.select("class", "digest", "least", "size").join(roots, "class", "left")
     rooted = saved(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")

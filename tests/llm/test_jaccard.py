@@ -67,7 +67,7 @@ def test_query_against_sql_and_plain(spark, sf_dir):
     assert len({r[2] for r in rows}) < len(rows)
 
 
-@pytest.mark.parametrize("light", [0, 40, None, jaccard.MOST_LIGHT])
+@pytest.mark.parametrize("light", [None, jaccard.MOST_LIGHT])
 def test_families_with_any_boundary(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard, "HUBS", (1, 2, 3))
     rows = families(1, 25, (1, 30), 8) + [(1000 + i, t) for i, t in families(2, 6, (60, 200), 12)]
@@ -75,6 +75,15 @@ def test_families_with_any_boundary(spark, monkeypatch, light):
     assert got(jaccard.jaccard_components(docs, light=light)) == plain(rows)
 
 
+def test_boundary_is_where_subsets_and_lists_cost_least(spark):
+    size = "id % 20 + 10"
+    classes = spark.range(400).selectExpr("id AS class", f"{size} AS n", "array(1L) AS first")
+    lists = classes.selectExpr("n", "CASE WHEN n < 20 THEN 100L ELSE 1L END AS size")
+    # Sets of 10 to 13 elements have 3 subsets of 3 elements, those of 14 to 19 six of four.
+    assert jaccard.boundary(classes, lists) >= 19
+    assert jaccard.boundary(classes, lists.selectExpr("n", "1L AS size")) == 0
+
+
 def test_lists_without_a_centre_go_on_to_the_last_member(spark, monkeypatch):
     """A chain: each text links to the next alone, so no hub joins the list at once."""
     monkeypatch.setattr(jaccard, "HUBS", (1,))

@@ -43,8 +43,8 @@ SLICE = 1 << 16
 ADDED = 64
 # Sets larger than this are heavy, whatever the costs.
 MOST_LIGHT = 4096
-# Longs of a set's parity signature: bit b is set if an odd number of elements fall to it.
-SIGNATURE = 8
+# The least bits of a set's parity signature. Larger sets have a bit for each element or more.
+SIGNATURE = 512
 # Hubs of a list in the rounds; the last number goes on.
 HUBS = (1, 16, 64, 256)
 # Pairs of one hub that meet its set in one place.
@@ -175,11 +175,13 @@ def can_link(n: int, percent: int) -> bool:
 
 
 def signature(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements by 64 * SIGNATURE places.
+    """Parities of the elements by places, a power of two of them.
 
-    Of two sets, no more places differ than elements are in one of them alone.
+    Of two sets, no more places differ than elements are in one of them alone. A signature is
+    folded to half its places by the exclusive or of its halves.
     """
-    odd = np.bincount((elements % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    places = max(SIGNATURE, 1 << (len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -310,6 +312,16 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = held.toDF("a", "n_a", "signature_a").join(load, "a")
     right = held.toDF("b", "n_b", "signature_b")
     met = join_hot(pairs, saved(left, "hub_signatures"), "a", "load", "inner").join(right, "b")
+    # Sizes of sets that may link differ by less than twice, so one of the two is folded once at most.
+    for one, other in (("signature_a", "signature_b"), ("signature_b", "signature_a")):
+        half = f"size({one}) div 2"
+        met = met.withColumn(
+            one,
+            F.expr(
+                f"CASE WHEN size({one}) > size({other}) THEN "
+                f"zip_with(slice({one}, 1, {half}), slice({one}, {half} + 1, {half}), (x, y) -> x ^ y) ELSE {one} END"
+            ),
+        )
     differ = F.expr(
         "aggregate(zip_with(signature_a, signature_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     )

@@ -12,10 +12,11 @@ p + 1 share two.
 
 The boundary is where the subsets to write and the lists to scan cost least together.
 
-Candidates are not all pairs of a list. Each list is compared in rounds with a bounded number of
-hubs, members that are on many lists; what is linked is joined, lists whose members are all
-joined are done, and the others go on with the members after their hubs. So a group of near
-copies costs one comparison a member, and no link between unjoined texts is missed.
+Of a list with up to SHORT members all pairs are candidates. A longer list is compared in rounds
+with a bounded number of hubs, members that are on many lists; what is linked is joined, lists
+whose members are all joined are done, and the others go on with the members after their hubs.
+So a large group of near copies costs one comparison a member, and no link between unjoined
+texts is missed.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ ADDED = 64
 MOST_LIGHT = 4096
 # The least bits of a set's parity signature. Larger sets have a bit for each element or more.
 SIGNATURE = 512
-# Hubs of a list in the rounds; the last number goes on.
+# Members of a list whose pairs are all compared at once.
+SHORT = 16
+# Hubs of a longer list in the rounds; the last number goes on.
 HUBS = (1, 16, 64, 256)
 # Pairs of one hub that meet its set in one place.
 DEALT = 1024
@@ -174,13 +177,13 @@ def can_link(n: int, percent: int) -> bool:
     return 100 * n >= percent * (n + 1)
 
 
-def signature(elements: np.ndarray) -> np.ndarray:
+def signature(elements: np.ndarray, places: int = 0) -> np.ndarray:
     """Parities of the elements by places, a power of two of them.
 
     Of two sets, no more places differ than elements are in one of them alone. A signature is
     folded to half its places by the exclusive or of its halves.
     """
-    places = max(SIGNATURE, 1 << (len(elements) - 1).bit_length())
+    places = places or max(SIGNATURE, 1 << (len(elements) - 1).bit_length())
     odd = np.bincount((elements & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -194,7 +197,7 @@ def _described(shared, words: int, percent: int, schema: pa.Schema):
                 elements = hasher.elements(text)
                 n = len(elements)
                 if not n:
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None))
                     continue
                 digest = hashlib.sha256(elements.tobytes()).digest()
                 first = None
@@ -202,7 +205,7 @@ def _described(shared, words: int, percent: int, schema: pa.Schema):
                     # Sorted already, so equally common elements stay in the order of hashes.
                     order = np.argsort(common[_counter(elements)], kind="stable")[: reach(n, percent) + 1]
                     first = elements[order].view(np.int64)
-                rows.append((doc_id, n, digest, first, signature(elements)))
+                rows.append((doc_id, n, digest, first, signature(elements), signature(elements, SIGNATURE)))
             columns = [pa.array(list(values), field.type) for values, field in zip(zip(*rows), schema)]
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -212,7 +215,7 @@ def _described(shared, words: int, percent: int, schema: pa.Schema):
 
 
 def describe(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: n, digest of the set, first elements, signature."""
+    """One row per document: n, digest of the set, first elements, signature and its least form, mark."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     common = commonness(texts, words)
@@ -222,6 +225,7 @@ def describe(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
         StructField("digest", BinaryType()),
         StructField("first", ArrayType(LongType())),
         StructField("signature", ArrayType(LongType())),
+        StructField("mark", ArrayType(LongType())),
     )
     shared = texts.sparkSession.sparkContext.broadcast(common)
     return texts.mapInArrow(_described(shared, words, percent, to_arrow_schema(schema)), schema)
@@ -259,7 +263,7 @@ _SINGLES = "transform(sequence(0, size(first) - 2), i -> struct(first[i] AS key,
 
 def _lists(classes: DataFrame, keys: str) -> DataFrame:
     """(key, class, n, pos, size) of the keys that several classes have."""
-    held = classes.filter("first IS NOT NULL").select("class", "n", F.explode(F.expr(keys)).alias("k"))
+    held = classes.filter("first IS NOT NULL").select("class", F.col("n").cast("int").alias("n"), F.explode(F.expr(keys)).alias("k"))
     keyed = saved(held.select("k.key", "class", "n", "k.pos"), "keyed")
     test = may_repeat(keyed.select("key"))
     maybe = saved(keyed.filter(test("key")), "maybe")
@@ -267,20 +271,49 @@ def _lists(classes: DataFrame, keys: str) -> DataFrame:
     return saved(join_hot(maybe, sizes, "key", "size", "inner"), "lists")
 
 
-def _members(classes: DataFrame, light: int | None, percent: int) -> DataFrame:
-    """(key, class, n, pos, order) of the lists that hold several classes.
+def _all_lists(classes: DataFrame, light: int | None, percent: int) -> DataFrame:
+    met = _lists(classes, _SINGLES)
+    light = boundary(classes, met, percent) if light is None else light
+    if not light:
+        return met
+    heavy = met.filter(F.col("n") >= least_overlap(light + 1, percent))
+    return heavy.unionByName(_lists(classes.filter(F.col("n") <= light), _PAIRS))
+
+
+def _fits(x: str, y: str, percent: int) -> str:
+    """Whether sizes and places allow two members of a list to have the similarity."""
+    least, most = f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)"
+    shared = f"(least({x}.pos, {y}.pos) + 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1)"
+    return (
+        f"100L * {least} >= {percent}L * {most} AND 100L * {shared} >= {percent}L * ({least} + {most} - {shared})"
+    )
+
+
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the lists with up to SHORT members."""
+    grouped = lists.filter(F.col("size") <= SHORT).groupBy("key").agg(
+        F.collect_list(F.struct("class", "n", "pos")).alias("held")
+    )
+    later = f"filter(slice(held, i + 2, {SHORT}), y -> {_fits('held[i]', 'y', percent)})"
+    pairs = (
+        f"flatten(transform(sequence(0, size(held) - 2), i -> transform({later}, y -> "
+        "struct(least(held[i].class, y.class) AS a, greatest(held[i].class, y.class) AS b))))"
+    )
+    grouped = grouped.filter(F.size("held") > 1)
+    return grouped.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _members(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, class, n, pos, mark, root, order) of the longer lists; at first a class is its own root.
 
     `order` puts first what is on many lists with many others: the text that the others of a
     group were made from, where it is there.
     """
-    met = _lists(classes, _SINGLES)
-    light = boundary(classes, met, percent) if light is None else light
-    if light:
-        heavy = met.filter(F.col("n") >= least_overlap(light + 1, percent))
-        met = heavy.unionByName(_lists(classes.filter(F.col("n") <= light), _PAIRS))
-    liked = met.groupBy("class").agg((-F.sum("size")).alias("liked"))
-    out = met.join(liked, "class").select("key", "class", "n", "pos", F.struct("liked", "class").alias("order"))
-    return saved(out, "members")
+    long_ = lists.filter(F.col("size") > SHORT)
+    liked = long_.groupBy("class").agg((-F.sum("size")).alias("liked"))
+    met = long_.drop("size").join(liked.join(classes.select("class", "mark"), "class"), "class")
+    order = F.struct("liked", "class").alias("order")
+    return saved(met.select("key", "class", "n", "pos", "mark", F.col("class").alias("root"), order), "members")
 
 
 def _candidates(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -288,20 +321,16 @@ def _candidates(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame,
     by = Window.partitionBy("key").orderBy("order")
     first = members.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= hubs)
     heads = first.groupBy("key").agg(
-        F.collect_list(F.struct("order", "class", "n", "pos", "root")).alias("hubs"), F.max("order").alias("last")
+        F.collect_list(F.struct("order", "n", "pos", "mark", "root")).alias("hubs"), F.max("order").alias("last")
     )
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     heads = saved(heads.join(sizes, "key"), "heads")
-    met = join_hot(members, heads, "key", "size", "inner").select("*", F.explode("hubs").alias("hub"))
-    least, most = F.least("n", F.col("hub.n")), F.greatest("n", F.col("hub.n"))
-    shared = F.least("pos", F.col("hub.pos")) + 1 + F.least(F.expr("n - pos - 1"), F.expr("hub.n - hub.pos - 1"))
-    pairs = met.filter(
-        (F.col("hub.order") < F.col("order"))
-        & (F.col("hub.root") != F.col("root"))
-        & (100 * least >= percent * most)
-        & (100 * shared >= percent * (least + most - shared))
-    )
-    pairs = saved(pairs.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    met = join_hot(members, heads, "key", "size", "inner").withColumn("me", F.struct("n", "pos"))
+    differ = "aggregate(zip_with(x.mark, mark, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
+    near = f"100L * (x.n + me.n - {differ}) >= {percent}L * (x.n + me.n + {differ})"
+    fit = f"filter(hubs, x -> x.order < order AND x.root <> root AND {_fits('x', 'me', percent)} AND {near})"
+    pairs = met.select("class", F.explode(F.expr(f"transform({fit}, x -> x.order.class)")).alias("hub"))
+    pairs = pairs.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
     return pairs, heads.select("key", "last", "size")
 
 
@@ -369,15 +398,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _joined(texts: DataFrame, classes: DataFrame, light: int | None, words: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link to another."""
-    members = _members(classes, light, percent).withColumn("root", F.col("class"))
+    lists = _all_lists(classes, light, percent)
+    members = _members(lists, classes)
     links = texts.sparkSession.createDataFrame([], "child long, parent long")
     roots = links.toDF("node", "root")
+    pairs = _short_pairs(lists, percent)
     hubs = iter(HUBS)
     n_hubs = 1
-    while not members.isEmpty():
+    while True:
         n_hubs = next(hubs, n_hubs)
-        pairs, heads = _candidates(members, n_hubs, percent)
-        near = _may_link(pairs, classes, percent)
+        more, heads = _candidates(members, n_hubs, percent)
+        pairs = saved(more if pairs is None else more.union(pairs).distinct(), "pairs")
+        near, pairs = _may_link(pairs, classes, percent), None
         if not near.isEmpty():
             asked = saved(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
             wanted = saved(classes.join(asked, "class", "left_semi").select("class", "digest", "least"), "wanted")
@@ -391,7 +423,8 @@ def _joined(texts: DataFrame, classes: DataFrame, light: int | None, words: int,
         )
         open_ = saved(open_.filter("low < high").select("key", "size"), "open")
         members = saved(join_hot(members, open_, "key", "size", "inner").drop("size"), "members")
-    return roots
+        if members.isEmpty():
+            return roots
 
 
 def jaccard_components(
@@ -418,7 +451,7 @@ def jaccard_components(
     folded = rows.filter("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"),
         F.count("*").alias("size"),
-        *[F.any_value(name).alias(name) for name in ("n", "first", "signature")],
+        *[F.any_value(name).alias(name) for name in ("n", "first", "signature", "mark")],
     )
     classes = saved(folded.withColumn("class", F.monotonically_increasing_id()), "classes")
     roots = _joined(texts, classes, light, words, percent).withColumnRenamed("node", "class")

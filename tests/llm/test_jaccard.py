@@ -70,6 +70,7 @@ def test_query_against_sql_and_plain(spark, sf_dir):
 @pytest.mark.parametrize("light", [None, jaccard.MOST_LIGHT])
 def test_families_with_any_boundary(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard, "HUBS", (1, 2, 3))
+    monkeypatch.setattr(jaccard, "SHORT", 3)
     rows = families(1, 25, (1, 30), 8) + [(1000 + i, t) for i, t in families(2, 6, (60, 200), 12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(jaccard.jaccard_components(docs, light=light)) == plain(rows)
@@ -87,6 +88,7 @@ def test_boundary_is_where_subsets_and_lists_cost_least(spark):
 def test_lists_without_a_centre_go_on_to_the_last_member(spark, monkeypatch):
     """A chain: each text links to the next alone, so no hub joins the list at once."""
     monkeypatch.setattr(jaccard, "HUBS", (1,))
+    monkeypatch.setattr(jaccard, "SHORT", 1)
     words = [f"w{i}" for i in range(140)]
     rows = [(i, " ".join(words[6 * i : 6 * i + 80])) for i in range(10)]
     rows += [(50 + i, " ".join(words[20 * i : 20 * i + 80])) for i in range(3)]

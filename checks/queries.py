@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import views
@@ -358,14 +359,16 @@ def dq_report(spark, sf_dir):
 
 @query("flow_between_snapshots")
 def flow_between_snapshots(spark, sf_dir):
-    """The hot tier seen before and after its second batch."""
-    store = HotStore(spark, work_dir(spark, "flow"))
-    orders = hot_orders(spark, sf_dir)
-    late = F.col("timestamp") >= F.lit(CUTOFF).cast("timestamp")
-    store.write_batch(0, {"orders": orders.where(~late)})
-    before = store.orders()
-    store.write_batch(1, {"orders": orders.where(late)})
-    return health.flow_between(before, store.orders())
+    """What the stream noted of its first batch and of its last: the files of two days' halves."""
+    lines, at = views.event_lines(spark, sf_dir), "$.order.timestamp"
+    late = parse_iso(F.get_json_object("value", at)) >= F.lit(CUTOFF).cast("timestamp")
+    source = work_dir(spark, "events")
+    store = hot_store(spark, "flow")
+    for part in (lines.where(~late), lines.where(late)):
+        part.coalesce(1).write.mode("append").text(source)
+        events = read_events(spark, {"kind": "files", "path": source})
+        ingest.start_ingest(spark, events, store, {"availableNow": True}).awaitTermination()
+    return health.flow_between(store.progress(), 0, store.committed())
 
 
 @query("recent_order_rate")
@@ -382,7 +385,7 @@ def hot_size_band(spark, sf_dir):
 @query("archive_gate")
 def archive_gate(spark, sf_dir):
     """Over the sizes that the hot tier noted as its batches were written."""
-    store = HotStore(spark, work_dir(spark, "hot"))
+    store = hot_store(spark)
     orders = hot_orders(spark, sf_dir)
     late = F.col("timestamp") >= F.lit(CUTOFF).cast("timestamp")
     store.write_batch(0, {"orders": orders.where(~late)})
@@ -402,6 +405,11 @@ def storage_stats(spark, sf_dir):
 # -- tiering ---------------------------------------------------------------------------
 
 
+def hot_store(spark: SparkSession, label: str = "hot") -> HotStore:
+    """An empty hot tier whose layout fits tables of a few orders a day."""
+    return HotStore(spark, work_dir(spark, label), buckets=4, days=365)
+
+
 def hot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in the layout of the hot tier."""
     return (
@@ -426,7 +434,7 @@ def archived(
     spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF
 ) -> tuple[HotStore, str, str, DataFrame]:
     """A store with all orders after one archive run: store, folder, database, report."""
-    store = HotStore(spark, work_dir(spark, "hot"))
+    store = hot_store(spark)
     store.write_batch(0, {"orders": hot_orders(spark, sf_dir)})
     folder = work_dir(spark, "cold")
     database = f"archive_{uuid.uuid4().hex}"
@@ -445,7 +453,10 @@ def _order_rows(orders: DataFrame) -> DataFrame:
 
 @query("archive_candidates")
 def archive_candidates(spark, sf_dir):
-    return _order_rows(tiering.candidates(hot_orders(spark, sf_dir), CUTOFF))
+    """Old orders of the hot tier, from the days up to the cut-off's."""
+    store = hot_store(spark)
+    store.write_batch(0, {"orders": hot_orders(spark, sf_dir)})
+    return _order_rows(tiering.candidates(store.dated_orders(), CUTOFF))
 
 
 @query("archive_write")
@@ -683,14 +694,14 @@ def ingested(spark: SparkSession, lines: DataFrame, refresh_to: str | None = Non
     """The hot tier after all lines have come in through the stream, in several batches."""
     source = {"kind": "files", "path": written_lines(lines), "maxFilesPerTrigger": "2"}
     events = read_events(spark, source)
-    root = work_dir(spark, "hot")
+    store = hot_store(spark)
     once = {"availableNow": True}
     if refresh_to is None:
-        started = ingest.start_ingest(spark, events, root, once)
+        started = ingest.start_ingest(spark, events, store, once)
     else:
-        started = figures.start_ingest_and_refresh(spark, events, root, refresh_to, once)
+        started = figures.start_ingest_and_refresh(spark, events, store, refresh_to, once)
     started.awaitTermination()
-    return HotStore(spark, root)
+    return store
 
 
 @query("ingest_decode")
@@ -737,13 +748,26 @@ def stream_ingest_orders(spark, sf_dir):
 
 @query("stream_replay")
 def stream_replay(spark, sf_dir):
-    """Orders of two batches, the second handed in twice by its stream."""
-    orders = hot_orders(spark, sf_dir)
-    store = HotStore(spark, work_dir(spark, "hot"))
-    early = F.col("timestamp") < F.lit(CUTOFF).cast(orders.schema["timestamp"].dataType)
-    store.write_batch(0, {"orders": orders.where(early)}, "stream")
-    for _ in range(2):
-        store.write_batch(1, {"orders": orders.where(~early)}, "stream")
+    """Orders of a stream that failed after writing its second batch and was started again."""
+    source = {
+        "kind": "files",
+        "path": written_lines(views.event_lines(spark, sf_dir)),
+        "maxFilesPerTrigger": "2",
+    }
+    store = hot_store(spark)
+
+    def lose_the_batch(_store: HotStore, batch_id: int) -> None:
+        if batch_id == 1:
+            raise OSError("lost after the write, before the checkpoint")
+
+    for after in (lose_the_batch, None):
+        events = read_events(spark, source)
+        started = ingest.start_ingest(spark, events, store, {"availableNow": True}, after)
+        try:
+            started.awaitTermination()
+        except StreamingQueryException:
+            if after is None:
+                raise
     return _order_rows(store.orders())
 
 
@@ -780,7 +804,7 @@ def stream_revenue_by_minute(spark, sf_dir):
 def changes(
     spark: SparkSession, sf_dir: str, table: str, key: Column, fields: dict[str, Column]
 ) -> DataFrame:
-    """A stream of changes made of the orders, through three batches and one compaction.
+    """A stream of changes made of the orders, through three batches.
 
     Every order changes the row of its key. The first field is always set; the second only
     by every third order, and to null by every ninth; the other fields never.
@@ -803,7 +827,7 @@ def changes(
         F.pmod(F.col("product_id"), F.lit(3)).alias("batch"),
     )
     times = {"registration_date": "date", "timestamp": "timestamp"}
-    store = HotStore(spark, work_dir(spark, "hot"))
+    store = hot_store(spark)
     for batch in range(3):
         part = rows.where(F.col("batch") == batch).drop("batch")
         folded = fold(part, key_name, "seq")
@@ -811,8 +835,6 @@ def changes(
             {n: F.col(n).cast(t) for n, t in times.items() if n in folded.columns}
         )
         store.write_batch(batch, {table: typed})
-        if batch == 1:
-            store.compact(table)
     return getattr(store, table)().select(key_name, always, sometimes)
 
 

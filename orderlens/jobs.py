@@ -84,11 +84,11 @@ def run_quality(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_health(spark: SparkSession, args: argparse.Namespace) -> None:
     store = HotStore(spark, args.root)
-    orders = store.orders()
-    payments = store.payments()
+    since = store.committed()
     time.sleep(args.wait)
+    orders, payments = store.orders(), store.payments()
     checks = {
-        "flow": health.flow_between(orders, store.orders()),
+        "flow": health.flow_between(store.progress(), since, store.committed()),
         "coverage": star.join_coverage(orders, store.customers(), store.products()),
         "recent_rate": health.recent_rate(orders, args.as_of),
         "size_band": health.size_band(store.size()),
@@ -154,11 +154,10 @@ def run_sql(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run_maintain(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Not beside a running stream: the tier has one writer at a time."""
     store = HotStore(spark, args.root)
-    for table in (*schemas.UPSERT_KEYS, "orders"):
-        store.compact(table)
-        if args.vacuum:
-            store.vacuum(table)
+    store.finish_removal()
+    store.compact()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -206,10 +205,7 @@ def parser() -> argparse.ArgumentParser:
     command = job("sql", run_sql, "root", "query")
     command.add_argument("--rows", type=int, default=20)
     command.add_argument("--output", **output)
-    command = job("maintain", run_maintain, "root")
-    command.add_argument(
-        "--vacuum", action="store_true", help="drop replaced files; no reader may use them"
-    )
+    job("maintain", run_maintain, "root")
     return top
 
 

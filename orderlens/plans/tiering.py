@@ -1,23 +1,25 @@
 """Hot and cold tier: archive old orders, register them, keep the rest.
 
-The order of steps makes a failure harmless: write the archive, compare its row count with
-the rows that were to go, record it in the manifest and the catalog, and only then put the
-remainder in force. Until that last step readers see the hot tier as it was, and a rerun
-with the same archive id replaces what an earlier attempt left.
+The order of steps makes a failure harmless: write the archive, compare the rows it holds with
+those that went into it, record it in the manifest and the catalog, and only then take its
+orders out of the hot tier. Until that last step readers see the hot tier as it was, and a
+rerun with the same archive id replaces what an earlier attempt left.
+
+Orders of the hot tier lie by day: the scan for old ones lists no day after the cut-off, and
+taking them out drops whole days and writes no more than the one day that the cut-off is in.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from orderlens import schemas
-from orderlens.functions.sizes import MIB, megabytes
+from orderlens.functions.sizes import MIB, document_bytes, megabytes
 from orderlens.functions.times import AsOf, minutes_before, moment
 from orderlens.operators.health import ARCHIVE_AT_MB, archive_gate
-from orderlens.sources import files
-from orderlens.sources.store import HotStore, RebaseConflict
+from orderlens.sources.store import BATCH, DAY, HotStore, utc_day
 
 # Fixed value: how long orders stay in the hot tier once it is full.
 RETENTION_MINUTES = 5
@@ -25,9 +27,6 @@ ARCHIVES = "archives"
 METADATA = "metadata"
 MANIFEST_TABLE = "archive_manifest"
 
-# How often a run starts again because another writer has replaced the orders' base.
-ATTEMPTS = 5
-
 
 def cutoff_before(as_of: AsOf = None, minutes: float = RETENTION_MINUTES) -> Column:
     """The time before which orders are old."""
@@ -42,8 +41,14 @@ def _bound(orders: DataFrame, cutoff: AsOf | Column) -> Column:
 
 
 def candidates(orders: DataFrame, cutoff: AsOf | Column) -> DataFrame:
-    """Orders before the cut-off. The bound is a literal, so the scan skips what is newer."""
-    return orders.where(F.col("timestamp") < _bound(orders, cutoff))
+    """Orders before the cut-off. The bound is a literal, so the scan skips what is newer.
+
+    Of orders that lie by day, later days are not listed.
+    """
+    bound = _bound(orders, cutoff)
+    if DAY in orders.columns:
+        orders = orders.where(F.col(DAY) <= utc_day(bound))
+    return orders.where(F.col("timestamp") < bound)
 
 
 def remainder(orders: DataFrame, cutoff: AsOf | Column) -> DataFrame:
@@ -205,15 +210,15 @@ def archive_old_orders(
     archive_id: str | None = None,
     threshold_mb: float = ARCHIVE_AT_MB,
 ) -> DataFrame | None:
-    """One archive run: gate, write, verify, record, put the remainder in force.
+    """One archive run: gate, write, verify, record, take the archived orders out.
 
     Returns the report, or none where the tier is below the threshold or nothing is old.
     A run that is repeated after it has finished finds nothing old and changes nothing; one
     that finds more is refused, as replacing a finished archive would lose its orders.
 
-    Ingest and compaction may go on beside it. If another base comes into force before the
-    remainder does, the archive is taken back and the run starts again from the new state.
-    An id is for one run at a time, and names tables: letters, digits and underscores.
+    The tier has one writer at a time: a run goes between two batches, as the stream's
+    `after_batch`, or while no stream writes. The sizes it reports are noted by the writes.
+    An archive id names tables: letters, digits and underscores.
     """
     spark = store.spark
     archive_id = archive_id or new_archive_id(spark)
@@ -221,61 +226,32 @@ def archive_old_orders(
         raise ValueError(f"archive id {archive_id!r}: only letters, digits and underscores")
     if isinstance(cutoff, Column) or cutoff is None:
         cutoff = _fixed(spark, cutoff if cutoff is not None else cutoff_before())
-    for _ in range(ATTEMPTS):
-        try:
-            return _archive_once(store, cold, cutoff, database, archive_id, threshold_mb)
-        except RebaseConflict:
-            if store.has_rebase("orders", archive_id):
-                raise
-            withdraw_archive(spark, cold, database, archive_id)
-    raise RebaseConflict(f"archive {archive_id}: other writers came first {ATTEMPTS} times")
-
-
-def withdraw_archive(spark: SparkSession, cold: str, database: str, archive_id: str) -> None:
-    """Take back an archive whose orders are still in the hot tier."""
-    spark.sql(f"DROP TABLE IF EXISTS {database}.archived_orders_{archive_id}")
-    spark.sql(
-        f"ALTER TABLE {database}.{MANIFEST_TABLE}"
-        f" DROP IF EXISTS PARTITION (archive_id = '{archive_id}')"
-    )
-    files.drop(spark, f"{cold}/manifest/archive_id={archive_id}")
-    files.drop(spark, f"{cold}/{METADATA}/{archive_id}")
-    files.drop(spark, archive_path(cold, archive_id))
-
-
-def _archive_once(
-    store: HotStore, cold: str, cutoff: AsOf, database: str, archive_id: str, threshold_mb: float
-) -> DataFrame | None:
-    spark = store.spark
-    before = store.mark("orders")
-    through = store.committed()
-    orders = store.orders(through)
-    gate = archive_gate(store.size(through), threshold_mb).first()
+    store.finish_removal()
+    gate = archive_gate(store.size(), threshold_mb).first()
     if not gate["needs_archiving"]:
         return None
-    going = candidates(orders, cutoff)
-    expected = going.count()
-    if expected == 0:
+    going = candidates(store.dated_orders(), cutoff).drop(DAY, BATCH)
+    if going.isEmpty():
         return None
-
-    if store.has_rebase("orders", archive_id):
+    if store.has_removal(archive_id):
         # Its orders are in the archive alone: writing it anew would lose them.
         raise ValueError(f"archive {archive_id} is complete, newer orders need another id")
-    archive = write_archive(going, cold, archive_id)
+    noted = Observation("archived")
+    size = F.sum(document_bytes(going)).cast("long").alias("bytes")
+    archive = write_archive(going.observe(noted, F.count(F.lit(1)).alias("rows"), size), cold, archive_id)
     written = archive.count()
-    if written != expected:
-        raise RuntimeError(f"archive {archive_id} holds {written} of {expected} orders")
+    if written != noted.get["rows"]:
+        raise RuntimeError(f"archive {archive_id} holds {written} of {noted.get['rows']} orders")
 
     location = archive_path(cold, archive_id)
-    size_before = gate["bytes"] / MIB
     create_catalog(spark, cold, database)
-    row = manifest_row(archive, archive_id, location, cutoff, size_before)
+    row = manifest_row(archive, archive_id, location, cutoff, gate["bytes"] / MIB)
     record_archive(row, cold, database, archive_id)
     register_archive(spark, cold, database, archive_id, archive.schema)
 
-    mark = store.rebase("orders", remainder(orders, cutoff), through, archive_id, before)
-    remaining = store.base_rows("orders", mark)
-    after = store.size(through).first()
+    store.remove_orders(cutoff, archive_id, written, noted.get["bytes"])
+    remaining, _ = store.order_size()
+    after = store.size().first()
     return archive_report(spark, written, remaining, gate["bytes"], after["bytes"])
 
 

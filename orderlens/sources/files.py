@@ -21,11 +21,39 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, in order; none if the folder is not there."""
+    """Names in a folder, in order, without hidden ones; none if the folder is not there."""
     fs, where = _path(spark, path)
     if not fs.exists(where):
         return []
-    return sorted(status.getPath().getName() for status in fs.listStatus(where))
+    found = sorted(status.getPath().getName() for status in fs.listStatus(where))
+    return [name for name in found if not name.startswith(".")]
+
+
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern."""
+    fs, where = _path(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(where) or []]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not there: written beside, then renamed."""
+    fs, where = _path(spark, path)
+    _, beside = _path(spark, f"{path.rpartition('/')[0]}/.{path.rpartition('/')[2]}")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(where, False)
+    if not fs.rename(beside, where):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _path(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def make_dir(spark: SparkSession, path: str) -> None:
@@ -45,5 +73,5 @@ def set_marker(spark: SparkSession, folder: str, name: str) -> bool:
 
 
 def top_marker(spark: SparkSession, folder: str) -> str | None:
-    found = [name for name in names(spark, folder) if not name.startswith(".")]
+    found = names(spark, folder)
     return found[-1] if found else None

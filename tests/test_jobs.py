@@ -72,7 +72,7 @@ def test_pipeline(spark, folder, capsys):
     run("cold", path=tiering.archive_path(cold, "a1"), root=root, output=f"{folder}/figures")
     assert spark.read.parquet(f"{folder}/figures/category").first()["order_count"] == 10
 
-    run("maintain", root=root, vacuum=True)
+    run("maintain", root=root)
     assert store.orders().count() == 20 and store.customers().count() == 3
     put(f"{folder}/in", "b.txt", [event(31)])
     run("ingest", path=f"{folder}/in", root=root, serving=serving, once=True)

@@ -15,7 +15,8 @@ from orderlens.sources.published import (
     published_or_compute,
     read_published,
 )
-from orderlens.sources.store import HotStore, RebaseConflict
+from orderlens.sources import store as store_module
+from orderlens.sources.store import HotStore
 
 CHANGE = "k string, a string, b int, present array<string>, seq bigint"
 
@@ -101,35 +102,25 @@ def test_batches_add_and_replays_replace(spark, folder):
     store.write_batch(0, {"orders": order_frame(spark, [1, 2])})
     store.write_batch(1, {"orders": order_frame(spark, [2, 3])})
     assert ids(store.orders()) == names([1, 2, 2, 3])
-    # A batch that is whole is not written again.
-    store.write_batch(1, {"orders": order_frame(spark, [9])})
+    # The last batch may come again; an earlier one cannot.
+    store.write_batch(1, {"orders": order_frame(spark, [2, 3])})
+    assert ids(store.orders()) == names([1, 2, 2, 3])
+    with pytest.raises(ValueError):
+        store.write_batch(0, {"orders": order_frame(spark, [9])})
     assert ids(store.orders()) == names([1, 2, 2, 3])
 
 
-def test_unfinished_batch_is_not_seen(spark, folder):
-    store = HotStore(spark, folder)
-    store.write_batch(0, {"orders": order_frame(spark, [1])})
-    # Half a batch: one table written, no marker.
-    order_frame(spark, [7]).write.parquet(f"{folder}/orders/changes/batch_id=1")
-    assert ids(store.orders()) == names([1])
-    store.write_batch(1, {"orders": order_frame(spark, [8])})
-    assert ids(store.orders()) == names([1, 8])
-
-
-def test_rebase_keeps_later_batches_and_old_readers(spark, folder):
+def test_unfinished_batch_is_not_seen(spark, folder, monkeypatch):
     store = HotStore(spark, folder)
-    store.write_batch(0, {"orders": order_frame(spark, [1, 2])})
-    earlier = store.orders()
-    through = store.committed()
-    store.write_batch(1, {"orders": order_frame(spark, [3])})
-    store.rebase("orders", order_frame(spark, [2]), through)
-    assert ids(store.orders()) == names([2, 3])
-    assert ids(earlier) == names([1, 2])
-    store.rebase("orders", order_frame(spark, [5]), through)
-    assert ids(store.orders()) == names([3, 5])
-    store.vacuum("orders")
-    assert ids(store.orders()) == names([3, 5])
-    assert files.names(spark, f"{folder}/orders/changes") == ["batch_id=1"]
+    store.write_batch(0, {"orders": order_frame(spark, [1]), "customers": customer_change(spark, "x", name="Ann")})
+    with monkeypatch.context() as patched:
+        patched.setattr(files, "write_text", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.write_batch(1, {"orders": order_frame(spark, [7]), "customers": customer_change(spark, "x", name="Bo")})
+    assert ids(store.orders()) == names([1]) and store.customers().first()["name"] == "Ann"
+    store.write_batch(1, {"orders": order_frame(spark, [7]), "customers": customer_change(spark, "x", state="Ohio")})
+    assert ids(store.orders()) == names([1, 7])
+    assert rows(store.customers().select("name", "state")) == [("Ann", "Ohio")]
 
 
 def test_noted_sizes_are_the_sizes(spark, folder):
@@ -137,23 +128,22 @@ def test_noted_sizes_are_the_sizes(spark, folder):
 
     store = HotStore(spark, folder)
 
-    def noted():
-        return tuple(store.order_size())
-
-    def counted():
-        return rows(tier_size([store.orders()]))[0]
+    def same():
+        held = store.tables()
+        return store.sizes() == {name: rows(tier_size([table]))[0] for name, table in held.items()}
 
-    assert noted() == (0, 0)
-    store.write_batch(0, {"orders": order_frame(spark, [-1, 10, 200])})
-    store.write_batch(1, {"orders": order_frame(spark, [3])})
-    assert noted() == counted() and noted()[0] == 4
-    store.rebase("orders", order_frame(spark, [200]), 0)
-    assert noted() == counted() and noted()[0] == 2
-    store.rebase("orders", order_frame(spark, [200, 10]), 0)
-    store.vacuum("orders")
-    assert noted() == counted() and noted()[0] == 3
-    store.write_batch(2, {"customers": customer_change(spark, "x", name="Ann")})
-    assert rows(store.size())[0][0] == 4
+    assert same()
+    store.write_batch(0, {"orders": order_frame(spark, [-1, 10, 200, 5000])})
+    store.write_batch(1, {"orders": order_frame(spark, [3]), "customers": customer_change(spark, "x", name="Ann")})
+    assert same() and store.order_size()[0] == 5
+    more = customer_change(spark, "x", name="Annabel").unionByName(customer_change(spark, "y", name="Bo"))
+    for _ in range(2):
+        store.write_batch(2, {"orders": order_frame(spark, []), "customers": more})
+        assert same() and store.sizes()["customers"][0] == 2
+    tiering.archive_old_orders(store, folder + "/cold", "1970-01-01 02:00:00", database(folder), "a", 0)
+    assert same() and store.order_size()[0] == 3
+    store.write_batch(3, {"orders": order_frame(spark, [4])})
+    assert same() and rows(store.size())[0][0] == 6
 
 
 def customer_change(spark, key, **fields):
@@ -164,36 +154,101 @@ def customer_change(spark, key, **fields):
     return spark.range(1).select(*columns, F.array(*map(F.lit, given)).alias("present"))
 
 
-def test_compact_changes_nothing_for_readers(spark, folder):
+def versions(store, table="customers"):
+    return {bucket: batch for bucket, batch, _ in sorted(store._all_versions(table))}
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, folder):
+    store = HotStore(spark, folder, buckets=16)
+    first = [customer_change(spark, f"c{i}", name=f"n{i}") for i in range(40)]
+    whole = first[0]
+    for more in first[1:]:
+        whole = whole.unionByName(more)
+    store.write_batch(0, {"customers": whole})
+    assert len(versions(store)) > 8
+    store.write_batch(1, {"customers": customer_change(spark, "c7", state="Iowa")})
+    assert sorted(versions(store).values())[-2:] == [0, 1]
+    found = {r["customer_id"]: (r["name"], r["state"]) for r in store.customers().collect()}
+    assert found["c7"] == ("n7", "Iowa") and found["c8"] == ("n8", None) and len(found) == 40
+    # A store that is opened with another number keeps its own.
+    assert rows(HotStore(spark, folder).row("customers", "c7").select("name")) == [("n7",)]
+    for batch in range(2, 6):
+        store.write_batch(batch, {"customers": customer_change(spark, "c7", city=f"city {batch}")})
+    held = [batch for _, batch, _ in store._all_versions("customers") if batch]
+    assert sorted(held) == [4, 5]
+
+
+def test_reading_state_folds_nothing_and_a_key_reads_one_bucket(spark, folder):
+    store = HotStore(spark, folder, buckets=16)
+    for batch in range(2):
+        changes = [customer_change(spark, f"c{i}", name=f"n{batch}") for i in range(20)]
+        whole = changes[0]
+        for more in changes[1:]:
+            whole = whole.unionByName(more)
+        store.write_batch(batch, {"customers": whole})
+    plan = store.customers()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    one = store.row("customers", "c3")
+    assert len(one.inputFiles()) == 1 < len(store.customers().inputFiles())
+    assert rows(one.select("customer_id", "name")) == [("c3", "n1")]
+
+
+DAYS = [0, 5, 1440, 1445, 2880, 2885, 4320, -1]
+
+
+def test_old_orders_are_looked_for_in_their_days(spark, folder):
     store = HotStore(spark, folder)
-    store.write_batch(0, {"customers": customer_change(spark, "x", name="Ann", state="Ohio")})
-    store.write_batch(1, {"customers": customer_change(spark, "x", state="Iowa")})
-    store.write_batch(2, {"customers": customer_change(spark, "y", name="Bo")})
-
-    def state():
-        return sorted(rows(store.customers().select("customer_id", "name", "state")))
-
-    wanted = [("x", "Ann", "Iowa"), ("y", "Bo", None)]
-    assert state() == wanted
-    store.compact("customers")
-    assert state() == wanted
-    store.vacuum("customers")
-    assert state() == wanted
-    store.write_batch(3, {"customers": customer_change(spark, "x", name="Al")})
-    assert state() == [("x", "Al", "Iowa"), ("y", "Bo", None)]
-    store.compact("customers")
-    store.vacuum("customers")
-    assert state() == [("x", "Al", "Iowa"), ("y", "Bo", None)]
-    assert store.customers().columns == schemas.CUSTOMERS.names
-
-
-def test_compact_orders(spark, folder):
+    store.write_batch(0, {"orders": order_frame(spark, DAYS)})
+    old = tiering.candidates(store.dated_orders(), "1970-01-02 00:02:00")
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "order_date" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert ids(old) == names([0, 5, 1440])
+    rest = tiering.remainder(store.dated_orders(), "1970-01-02 00:02:00")
+    assert ids(rest) == names([1445, 2880, 2885, 4320, -1])
+
+
+def test_an_archive_rewrites_one_day(spark, folder):
+    store = HotStore(spark, folder + "/hot")
+    store.write_batch(0, {"orders": order_frame(spark, DAYS)})
+
+    def held():
+        return {path.split("/")[-3]: path for path in store.orders().inputFiles()}
+
+    before = held()
+    tiering.archive_old_orders(store, folder + "/cold", "1970-01-02 00:02:00", database(folder), "a", 0)
+    after = held()
+    assert "order_date=1970-01-01" not in after
+    assert after["order_date=1970-01-02"] != before["order_date=1970-01-02"]
+    same = ["order_date=1970-01-03", "order_date=1970-01-04", "order_date=__HIVE_DEFAULT_PARTITION__"]
+    assert all(after[day] == before[day] for day in same)
+    assert ids(store.orders()) == names([1445, 2880, 2885, 4320, -1])
+
+
+def test_a_removal_that_was_cut_short_is_ended_by_the_next_write(spark, folder, monkeypatch):
+    store = HotStore(spark, folder + "/hot")
+    store.write_batch(0, {"orders": order_frame(spark, DAYS)})
+    cold, db = folder + "/cold", database(folder)
+    with monkeypatch.context() as patched:
+        patched.setattr(HotStore, "_overwrite", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tiering.archive_old_orders(store, cold, "1970-01-02 00:02:00", db, "a", 0)
+    store.write_batch(1, {"orders": order_frame(spark, [1441])})
+    assert ids(store.orders()) == names([1441, 1445, 2880, 2885, 4320, -1])
+    assert ids(tiering.read_archives(spark, cold)) == names([0, 5, 1440])
+    assert store.order_size()[0] == 6
+
+
+def test_compact_writes_a_day_of_many_batches_as_one(spark, folder, monkeypatch):
+    monkeypatch.setattr(store_module, "DAY_BATCHES", 2)
     store = HotStore(spark, folder)
-    for batch in range(3):
-        store.write_batch(batch, {"orders": order_frame(spark, [batch])})
-    store.compact("orders")
-    store.vacuum("orders")
-    assert ids(store.orders()) == names([0, 1, 2])
+    for batch in range(4):
+        store.write_batch(batch, {"orders": order_frame(spark, [batch, 3000])})
+    store.write_batch(4, {"orders": order_frame(spark, [9000])})
+    wanted = ids(store.orders())
+    assert store.compact() == ["1970-01-01", "1970-01-03"] and store.compact() == []
+    assert ids(store.orders()) == wanted and store.order_size()[0] == 9
+    store.write_batch(4, {"orders": order_frame(spark, [9000])})
+    assert ids(store.orders()) == wanted
 
 
 # -- publishing ------------------------------------------------------------------------
@@ -310,7 +365,7 @@ def test_below_threshold_or_nothing_old(spark, folder, store):
     assert not files.exists(spark, cold)
 
 
-@pytest.mark.parametrize("step", ["record_archive", "register_archive", "remainder"])
+@pytest.mark.parametrize("step", ["record_archive", "register_archive", "removal"])
 def test_failure_leaves_hot_whole_and_rerun_completes(spark, folder, store, monkeypatch, step):
     cold, db = folder + "/cold", database(folder)
 
@@ -318,7 +373,7 @@ def test_failure_leaves_hot_whole_and_rerun_completes(spark, folder, store, monk
         raise OSError("gone")
 
     with monkeypatch.context() as patched:
-        patched.setattr(tiering, step, fail)
+        patched.setattr(*((HotStore, "remove_orders") if step == "removal" else (tiering, step)), fail)
         with pytest.raises(OSError):
             tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0)
     assert ids(store.orders()) == names(ALL)
@@ -329,19 +384,6 @@ def test_failure_leaves_hot_whole_and_rerun_completes(spark, folder, store, monk
     assert spark.table(f"{db}.archived_orders_a1").count() == len(OLD)
 
 
-def test_orders_that_arrive_meanwhile_stay(spark, folder, store, monkeypatch):
-    cold, db = folder + "/cold", database(folder)
-    register = tiering.register_archive
-
-    def register_late(*args, **kwargs):
-        store.write_batch(2, {"orders": order_frame(spark, [1, 20])})
-        return register(*args, **kwargs)
-
-    monkeypatch.setattr(tiering, "register_archive", register_late)
-    tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0)
-    assert ids(store.orders()) == names([*NEW, 1, 20])
-
-
 def test_cutoff_defaults_to_five_minutes(spark):
     cut = spark.range(1).select(tiering.cutoff_before("2024-01-01 00:05:00")).first()[0]
     assert cut == dt.datetime(2024, 1, 1)
@@ -360,77 +402,6 @@ def test_catalog_use(spark, folder):
         spark.catalog.setCurrentDatabase(before)
 
 
-# -- two writers, and streams that start again --------------------------------------------
-
-
-def test_of_two_writers_one_comes_into_force(spark, folder):
-    store = HotStore(spark, folder)
-    store.write_batch(0, {"orders": order_frame(spark, [1, 2])})
-    before = store.mark("orders")
-    store.rebase("orders", order_frame(spark, [1]), 0, replaces=before)
-    with pytest.raises(RebaseConflict):
-        store.rebase("orders", order_frame(spark, [2]), 0, replaces=before)
-    assert ids(store.orders()) == names([1])
-
-
-def test_claim_of_a_dead_writer_is_released(spark, folder):
-    store = HotStore(spark, folder)
-    store.write_batch(0, {"orders": order_frame(spark, [1])})
-    assert files.set_marker(spark, f"{folder}/orders/_claims", f"{0:010d}")
-    assert not store.compact("orders")
-    store.release("orders")
-    assert store.compact("orders")
-    assert ids(store.orders()) == names([1])
-
-
-def test_another_streams_batches_are_refused(spark, folder):
-    store = HotStore(spark, folder)
-    store.write_batch(0, {"orders": order_frame(spark, [1])}, "a")
-    store.write_batch(0, {"orders": order_frame(spark, [9])}, "a")  # a replay
-    assert ids(store.orders()) == names([1])
-    with pytest.raises(ValueError):
-        store.write_batch(0, {"orders": order_frame(spark, [2])}, "b")
-    store.write_batch(1, {"orders": order_frame(spark, [2])}, "a")
-    assert ids(store.orders()) == names([1, 2])
-
-
-def test_archive_beside_compaction_keeps_every_order_once(spark, folder, store, monkeypatch):
-    cold, db = folder + "/cold", database(folder)
-    register, seen = tiering.register_archive, []
-
-    def register_late(*args, **kwargs):
-        if not seen:
-            seen.append(True)
-            store.write_batch(2, {"orders": order_frame(spark, [1, 20])})
-            store.compact("orders")
-        return register(*args, **kwargs)
-
-    monkeypatch.setattr(tiering, "register_archive", register_late)
-    report = tiering.archive_old_orders(store, cold, CUTOFF, db, "a1", threshold_mb=0).first()
-    assert ids(store.orders()) == names([*NEW, 20])
-    assert ids(tiering.read_archives(spark, cold)) == names([*OLD, 1])
-    assert report["remaining_orders"] == len(NEW) + 1
-    assert rows(tiering.archive_count(spark, db)) == [(1,)]
-    assert tiering.archive_old_orders(store, cold, CUTOFF, db, "a2", threshold_mb=0) is None
-
-
-def test_archive_that_another_forestalls_leaves_nothing(spark, folder, store, monkeypatch):
-    cold, db = folder + "/cold", database(folder)
-    register, seen = tiering.register_archive, []
-
-    def register_late(*args, **kwargs):
-        if not seen:
-            seen.append(True)
-            tiering.archive_old_orders(store, cold, CUTOFF, db, "b", threshold_mb=0)
-        return register(*args, **kwargs)
-
-    monkeypatch.setattr(tiering, "register_archive", register_late)
-    assert tiering.archive_old_orders(store, cold, CUTOFF, db, "a", threshold_mb=0) is None
-    assert ids(store.orders()) == names(NEW)
-    assert ids(tiering.read_archives(spark, cold)) == names(OLD)
-    assert rows(tiering.archive_count(spark, db)) == [(1,)]
-
-
 def test_archive_id_is_checked_before_writing(spark, folder, store):
     with pytest.raises(ValueError):
         tiering.archive_old_orders(store, folder + "/cold", CUTOFF, "db", "2024-01-01", 0)

@@ -1,5 +1,7 @@
 import json
 
+import os
+
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -82,9 +84,7 @@ def test_batches_do_not_matter(spark, folder):
     one = run(spark, folder)
     source = {"kind": "files", "path": folder + "/in", "maxFilesPerTrigger": "1"}
     stream = sources.read_events(spark, source)
-    ingest.start_ingest(
-        spark, stream, folder + "/many", ONCE, compact_every=3
-    ).awaitTermination()
+    ingest.start_ingest(spark, stream, folder + "/many", ONCE).awaitTermination()
     many = HotStore(spark, folder + "/many")
     assert one.committed() == 0 and many.committed() == 7
     left, right = contents(one), contents(many)
@@ -124,11 +124,32 @@ def test_replayed_batch_adds_nothing(spark, folder):
     assert store.orders().count() == 2
 
 
-def test_batches_bear_their_streams_identity(spark, folder):
+def test_without_its_checkpoint_a_store_is_refused(spark, folder):
     put(f"{folder}/in", "a.txt", [event(1)])
+    run(spark, folder)
+    os.rename(f"{folder}/hot/_checkpoint", f"{folder}/lost")
+    with pytest.raises(ValueError):
+        run(spark, folder)
+    os.rename(f"{folder}/lost", f"{folder}/hot/_checkpoint")
+    put(f"{folder}/in", "b.txt", [event(2)])
+    assert run(spark, folder).orders().count() == 2
+
+
+def test_a_batch_that_fails_after_its_write_is_replayed(spark, folder):
+    put(f"{folder}/in", "a.txt", [event(1, "c1", customer__city="Dayton")])
+    run(spark, folder)
+    put(f"{folder}/in", "b.txt", [event(2, "c1", customer__city="Akron")])
+    source = sources.read_events(spark, {"kind": "files", "path": folder + "/in"})
+
+    def fail(_store, _batch):
+        raise OSError("gone")
+
+    with pytest.raises(Exception):
+        ingest.start_ingest(spark, source, folder + "/hot", ONCE, fail).awaitTermination()
     store = run(spark, folder)
-    metadata = spark.read.json(f"{store.root}/_checkpoint/metadata").first()
-    assert files.names(spark, f"{store.root}/_stream") == [metadata["id"]]
+    assert store.committed() == 1 and store.orders().count() == 2
+    assert [r["city"] for r in store.customers().collect()] == ["Akron"]
+    assert store.order_size()[0] == 2
 
 
 def test_reasons(spark):
@@ -206,9 +227,7 @@ def test_running_minutes(spark, folder, lateness):
         ).write.mode("append").parquet(folder + "/in")
         stream = spark.readStream.schema(schema).parquet(folder + "/in")
         running = figures.running_minutes(stream, lateness)
-        figures.start_minutes(
-            running, folder + "/minutes", ONCE, compact_every=2
-        ).awaitTermination()
+        figures.start_minutes(running, folder + "/minutes", ONCE).awaitTermination()
     found = rows(kpis.revenue_by_minute(figures.read_minutes(spark, folder + "/minutes")))
     assert found[:3] == [
         ("2024-01-01T10:02", 9.0, 2),

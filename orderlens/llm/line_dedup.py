@@ -4,7 +4,8 @@ A line is parsed at fixed depth: its number of tokens, then its leading tokens,
 every token with a digit counts as variable. A leaf has as many templates as it needs: the more
 frequent forms come first, lines that agree with one in most tokens belong to it, and the
 tokens in which they differ are variable too. Templates that recur across documents are dropped, except in the
-first document that has them.
+first document that has them. A line of variable tokens alone, as a number, has nothing that
+names its kind: it counts by its exact text.
 """
 
 from __future__ import annotations
@@ -12,42 +13,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import documents, join_hot, saved
+from orderlens.session import work_dir
 
 VARIABLE = "<*>"
 # Depth of the tree below the number of tokens, and the share of equal tokens.
 LEADING = 4
 SIMILAR = 0.8
 # Documents from which on a template recurs.
-LEAST_DOCS = 3
+LEAST_DOCS = 2
+_MOVED = "form long, head long, lines long"
 
 # White space other than one blank; a whole token with a digit, tried at its start only.
 _NOT_ONE_BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 _WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+_ALL_VARIABLE = r"^<\*>(?: <\*>)*$"
 
 
-def form(line: Column) -> Column:
-    """The line in single blanks, tokens with a digit as variable."""
-    plain = F.trim(F.regexp_replace(line, _NOT_ONE_BLANK, " "))
+def plain(line: Column) -> Column:
+    """The line in single blanks."""
+    return F.trim(F.regexp_replace(line, _NOT_ONE_BLANK, " "))
+
+
+def form(plain: Column) -> Column:
+    """A plain line, tokens with a digit as variable."""
     return F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, form): every line that has a token."""
+    """(doc_id, text_hash, line, leaf, key, form): every line that has a token."""
+    tokens = F.col("tokens")
+    leaf = F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, LEADING), " "))
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
-        .select("doc_id", "text_hash", "line", form(F.col("value")).alias("form"))
+        .select("doc_id", "text_hash", "line", plain(F.col("value")).alias("plain"))
+        .select("*", form(F.col("plain")).alias("form"))
         .filter("form != ''")
+        .withColumn("bare", F.col("form").rlike(_ALL_VARIABLE))
+        # A bare line is alone in its leaf.
+        .withColumn("form", F.when(F.col("bare"), F.col("plain")).otherwise(F.col("form")))
+        .withColumn("tokens", F.split("form", " "))
+        .select(
+            "doc_id",
+            "text_hash",
+            "line",
+            F.when(F.col("bare"), F.xxhash64(F.col("form"), F.lit(VARIABLE))).otherwise(leaf).alias("leaf"),
+            F.xxhash64("form").alias("key"),
+            "form",
+        )
     )
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, LEADING), " "))
-
-
 def _buckets(tokens: Column, leaf: Column) -> Column:
     """One number for each part of the tokens; two forms of a leaf that agree have one in common.
 
     There is one part more than tokens in which such forms may differ, so one part is equal.
+    `tokens` must be a column: an expression would be worked out anew for each part.
     """
     size = F.size(tokens)
     parts = size - F.ceil(SIMILAR * size) + 1
@@ -65,46 +85,48 @@ def _moved(forms: DataFrame) -> DataFrame:
     template yet. Forms that meet no other are done. Equally frequent forms come by hash.
     """
     spark = forms.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = forms.select(F.xxhash64("form").alias("key"), "form", "lines")
-    left = forms.select(
-        F.xxhash64("form").alias("key"), "lines", F.explode(_buckets(F.split("form", " "), F.col("leaf"))).alias("bucket")
+    split = forms.repartition(wide, "leaf", "form").select(
+        F.xxhash64("form").alias("key"), "lines", "leaf", F.split("form", " ").alias("tokens")
     )
-    out = spark.createDataFrame([], "form long, head long, lines long")
+    left = saved(split.select("key", "lines", F.explode(_buckets(F.col("tokens"), F.col("leaf"))).alias("bucket")), "left")
+    moved, rounds = work_dir(spark, "moved"), 0
     while True:
         first = F.min(F.struct(-F.col("lines"), "key")).alias("top")
         tops = saved(left.groupBy("bucket").agg(first, F.count("*").alias("n")).filter("n > 1"), "tops")
         if tops.isEmpty():
-            return out
+            break
+        # What meets no other form is done and leaves here.
         met = saved(join_hot(left, tops, "bucket", "n", "inner").select("bucket", "key", "lines", "top"), "met")
         heads = met.groupBy("key").agg(F.min("top")["key"].alias("top")).filter("key = top").select("key")
         heads = saved(heads.join(texts, "key").select(F.col("key").alias("head"), F.col("form").alias("text"), F.col("lines").alias("of")), "heads")
         pairs = met.select("key", F.col("top")["key"].alias("head")).filter("key != head").distinct()
+        pairs = saved(pairs.join(heads.select("head"), "head"), "pairs")
         # How many forms meet a template, so that a frequent one comes by broadcast.
-        asked = pairs.groupBy("head").agg(F.count("*").alias("n"))
-        named = saved(heads.join(asked, "head"), "named")
-        near = join_hot(saved(pairs.join(texts, "key"), "pairs"), named, "head", "n", "inner")
+        named = saved(heads.join(pairs.groupBy("head").agg(F.count("*").alias("n")), "head"), "named")
+        near = join_hot(pairs.join(texts, "key"), named, "head", "n", "inner")
         own, other = F.split("form", " "), F.split("text", " ")
         equal = F.size(F.filter(F.zip_with(own, other, lambda a, b: a == b), lambda x: x))
-        joined = saved(
+        (
             near.filter(equal >= SIMILAR * F.size(own))
             .groupBy("key", "lines")
             .agg(F.min(F.struct(-F.col("of"), "head"))["head"].alias("head"))
-            .select(F.col("key").alias("form"), "head", "lines"),
-            "joined",
+            .select(F.col("key").alias("form"), "head", "lines")
+            .write.parquet(f"{moved}/round={rounds}")
         )
-        out = out.unionByName(joined)
+        joined = spark.read.schema(_MOVED).parquet(f"{moved}/round={rounds}")
         placed = heads.select(F.col("head").alias("key")).unionByName(joined.select(F.col("form").alias("key")))
         left = saved(met.select("bucket", "key", "lines").join(placed, "key", "left_anti"), "left")
+        rounds += 1
+    if not rounds:
+        return spark.createDataFrame([], _MOVED)
+    return spark.read.schema(_MOVED).parquet(*[f"{moved}/round={i}" for i in range(rounds)])
 
 
 def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc_id, text_hash, line) of each line to drop, from (doc_id, text)."""
-    texts = saved(
-        _lines(docs)
-        .withColumn("leaf", _leaf(F.split("form", " ")))
-        .select("doc_id", "text_hash", "line", "leaf", F.xxhash64("form").alias("key"), "form"),
-        "lines",
-    )
+    texts = saved(_lines(docs), "lines")
     keys = texts.select("doc_id", "text_hash", "line", "leaf", F.col("key").alias("form"))
     # Only leaves with several forms have something to generalise and need the texts.
     several = saved(
@@ -120,7 +142,7 @@ def dropped_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         .agg(F.count("*").alias("lines")),
         "forms",
     )
-    moved = saved(_moved(forms), "moved")
+    moved = _moved(forms)
     placed = saved(
         join_hot(keys.select("doc_id", "text_hash", "line", "form"), moved, "form", "lines").select(
             "doc_id", "text_hash", "line", F.coalesce("head", "form").alias("template")

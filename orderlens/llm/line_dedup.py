@@ -21,6 +21,8 @@ LEADING = 4
 SIMILAR = 0.8
 # Documents from which on a template recurs.
 LEAST_DOCS = 2
+# Buckets that are broadcast whole.
+FEW = 20_000
 _MOVED = "form long, head long, lines long"
 
 # White space other than one blank; a whole token with a digit, tried at its start only.
@@ -86,26 +88,32 @@ def _moved(forms: DataFrame) -> DataFrame:
     """
     spark = forms.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = forms.select(F.xxhash64("form").alias("key"), "form", "lines")
-    split = forms.repartition(wide, "leaf", "form").select(
-        F.xxhash64("form").alias("key"), "lines", "leaf", F.split("form", " ").alias("tokens")
-    )
+    texts = saved(forms.repartition(wide, "leaf", "form").select(F.xxhash64("form").alias("key"), "leaf", "form", "lines"), "texts")
+    split = texts.select("key", "lines", "leaf", F.split("form", " ").alias("tokens"))
     left = saved(split.select("key", "lines", F.explode(_buckets(F.col("tokens"), F.col("leaf"))).alias("bucket")), "left")
     moved, rounds = work_dir(spark, "moved"), 0
     while True:
         first = F.min(F.struct(-F.col("lines"), "key")).alias("top")
         tops = saved(left.groupBy("bucket").agg(first, F.count("*").alias("n")).filter("n > 1"), "tops")
-        if tops.isEmpty():
+        shared = tops.count()
+        if not shared:
             break
-        # What meets no other form is done and leaves here.
-        met = saved(join_hot(left, tops, "bucket", "n", "inner").select("bucket", "key", "lines", "top"), "met")
-        heads = met.groupBy("key").agg(F.min("top")["key"].alias("top")).filter("key = top").select("key")
-        heads = saved(heads.join(texts, "key").select(F.col("key").alias("head"), F.col("form").alias("text"), F.col("lines").alias("of")), "heads")
+        # What meets no other form is done and leaves here. Few buckets, of four numbers each, are
+        # broadcast whole, more of them by their size.
+        if shared <= FEW:
+            met = left.join(F.broadcast(tops.select("bucket", "top")), "bucket")
+        else:
+            met = join_hot(left, tops, "bucket", "n", "inner").select("bucket", "key", "lines", "top")
+        # Laid anew, so that the rounds' files get fewer as their rows do.
+        met = saved(met.repartition("key"), "met")
+        best = met.groupBy("key").agg(F.min("top")["key"].alias("top"))
+        texts = saved(texts.join(best, "key").select("key", "form", "lines", (F.col("key") == F.col("top")).alias("heads")), "texts")
+        heads = texts.filter("heads").select(F.col("key").alias("head"), F.col("form").alias("text"), F.col("lines").alias("of"))
         pairs = met.select("key", F.col("top")["key"].alias("head")).filter("key != head").distinct()
         pairs = saved(pairs.join(heads.select("head"), "head"), "pairs")
         # How many forms meet a template, so that a frequent one comes by broadcast.
         named = saved(heads.join(pairs.groupBy("head").agg(F.count("*").alias("n")), "head"), "named")
-        near = join_hot(pairs.join(texts, "key"), named, "head", "n", "inner")
+        near = join_hot(pairs.join(texts.select("key", "form", "lines"), "key"), named, "head", "n", "inner")
         own, other = F.split("form", " "), F.split("text", " ")
         equal = F.size(F.filter(F.zip_with(own, other, lambda a, b: a == b), lambda x: x))
         (

@@ -8,6 +8,7 @@ labelled documents fits the probabilities.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,14 +28,16 @@ PASSES = 3
 # Probability of a character that no piece covers, and weight of the mean of all languages.
 FLOOR = 1e-9
 SMOOTHING = 0.02
-# Longer runs of letters are summed with scaling, one by one.
+# Longer runs of letters are summed with scaling or by logarithms, one by one.
 _LONG = 30
-_CACHED = 300_000
+_CACHED = 500_000
 _CHARS = 4_000_000
 
+# Letters and number signs; the latter are taken out after.
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _VOCABULARIES: dict[str, "Pieces"] = {}
+_SCORERS: dict[tuple, "Scorer"] = {}
 
 
 class Pieces:
@@ -54,17 +57,49 @@ class Pieces:
         self.number = {text: i for i, text in enumerate(texts)}
         self.size = len(texts) + 1
         self.longest = max(map(len, texts))
+        # A tree over the pieces' characters: the sorted edges (node, character), the node each
+        # leads to, and the piece that ends at a node.
+        nodes, edges = {"": 0}, {}
+        for text in texts:
+            for end in range(1, len(text) + 1):
+                if text[:end] not in nodes:
+                    nodes[text[:end]] = len(nodes)
+                    edges[nodes[text[: end - 1]] << 21 | ord(text[end - 1])] = nodes[text[:end]]
+        self.edges = np.array(sorted(edges), np.int64)
+        self.leads = np.array([edges[e] for e in sorted(edges)], np.int64)
+        self.ends = np.full(len(nodes), -1, np.int64)
+        for text, number in self.number.items():
+            self.ends[nodes[text]] = number
 
     def arcs(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, numbers) over words of one length, by end."""
+        """(start, end, rows, numbers) over words of one length, by start.
+
+        From each start all words walk down the tree together, as long as a piece may follow.
+        """
+        size, other = len(words[0]), self.size - 1
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = letters.reshape(len(words), size).T.astype(np.int64)
+        for start in range(size):
+            rows, nodes = np.arange(len(words)), np.zeros(len(words), np.int64)
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                wanted = nodes << 21 | letters[end - 1, rows]
+                at = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+                there = self.edges[at] == wanted
+                found = np.where(there, self.ends[self.leads[at]], -1)
+                if end == start + 1:
+                    yield start, end, rows, np.where(found < 0, other, found)
+                elif (found >= 0).any():
+                    yield start, end, rows[found >= 0], found[found >= 0]
+                rows, nodes = rows[there], self.leads[at][there]
+                if not len(rows):
+                    break
+
+    def into(self, word: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The starts and numbers of the pieces of a word that end here."""
         get, other = self.number.get, self.size - 1
-        for end in range(1, len(words[0]) + 1):
-            for start in range(max(0, end - self.longest), end):
-                missing = other if end - start == 1 else -1
-                found = np.fromiter((get(w[start:end], missing) for w in words), np.int64, len(words))
-                rows = np.flatnonzero(found >= 0)
-                if len(rows):
-                    yield start, end, rows, found[rows]
+        found = [(s, get(word[s:end], other if end - s == 1 else -1)) for s in range(max(0, end - self.longest), end)]
+        starts, numbers = zip(*[(s, n) for s, n in found if n >= 0])
+        return np.array(starts), np.array(numbers)
 
     def forward(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Logarithms of the words' probabilities, a column for each language."""
@@ -99,9 +134,11 @@ class Pieces:
         return log + np.log(alpha[-1])
 
     def expected(self, words: list[str], counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, over all segmentations of words of up to _LONG letters."""
+        """Expected uses of each piece, over all segmentations of the words."""
         uses = np.zeros(self.size)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lengths > _LONG):
+            self._expected_long(words[i], counts[i], np.log(weights), uses)
         for length in np.unique(lengths[lengths <= _LONG]):
             at = np.flatnonzero(lengths == length)
             group = [words[i] for i in at]
@@ -110,7 +147,7 @@ class Pieces:
             alpha[0] = beta[length] = 1
             for start, end, rows, found in arcs:
                 alpha[end, rows] += alpha[start, rows] * weights[found]
-            # Backwards all arcs into a position come after those out of it.
+            # Backwards all arcs out of a position come before those into it.
             for start, end, rows, found in reversed(arcs):
                 beta[start, rows] += beta[end, rows] * weights[found]
             share = counts[at] / alpha[length]
@@ -118,6 +155,19 @@ class Pieces:
                 np.add.at(uses, found, alpha[start, rows] * weights[found] * beta[end, rows] * share[rows])
         return uses
 
+    def _expected_long(self, word: str, count: float, logs: np.ndarray, uses: np.ndarray) -> None:
+        """Adds one word's expected uses, by logarithms; memory is two numbers a letter."""
+        alpha, beta = np.full((2, len(word) + 1), -np.inf)
+        alpha[0] = beta[-1] = 0
+        for end in range(1, len(word) + 1):
+            starts, found = self.into(word, end)
+            alpha[end] = np.logaddexp.reduce(alpha[starts] + logs[found])
+        for end in range(len(word), 0, -1):
+            starts, found = self.into(word, end)
+            after = logs[found] + beta[end]
+            beta[starts] = np.logaddexp(beta[starts], after)
+            np.add.at(uses, found, count * np.exp(alpha[starts] + after - alpha[-1]))
+
 
 def vocabulary(path: str) -> Pieces:
     """One for each worker and file."""
@@ -126,9 +176,15 @@ def vocabulary(path: str) -> Pieces:
     return _VOCABULARIES[path]
 
 
-def runs(token: str) -> list[str]:
-    """A token's runs of letters, each as the start of a word."""
-    return [_MARK + run for run in _RUN.findall(token)]
+def runs(text: str) -> list[str]:
+    """A text's runs of letters, in lower case, each as the start of a word."""
+    out = []
+    for run in _RUN.findall(text.lower()):
+        if run.isalpha():
+            out.append(_MARK + run)
+        else:
+            out += [_MARK + r for r in "".join(c if c.isalpha() else " " for c in run).split()]
+    return out
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -140,9 +196,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for token, n in Counter((text or "").lower().split()).items():
-                for run in runs(token):
-                    counts[lang, run] += n
+            for run, n in Counter(runs(text or "")).items():
+                counts[lang, run] += n
         yield pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array([k[0] for k in counts], pa.string()),
@@ -206,7 +261,7 @@ def fit(labelled: DataFrame, model: str, sample_docs: int = SAMPLE_DOCS, passes:
 
 
 class Scorer:
-    """Languages of texts, with the token scores that a task has met so far."""
+    """Languages of texts, with the scores of the runs that a worker has met so far."""
 
     def __init__(self, path: str, langs: list[str], weights: np.ndarray):
         self.pieces, self.langs, self.weights = vocabulary(path), langs, weights
@@ -214,44 +269,41 @@ class Scorer:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.langs) + 1))
-
-    def _learn(self, tokens: set[str]) -> None:
-        """Adds each token's log probabilities, and whether it has letters."""
-        order = list(tokens)
-        parts = [runs(t) for t in order]
-        words = [w for part in parts for w in part]
-        rows = np.zeros((len(order), len(self.langs) + 1))
-        owner = np.repeat(np.arange(len(order)), [len(p) for p in parts])
-        if words:
-            np.add.at(rows[:, :-1], owner, self.pieces.forward(words, self.weights))
-            rows[owner, -1] = 1
-        self.known.update(zip(order, range(len(self.scores), len(self.scores) + len(order))))
-        self.scores = np.concatenate([self.scores, rows])
+        self.scores = np.zeros((0, len(self.langs)))
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        tokens = [t.lower().split() for t in texts]
-        new = {t for part in tokens for t in part if t not in self.known}
+        parts = [runs(t) for t in texts]
+        new = {r for part in parts for r in part if r not in self.known}
         if len(self.known) + len(new) > _CACHED:
             self._clear()
-            new = {t for part in tokens for t in part}
+            new = {r for part in parts for r in part}
         if new:
-            self._learn(new)
+            order = list(new)
+            self.known.update(zip(order, range(len(self.scores), len(self.scores) + len(order))))
+            self.scores = np.concatenate([self.scores, self.pieces.forward(order, self.weights)])
         best, sure = [], []
-        for part in tokens:
-            at = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-            found = self.scores[at].sum(axis=0)
-            total = found[:-1]
-            if not found[-1]:
+        for part in parts:
+            if not part:
                 best.append(UNKNOWN)
                 sure.append(0.0)
                 continue
+            at = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
+            total = self.scores[at].sum(axis=0)
             top = int(np.argmax(total))
             best.append(self.langs[top])
             sure.append(1 / float(np.exp(total - total[top]).sum()))
         return best, sure
 
 
+def scorer(path: str, langs: list[str], weights: np.ndarray) -> Scorer:
+    """The worker's one for this model, which the worker's next task finds as it was left."""
+    key = path, tuple(langs), hashlib.sha256(weights.tobytes()).digest()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(path, langs, weights)
+    return _SCORERS[key]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.Table, list[str]]]:
     """Batches together up to some millions of characters, so that new words come in numbers."""
     held, texts, size = [], [], 0
@@ -269,7 +321,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple
 
 def _predictions(path: str, langs: list[str], shared, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(path, langs, shared.value)
+        score = scorer(path, langs, shared.value)
         for table, texts in _gathered(batches, 1):
             best, sure = score(texts)
             columns = [table.column(0).cast(schema.field(0).type), pa.array(best), pa.array(sure, pa.float64())]
@@ -280,7 +332,7 @@ def _predictions(path: str, langs: list[str], shared, schema: pa.Schema):
 
 def _kept(path: str, langs: list[str], shared, text_at: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(path, langs, shared.value)
+        score = scorer(path, langs, shared.value)
         for table, texts in _gathered(batches, text_at):
             best, sure = score(texts)
             stays = [lang != UNKNOWN and s >= least for lang, s in zip(best, sure)]

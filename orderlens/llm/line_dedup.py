@@ -28,32 +28,36 @@ _MOVED = "form long, head long, lines long"
 # White space other than one blank; a whole token with a digit, tried at its start only.
 _NOT_ONE_BLANK = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 _WITH_DIGIT = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+_TOKEN = r"[^\x20\x09-\x0D]"
 _ALL_VARIABLE = r"^<\*>(?: <\*>)*$"
 
 
 def plain(line: Column) -> Column:
-    """The line in single blanks."""
-    return F.trim(F.regexp_replace(line, _NOT_ONE_BLANK, " "))
+    """The line in single blanks. Most lines have nothing to replace, which a search finds sooner."""
+    odd = line.contains("  ") | line.rlike(r"[\x09-\x0D]")
+    return F.trim(F.when(odd, F.regexp_replace(line, _NOT_ONE_BLANK, " ")).otherwise(line))
 
 
 def form(plain: Column) -> Column:
     """A plain line, tokens with a digit as variable."""
-    return F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _WITH_DIGIT, VARIABLE)).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, leaf, key, form): every line that has a token."""
-    tokens = F.col("tokens")
-    leaf = F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, LEADING), " "))
+    size = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "))) + 1
+    leaf = F.xxhash64(size, F.substring_index("form", " ", LEADING))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
+        # Hashed before the lines part, and tested as they are: Spark would work out the form once
+        # more for a test of it.
+        docs.withColumn("text_hash", F.xxhash64("text"))
+        .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
+        .filter(F.col("value").rlike(_TOKEN))
         .select("doc_id", "text_hash", "line", plain(F.col("value")).alias("plain"))
         .select("*", form(F.col("plain")).alias("form"))
-        .filter("form != ''")
-        .withColumn("bare", F.col("form").rlike(_ALL_VARIABLE))
+        .withColumn("bare", F.col("form").startswith(VARIABLE) & F.col("form").rlike(_ALL_VARIABLE))
         # A bare line is alone in its leaf.
         .withColumn("form", F.when(F.col("bare"), F.col("plain")).otherwise(F.col("form")))
-        .withColumn("tokens", F.split("form", " "))
         .select(
             "doc_id",
             "text_hash",

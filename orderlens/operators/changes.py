@@ -12,22 +12,22 @@ from pyspark.sql import DataFrame, functions as F
 PRESENT = "present"
 
 
-def fold(changes: DataFrame, key: str, order: str, within: str | None = None) -> DataFrame:
+def fold(changes: DataFrame, key: str, order: str, within: tuple[str, ...] = ()) -> DataFrame:
     """One change per key with the same effect as all its changes in the order of a column.
 
-    `within` names a column that follows from the key, such as its bucket, and is kept: rows
-    that are already dealt by it are not shuffled again.
+    `within` names columns that follow from the key, such as its bucket, and are kept: rows
+    that are already dealt by them are not shuffled again.
 
     `max_by` folds within each task before the shuffle, so a key with very many changes
     sends one row per task. It skips rows whose ordering is null: here, the changes that do
     not set the field.
     """
-    fields = [name for name in changes.columns if name not in (key, PRESENT, order, within)]
+    fields = [name for name in changes.columns if name not in (key, PRESENT, order, *within)]
     is_set = {name: f"array_contains({PRESENT}, '{name}')" for name in (key, *fields)}
     latest = [f"max_by(`{n}`, CASE WHEN {is_set[n]} THEN `{order}` END) AS `{n}`" for n in fields]
     flags = [f"CASE WHEN bool_or({test}) THEN '{name}' END" for name, test in is_set.items()]
     present = f"array_compact(array({', '.join(flags)})) AS {PRESENT}"
-    return changes.groupBy(*filter(None, (within, key))).agg(*[F.expr(text) for text in (*latest, present)])
+    return changes.groupBy(*within, key).agg(*[F.expr(text) for text in (*latest, present)])
 
 
 def merge(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -30,10 +30,13 @@ from orderlens.sources import files
 
 BATCH = "batch_id"
 BUCKET = "bucket"
+PART = "part"
 DAY = "order_date"
 
 # Shares of a table's keys when it is first written. A batch reads and writes whole buckets.
 BUCKETS = 64
+# Rows of a bucket that one task merges: a larger bucket is dealt to several tasks by key.
+TASK_ROWS = 500_000
 # Days of a partition of the orders, when they are first written: more where days are small.
 DAYS = 1
 # Notes of batches that are kept, for the flow between them.
@@ -119,11 +122,18 @@ class HotStore:
         return noted.get["rows"], noted.get["bytes"]
 
     def _upsert(self, table: str, frame: DataFrame, batch_id: int) -> tuple[int, int]:
-        """Merge changes, one row per key, into the buckets of their keys."""
+        """Merge changes, one row per key, into the buckets of their keys.
+
+        What a task holds is bounded however large a bucket is: its keys are dealt to as many
+        tasks as its rows ask for, and each writes a file of the bucket.
+        """
         key, columns = KEYS[table], SCHEMAS[table].names
         n = self._count(table, "buckets")
         changes = frame.withColumn(BUCKET, _bucket_of(F.col(f"`{key}`"), n))
-        touched = {row[BUCKET] for row in changes.select(BUCKET).distinct().collect()}  # n at most
+        new_rows = {r[BUCKET]: r["count"] for r in changes.groupBy(BUCKET).count().collect()}  # n at most
+        touched = set(new_rows)
+        in_bucket = max(new_rows.values(), default=0) + self._note(batch_id - 1)["rows"].get(table, 0) // n
+        parts = -(-in_bucket // TASK_ROWS) or 1
         paths = self._versions(table, batch_id - 1)
         old = self._read(table, [paths[b] for b in sorted(touched & paths.keys())])
         old, had = _sizes(old.withColumn(BUCKET, _bucket_of(F.col(f"`{key}`"), n)), columns[:-1], "had")
@@ -131,7 +141,8 @@ class HotStore:
         both = old.withColumn(PRESENT, every).withColumn("_age", F.lit(0)).unionByName(
             changes.withColumn("_age", F.lit(1))
         )
-        merged = fold(both.repartition(BUCKET), key, "_age", within=BUCKET)
+        both = both.withColumn(PART, F.pmod(F.hash(F.col(f"`{key}`")), F.lit(parts)))
+        merged = fold(self._dealt(both, len(touched) * parts), key, "_age", within=(BUCKET, PART))
         merged = merged.select(*columns, BUCKET).withColumn(BATCH, F.lit(batch_id).cast("long"))
         merged, has = _sizes(merged, columns[:-1], "has")
         self._overwrite(merged, self._folder(table, n), [BUCKET, BATCH])
@@ -140,6 +151,11 @@ class HotStore:
         # Where a bucket is new, nothing was read and so nothing observed.
         return tuple(has.get[x] - (had.get[x] if touched & paths.keys() else 0) for x in ("rows", "bytes"))
 
+    def _dealt(self, rows: DataFrame, tasks: int) -> DataFrame:
+        """Rows by part of a bucket. Few parts are left to the session's number of tasks."""
+        more = tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(*([tasks] if more else []), BUCKET, PART)
+
     @staticmethod
     def _overwrite(frame: DataFrame, path: str, by: list[str]) -> None:
         writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -414,3 +414,27 @@ def test_a_cluster_needs_a_shared_folder():
     assert runs_in_one_process("local") and runs_in_one_process("local[8]")
     assert not runs_in_one_process("local-cluster[3,2,1000]")
     assert not runs_in_one_process("yarn") and not runs_in_one_process("spark://host:7077")
+
+
+def test_a_large_bucket_is_merged_by_several_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr("orderlens.sources.store.TASK_ROWS", 50)
+    store = HotStore(spark, folder, buckets=2)
+
+    def names(batch):
+        given = {
+            "customer_id": F.concat(F.lit("c"), F.col("id").cast("string")),
+            "name": F.concat(F.lit(f"n{batch} "), F.col("id").cast("string")),
+        }
+        columns = [
+            given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CUSTOMERS.fields
+        ]
+        return spark.range(1000).select(*columns, F.array(*map(F.lit, given)).alias("present"))
+
+    store.write_batch(0, {"customers": names(0)})
+    files_of_first = len(store.customers().inputFiles())
+    store.write_batch(1, {"customers": names(1).where("customer_id < 'c5'")})
+    # 500 rows of a bucket at 50 a task: more than a file and a task for each bucket.
+    assert files_of_first > 2 and len(store.customers().inputFiles()) > 2
+    found = {r["customer_id"]: r["name"] for r in store.customers().collect()}
+    assert len(found) == 1000 == store.sizes()["customers"][0]
+    assert all(n == f"n{int(k < 'c5')} {k[1:]}" for k, n in found.items())

@@ -6,7 +6,7 @@ table, because order dates have no time of day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from orderlens.functions import text
 from orderlens.sources.tables import scan
@@ -31,10 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders: one per line. `order_ref` is the key that payments name."""
-    lines = table(spark, sf_dir, "lineitem")
-    heads = table(spark, sf_dir, "orders")
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with what their amounts are made of. It takes less room than the amounts."""
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(*names, "l_discount", "l_tax")
+
+
+def line_columns() -> dict[str, Column]:
+    """What an order takes from its line. `order_ref` is the key that payments name."""
     # Price in cents times what is left of the price in percent is the total in 1/10000.
     price = F.rint(F.col("l_extendedprice") * 100).cast("long")
     left = 100 - F.rint(F.col("l_discount") * 100).cast("long")
@@ -42,20 +46,38 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Times the tax in percent it is the tax in 1/1000000, rounded to 1/10000.
     tax_share = F.rint(F.col("l_tax") * 100).cast("long")
     tax = F.floor((price * left * tax_share + 50) / 100) / F.lit(10000.0)
-    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
-        F.col("l_orderkey").alias("order_ref"),
+    return {
+        "order_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
+        "order_ref": F.col("l_orderkey"),
+        "product_id": F.col("l_partkey"),
+        "quantity": F.col("l_quantity").cast("bigint"),
+        "total_amount": total,
+        "shipping_cost": F.lit(0.0),
+        "tax_amount": tax,
+    }
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all lines of an order share, one row per `order_ref`."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_ref"),
         F.col("o_custkey").alias("customer_id"),
-        F.col("l_partkey").alias("product_id"),
         F.col("o_orderdate").alias("timestamp"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        total.alias("total_amount"),
-        F.lit(0.0).alias("shipping_cost"),
-        tax.alias("tax_amount"),
         F.col("o_orderstatus").alias("order_status"),
     )
 
 
+def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders: one per line."""
+    lines, own = raw_lines(spark, sf_dir), line_columns()
+    shared = heads(spark, sf_dir).withColumnRenamed("order_ref", "head_ref")
+    rows = lines.join(shared, F.col("l_orderkey") == F.col("head_ref"))
+    columns = own | {n: F.col(n) for n in ("customer_id", "timestamp", "order_status")}
+    order = "order_id order_ref customer_id product_id timestamp quantity total_amount"
+    order += " shipping_cost tax_amount order_status"
+    return rows.select(*[columns[n].alias(n) for n in order.split()])
+
+
 def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     people = table(spark, sf_dir, "customer")
@@ -122,7 +144,8 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     The payment is the one of the order's head; an order whose head has no event gets a
     payment of its own, which succeeded at once.
     """
-    orders, customers, products = star(spark, sf_dir)
+    customers = cust(spark, sf_dir).withColumnsRenamed({"name": "c_name"})
+    products = prod(spark, sf_dir).withColumnsRenamed({"name": "p_name"})
     payments = pay(spark, sf_dir).select(
         F.col("order_id").alias("order_ref"),
         F.col("payment_method").alias("pay_method"),
@@ -130,10 +153,17 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("processing_time").alias("pay_time"),
     )
     iso = "yyyy-MM-dd'T'HH:mm:ss"
+    # Customers and payments are joined to the heads, which are fewer than the lines, and
+    # products to the lines while these are narrow: a line is shuffled twice, not four times.
+    shared = heads(spark, sf_dir).join(customers, "customer_id").join(payments, "order_ref", "left")
+    own = {n: column for n, column in line_columns().items() if n not in ("order_ref", "product_id")}
     rows = (
-        orders.join(customers.withColumnsRenamed({"name": "c_name"}), "customer_id")
-        .join(products.withColumnsRenamed({"name": "p_name"}), "product_id")
-        .join(payments, "order_ref", "left")
+        raw_lines(spark, sf_dir)
+        .withColumnsRenamed({"l_orderkey": "order_ref", "l_partkey": "product_id"})
+        .join(products, "product_id")
+        .join(shared, "order_ref")
+        .withColumns({"l_orderkey": F.col("order_ref")})
+        .withColumns(own)
     )
     order_key = text.order_key(F.col("order_id"))
     customer_key = text.customer_key(F.col("customer_id"))
@@ -183,6 +213,6 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_lines(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
-    """The nested events as JSON text, in a few partitions."""
-    return text.json_rows(event_rows(spark, sf_dir).repartition(parts))
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested events as JSON text."""
+    return text.json_rows(event_rows(spark, sf_dir))

@@ -6,6 +6,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from checks import queries, views
 from orderlens.operators import kpis
 from orderlens.sources import events as sources
 from orderlens.sources.published import published_names, read_published
@@ -236,3 +237,47 @@ def test_running_minutes(spark, folder, lateness):
     ]
     # A window needs a time; the plain aggregate keeps orders without one.
     assert found[3:] == ([(None, 2.0, 2)] if lateness is None else [])
+
+
+def test_a_batch_is_kept_packed_in_the_store_while_it_is_written(spark, folder, monkeypatch):
+    store, seen = HotStore(spark, f"{folder}/hot"), []
+    lines = spark.createDataFrame([(event(n), n) for n in range(3)], "value string, n int")
+    batch = lines.select("value", F.struct(F.col("n").alias("at")).alias("seq"))
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, write = held(), HotStore.write_batch
+
+    def watched(self, batch_id, frames):
+        write(self, batch_id, frames)
+        seen.append((held() - before, files.exists(spark, f"{store.root}/{ingest.DECODED}")))
+
+    monkeypatch.setattr(HotStore, "write_batch", watched)
+    ingest.write_star(store, batch, 0)
+    assert seen == [(0, True)]
+    assert not files.exists(spark, f"{store.root}/{ingest.DECODED}")
+    assert store.orders().count() == 3 and store.customers().count() == 1
+
+
+def test_event_files_are_packed_bounded_and_come_in_two_batches(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_EVENTS", (1, 500))
+    lines = views.event_lines(spark, sf_dir)
+    assert "RoundRobin" not in lines._jdf.queryExecution().executedPlan().toString()
+    source = queries.event_files(spark, sf_dir, lines)
+    written = spark.read.text(source["path"])
+    names = written.inputFiles()
+    length = written.agg(F.sum(F.length("value"))).first()[0]
+    packed = sum(os.path.getsize(name.removeprefix("file:").replace("///", "/")) for name in names)
+    assert packed * 5 < length
+    most = written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most <= 500 and len(names) > 4
+    assert int(source["maxFilesPerTrigger"]) == -(-len(names) // 2)
+    assert written.exceptAll(lines).isEmpty() and lines.exceptAll(written).isEmpty()
+
+
+def test_lines_meet_their_heads_and_products_only(spark, sf_dir):
+    def joins_with(node, table):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        is_one = node.nodeName() == "Join" and f"{table}#" in node.toString()
+        return is_one + sum(joins_with(child, table) for child in below)
+
+    plan = views.event_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    assert joins_with(plan, "l_extendedprice") == 2

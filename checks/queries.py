@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,6 +58,12 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.orders_joined(*views.star(spark, sf_dir))
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """Rows that are read more than once, written to the shared folder the first time."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _double(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in names})
 
@@ -462,11 +469,11 @@ def archive_candidates(spark, sf_dir):
 
 @query("archive_write")
 def archive_write(spark, sf_dir):
-    """Two archives under one path, the second written twice."""
+    """Two archives under one path, the second written twice, from orders that are joined once."""
     folder = work_dir(spark, "cold")
-    orders = hot_orders(spark, sf_dir)
+    orders = _kept(tiering.candidates(hot_orders(spark, sf_dir), CUTOFF), work_dir(spark, "orders"))
     old = tiering.candidates(orders, EARLIER_CUTOFF)
-    rest = tiering.remainder(tiering.candidates(orders, CUTOFF), EARLIER_CUTOFF)
+    rest = tiering.remainder(orders, EARLIER_CUTOFF)
     tiering.write_archive(old, folder, "archive_1")
     tiering.write_archive(old, folder, "archive_2")
     tiering.write_archive(rest, folder, "archive_2")
@@ -664,11 +671,12 @@ def read_category_performance(spark, sf_dir):
 
 @query("published_or_compute")
 def summary_from_either(spark, sf_dir):
-    """The summary before and after it is published."""
+    """The summary before and after it is published, computed once."""
     serving = work_dir(spark, "serving")
 
+    @cache
     def compute() -> DataFrame:
-        return kpis.summary(joined(spark, sf_dir))
+        return _kept(kpis.summary(joined(spark, sf_dir)), work_dir(spark, "summary"))
 
     first = published_or_compute(spark, serving, "summary", compute)
     publish(spark, serving, "summary", compute())

@@ -188,7 +188,9 @@ def orders_joined(spark, sf_dir):
 
 def full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     payments = views.pay(spark, sf_dir)
-    return star.orders_with_payments(*views.star(spark, sf_dir), payments, "order_ref")
+    _, customers, products = views.star(spark, sf_dir)
+    lines, heads = views.lines(spark, sf_dir), views.heads(spark, sf_dir)
+    return star.orders_with_payments(lines, customers, products, payments, "order_ref", heads)
 
 
 @query("orders_full15")

@@ -95,10 +95,14 @@ def orders_with_payments(
     products: DataFrame,
     payments: DataFrame,
     order_key: str = "order_id",
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """The 15-column row from the normalised tables.
 
-    `order_key` is the order's column that payments name as their `order_id`.
+    `order_key` is the order's column that payments name as their `order_id`. Orders may come
+    in two frames: `heads` then has, once for each `order_key`, what several orders share, the
+    customer and the time, and `orders` the rest. Customers and payments are joined to these
+    fewer rows, before the orders, of which only those paid are shuffled to their product.
     """
     paid = payments.select(
         F.col("order_id").alias("paid_order"),
@@ -106,8 +110,13 @@ def orders_with_payments(
         F.col("status").alias("payment_status"),
         "processing_time",
     )
-    star = join_products(join_customers(orders, customers), products)
-    return star.join(paid, F.col(order_key) == F.col("paid_order"), "inner").select(
+    has_paid = F.col(order_key) == F.col("paid_order")
+    if heads is None:
+        # Payments first: orders that lie by their key already are not shuffled for them.
+        rows = join_customers(orders.join(paid, has_paid), customers)
+    else:
+        rows = orders.join(join_customers(heads, customers).join(paid, has_paid), order_key)
+    return join_products(rows, products).select(
         "order_id",
         "timestamp",
         "total_amount",

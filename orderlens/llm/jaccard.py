@@ -5,18 +5,23 @@ the start. Elements have one order for all sets, rare ones first. Of two sets wi
 similarity, the first `p` elements of each (p follows from the size) share one, and the first
 p + 1 share two.
 
+More generally the first p + k - 1 share k. So a set goes on only if so many of its first elements
+are on lists of several sets as every set that it can link to would need: most sets without a near
+copy are done here, before any pair is made, whatever their number.
+
 * Light sets, up to a boundary in size, enumerate all 2-subsets of their first p + 1 elements.
   Two light sets that link have such a subset in common, and few others do.
 * Heavy sets would have too many subsets: they go on inverted lists under their first p
   elements, with the light sets that are large enough to link to one of them.
 
-The boundary is where the subsets to write and the lists to scan cost least together.
+The boundary is where the subsets to write and the lists to scan cost least together. Elements
+that one set alone has are left out of both.
 
-Of a list with up to SHORT members all pairs are candidates. A longer list is compared in rounds
-with a bounded number of hubs, members that are on many lists; what is linked is joined, lists
-whose members are all joined are done, and the others go on with the members after their hubs.
-So a large group of near copies costs one comparison a member, and no link between unjoined
-texts is missed.
+Of a list with up to SHORT members all pairs are candidates. The members of a longer list are
+compared by signatures where the list is, and each names a bounded number of earlier members that
+it may link to; it goes on after those in the next round, unless all that is left is joined to it
+by then. So a large group of near copies costs a few candidates a member, members that link to
+nothing are done in one round, and no link between unjoined texts is missed.
 """
 
 from __future__ import annotations
@@ -48,8 +53,14 @@ MOST_LIGHT = 4096
 SIGNATURE = 512
 # Members of a list whose pairs are all compared at once.
 SHORT = 16
-# Hubs of a longer list in the rounds; the last number goes on.
-HUBS = (1, 16, 64, 256)
+# Earlier members that a member of a longer list names in the rounds; the last number goes on.
+HUBS = (1, 256)
+# Members that are compared with as many others at once.
+BLOCK = 512
+# Lists that a member of a longer list knows itself to be on, and those that a list's members are told apart by.
+KNOWN, TOLD = 32, 512
+# Rows of an Arrow batch where rows are a few numbers.
+NARROW = 1 << 16
 # Pairs of one hub that meet its set in one place.
 DEALT = 1024
 # Words of a text that are hashed at once.
@@ -172,6 +183,11 @@ def reach(n: int, percent: int) -> int:
     return n - least_overlap(n, percent) + 1
 
 
+def in_common(n: int, percent: int) -> int:
+    """`k`: of the first p + k - 1 elements of a set, its own k and those of any set it links to are shared."""
+    return min(max(2, 1 + reach(n, percent) // 4), least_overlap(n, percent))
+
+
 def can_link(n: int, percent: int) -> bool:
     """Whether a set of this size can link to one that differs from it."""
     return 100 * n >= percent * (n + 1)
@@ -197,15 +213,15 @@ def _described(shared, words: int, percent: int, schema: pa.Schema):
                 elements = hasher.elements(text)
                 n = len(elements)
                 if not n:
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, 0, None, None, None))
                     continue
                 digest = hashlib.sha256(elements.tobytes()).digest()
                 first = None
                 if can_link(n, percent):
                     # Sorted already, so equally common elements stay in the order of hashes.
-                    order = np.argsort(common[_counter(elements)], kind="stable")[: reach(n, percent) + 1]
+                    order = np.argsort(common[_counter(elements)], kind="stable")[: reach(n, percent) + in_common(n, percent) - 1]
                     first = elements[order].view(np.int64)
-                rows.append((doc_id, n, digest, first, signature(elements), signature(elements, SIGNATURE)))
+                rows.append((doc_id, n, digest, first, signature(elements)))
             columns = [pa.array(list(values), field.type) for values, field in zip(zip(*rows), schema)]
             if rows:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -215,7 +231,7 @@ def _described(shared, words: int, percent: int, schema: pa.Schema):
 
 
 def describe(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: n, digest of the set, first elements, signature and its least form, mark."""
+    """One row per document: n, digest of the set, first elements, signature."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     common = commonness(texts, words)
@@ -225,7 +241,6 @@ def describe(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
         StructField("digest", BinaryType()),
         StructField("first", ArrayType(LongType())),
         StructField("signature", ArrayType(LongType())),
-        StructField("mark", ArrayType(LongType())),
     )
     shared = texts.sparkSession.sparkContext.broadcast(common)
     return texts.mapInArrow(_described(shared, words, percent, to_arrow_schema(schema)), schema)
@@ -253,31 +268,99 @@ def boundary(classes: DataFrame, lists: DataFrame, percent: int = PERCENT) -> in
     return int(np.argmin(light + np.array(heavy)))
 
 
-# (key, class, n, pos): `pos` is the place of the (first) element in its set's order.
-_PAIRS = (
-    "flatten(transform(sequence(0, size(first) - 2), i -> transform(sequence(i + 1, size(first) - 1), "
-    "j -> struct(xxhash64(first[i], first[j]) AS key, i AS pos))))"
+# Of a set of n elements, in SQL: `least_overlap`, `reach` and `in_common`.
+def _least(n: str, percent: int) -> str:
+    return f"(({percent}L * {n} + 99) div 100)"
+
+
+def _reach(n: str, percent: int) -> str:
+    return f"({n} - {_least(n, percent)} + 1)"
+
+
+def _in_common(n: str, percent: int) -> str:
+    return f"least(greatest(2, 1 + {_reach(n, percent)} div 4), {_least(n, percent)})"
+
+
+# The least form of a signature.
+_WORDS = SIGNATURE // 64
+_MARK = (
+    f"transform(sequence(0, {_WORDS - 1}), i -> aggregate(sequence(i, size(signature) - 1, {_WORDS}), 0L, "
+    "(s, j) -> s ^ signature[j]))"
 )
-_SINGLES = "transform(sequence(0, size(first) - 2), i -> struct(first[i] AS key, i AS pos))"
 
 
-def _lists(classes: DataFrame, keys: str) -> DataFrame:
-    """(key, class, n, pos, size) of the keys that several classes have."""
-    held = classes.filter("first IS NOT NULL").select("class", F.col("n").cast("int").alias("n"), F.explode(F.expr(keys)).alias("k"))
-    keyed = saved(held.select("k.key", "class", "n", "k.pos"), "keyed")
-    test = may_repeat(keyed.select("key"))
-    maybe = saved(keyed.filter(test("key")), "maybe")
-    sizes = saved(maybe.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    return saved(join_hot(maybe, sizes, "key", "size", "inner"), "lists")
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their keys, those whose key another row has."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, at, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        known = np.zeros(len(key), bool)
+        if last:
+            key, at, pos, known = (np.concatenate(both) for both in zip(last, (key, at, pos, known)))
+        same = key[1:] == key[:-1]
+        known[1:] |= same
+        known[:-1] |= same
+        last = tuple(column[-1:] for column in (key, at, pos, known))
+        found = known[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][found]) for c in (key, at, pos)], names=["key", "class", "pos"])
+    if last and last[3][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:3]], names=["key", "class", "pos"])
+
+
+def _held(classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that can link to others; `first` has (pos, key) of the elements that several classes have.
+
+    `pos` is the place of an element in its set's order. A set that links shares as many elements as
+    the smallest set that it can link to asks for.
+    """
+    conf = classes.sparkSession.conf
+    keyed = classes.filter("first IS NOT NULL").select("class", F.posexplode("first").alias("pos", "key"))
+    sorted_ = keyed.select("key", "class", "pos").repartition("key").sortWithinPartitions("key")
+    rows = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NARROW))
+    try:
+        several = saved(sorted_.mapInArrow(_several, "key long, class long, pos int"), "several")
+    finally:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    met = several.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("first"))
+    asked = _in_common(_least("n", percent), percent)
+    among = f"size(filter(first, x -> x.pos < {_reach('n', percent)} + {asked} - 1))"
+    return saved(met.filter("size(first) > 1").join(classes.drop("first"), "class").filter(f"{among} >= {asked}"), "held")
+
+
+# (key, pos) of the first p elements, and of the 2-subsets of the first p + 1; `pos` is of the first of two.
+def _singles(percent: int) -> str:
+    return f"transform(filter(first, x -> x.pos < {_reach('n', percent)}), x -> struct(x.key, x.pos))"
+
+
+def _pairs(percent: int) -> str:
+    few = f"filter(first, x -> x.pos <= {_reach('n', percent)})"
+    return (
+        f"flatten(transform({few}, (x, i) -> transform(filter({few}, y -> y.pos > x.pos), "
+        "y -> struct(xxhash64(x.key, y.key) AS key, x.pos))))"
+    )
 
 
-def _all_lists(classes: DataFrame, light: int | None, percent: int) -> DataFrame:
-    met = _lists(classes, _SINGLES)
-    light = boundary(classes, met, percent) if light is None else light
+def _lists(held: DataFrame, keys: str, rare: bool = False) -> DataFrame:
+    """(key, class, n, pos, size) of the keys that several classes have; `rare` if most keys are of one class."""
+    keyed = held.select("class", F.col("n").cast("int").alias("n"), F.explode(F.expr(keys)).alias("k"))
+    keyed = keyed.select("k.key", "class", "n", "k.pos")
+    if rare:
+        keyed = saved(keyed, "keyed")
+        keyed = keyed.filter(may_repeat(keyed.select("key"))("key"))
+    size = F.count("*").over(Window.partitionBy("key"))
+    return saved(keyed.withColumn("size", size).filter("size > 1"), "lists")
+
+
+def _all_lists(held: DataFrame, light: int | None, percent: int) -> DataFrame:
+    met = _lists(held, _singles(percent))
+    light = boundary(held, met, percent) if light is None else light
     if not light:
         return met
     heavy = met.filter(F.col("n") >= least_overlap(light + 1, percent))
-    return heavy.unionByName(_lists(classes.filter(F.col("n") <= light), _PAIRS))
+    return heavy.unionByName(_lists(held.filter(F.col("n") <= light), _pairs(percent), rare=True))
 
 
 def _fits(x: str, y: str, percent: int) -> str:
@@ -303,35 +386,99 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return grouped.select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _members(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, class, n, pos, mark, root, order) of the longer lists; at first a class is its own root.
+def _members(lists: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, class, n, pos, mark, liked, before, root, next) of the longer lists; at first a class is its own root.
 
-    `order` puts first what is on many lists with many others: the text that the others of a
-    group were made from, where it is there.
+    `liked` puts first what is on many lists with many others: the text that the others of a
+    group were made from, where it is there. `before` has longer lists with a smaller key that the
+    class is on: classes that meet there are compared there. `next` is the first place of the list that
+    the class is still to be compared with.
     """
     long_ = lists.filter(F.col("size") > SHORT)
-    liked = long_.groupBy("class").agg((-F.sum("size")).alias("liked"))
-    met = long_.drop("size").join(liked.join(classes.select("class", "mark"), "class"), "class")
-    order = F.struct("liked", "class").alias("order")
-    return saved(met.select("key", "class", "n", "pos", "mark", F.col("class").alias("root"), order), "members")
-
-
-def _candidates(members: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the lists' first `hubs` members with later ones; where each list then is."""
-    by = Window.partitionBy("key").orderBy("order")
-    first = members.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= hubs)
-    heads = first.groupBy("key").agg(
-        F.collect_list(F.struct("order", "n", "pos", "mark", "root")).alias("hubs"), F.max("order").alias("last")
-    )
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    heads = saved(heads.join(sizes, "key"), "heads")
-    met = join_hot(members, heads, "key", "size", "inner").withColumn("me", F.struct("n", "pos"))
-    differ = "aggregate(zip_with(x.mark, mark, (p, q) -> bit_count(p ^ q)), 0, (s, b) -> s + b)"
-    near = f"100L * (x.n + me.n - {differ}) >= {percent}L * (x.n + me.n + {differ})"
-    fit = f"filter(hubs, x -> x.order < order AND x.root <> root AND {_fits('x', 'me', percent)} AND {near})"
-    pairs = met.select("class", F.explode(F.expr(f"transform({fit}, x -> x.order.class)")).alias("hub"))
-    pairs = pairs.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
-    return pairs, heads.select("key", "last", "size")
+    liked = long_.groupBy("class").agg((-F.sum("size")).alias("liked"), F.collect_set("key").alias("keys"))
+    liked = liked.withColumn("keys", F.slice(F.array_sort("keys"), 1, KNOWN))
+    liked = liked.join(held.select("class", F.expr(_MARK).alias("mark")), "class")
+    met = long_.drop("size").join(liked, "class")
+    met = met.withColumn("before", F.expr("filter(keys, x -> x < key)")).drop("keys")
+    return saved(met.withColumn("root", F.col("class")).withColumn("next", F.lit(0)), "members")
+
+
+def _bits(before: list[np.ndarray]) -> np.ndarray:
+    """Of each member a bit for each of the lists that most of the members have been on before."""
+    flat = np.concatenate(before)
+    lists, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(lists), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(lists))
+    member, bit = np.repeat(np.arange(len(before)), [len(b) for b in before]), rank[at]
+    member, bit = member[bit < TOLD], bit[bit < TOLD]
+    out = np.zeros((len(before), -(-min(max(len(lists), 1), TOLD) // 64)), np.uint64)
+    np.bitwise_or.at(out, (member, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _named(most: int, percent: int):
+    """Of one list: pairs (a, b) that may link (next < 0), and `next` of the classes (a) that are not done."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["liked", "class"])
+        name, n, pos, root = (group[c].to_numpy(np.int64) for c in ("class", "n", "pos", "root"))
+        after, marks = group["next"].to_numpy(np.int64).copy(), np.stack(group["mark"].to_list()).view(np.uint64)
+        bits = _bits(group["before"].to_list())
+        found: list[np.ndarray] = []
+        left: list[np.ndarray] = []
+        for start in range(0, len(name), BLOCK):
+            # Members of this block (rows of the tables) with earlier ones (columns), block by block.
+            at = np.arange(start, min(start + BLOCK, len(name)))
+            at = at[after[at] < at]
+            named = np.zeros(len(at), np.int64)
+            for low in range(0, start + 1, BLOCK):
+                if not len(at):
+                    break
+                to = np.arange(low, min(low + BLOCK, len(name)))
+                x, y = at[:, None], to[None, :]
+                near = (y < x) & (y >= after[x]) & (root[x] != root[y])
+                least, both = np.minimum(n[x], n[y]), n[x] + n[y]
+                same = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+                near &= (100 * least >= percent * (both - least)) & (100 * same >= percent * (both - same))
+                i, j = np.nonzero(near)
+                differ = np.bitwise_count(marks[at[i]] ^ marks[to[j]]).sum(axis=1, dtype=np.int64)
+                sizes = both[i, j]
+                near[i, j] = 100 * (sizes - differ) >= percent * (sizes + differ)
+                # A pair is left to the first list that both are known to be on.
+                i, j = np.nonzero(near)
+                near[i, j] = ~(bits[at[i]] & bits[to[j]]).any(axis=1)
+                place = named[:, None] + np.cumsum(near, axis=1)
+                i, j = np.nonzero(near & (place <= most))
+                found.append(np.stack([name[at[i]], name[to[j]]]))
+                # What has named all that it may goes on after the last of those.
+                full = place[:, -1] >= most
+                on = to[np.argmax(place[full] >= most, axis=1)] + 1
+                left.append(np.stack([name[at[full]], on])[:, on < at[full]])
+                at, named = at[~full], place[~full, -1]
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        class_, on = np.concatenate(left, axis=1) if left else np.empty((2, 0), np.int64)
+        rows = {
+            "a": np.concatenate([np.minimum(a, b), class_]),
+            "b": np.concatenate([np.maximum(a, b), class_]),
+            "next": np.concatenate([np.full(len(a), -1), on]).astype(np.int32),
+        }
+        return pd.DataFrame({"key": group["key"].iloc[0], **rows})
+
+    return run
+
+
+def _still(members: DataFrame, left: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the lists with a class that is not done and that are not all joined; their roots and places."""
+    asked = saved(left.select("key").distinct(), "asked")
+    narrow = members.select("key", "class").join(asked, "key", "left_semi")
+    narrow = narrow.join(left.withColumnRenamed("a", "class"), ["key", "class"], "left")
+    narrow = narrow.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    done = F.lit((1 << 31) - 1)
+    narrow = narrow.select("key", "class", F.coalesce("root", "class").alias("root"), F.coalesce("next", done).alias("next"))
+    narrow = saved(narrow, "places")
+    by = narrow.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = narrow.join(saved(by.filter("low < high").select("key"), "open"), "key", "left_semi")
+    return saved(members.drop("root", "next").join(open_, ["key", "class"]), "members")
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -398,35 +545,56 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _joined(texts: DataFrame, classes: DataFrame, light: int | None, words: int, percent: int) -> DataFrame:
     """(node, root) of all classes that link to another."""
-    lists = _all_lists(classes, light, percent)
-    members = _members(lists, classes)
-    links = texts.sparkSession.createDataFrame([], "child long, parent long")
-    roots = links.toDF("node", "root")
+    held = _held(classes, percent)
+    lists = _all_lists(held, light, percent)
+    members = _members(lists, held)
+    roots = texts.sparkSession.createDataFrame([], "node long, root long")
     pairs = _short_pairs(lists, percent)
-    hubs = iter(HUBS)
-    n_hubs = 1
+    most = iter(HUBS)
+    now = 1
     while True:
-        n_hubs = next(hubs, n_hubs)
-        more, heads = _candidates(members, n_hubs, percent)
-        pairs = saved(more if pairs is None else more.union(pairs).distinct(), "pairs")
-        near, pairs = _may_link(pairs, classes, percent), None
+        now = next(most, now)
+        kind = "key long, a long, b long, next int"
+        met = saved(members.groupBy("key").applyInPandas(_named(now, percent), kind), "named")
+        more = met.filter("next < 0").select("a", "b")
+        pairs = saved((more if pairs is None else more.union(pairs)).distinct(), "pairs")
+        near, pairs = _may_link(pairs, held, percent), None
         if not near.isEmpty():
             asked = saved(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "asked")
-            wanted = saved(classes.join(asked, "class", "left_semi").select("class", "digest", "least"), "wanted")
-            links = links.unionByName(_linked(near, _sets(texts, wanted, words), percent))
-            roots = saved(components(links), "roots")
-        members = join_hot(members, heads, "key", "size", "inner").filter("order > last").drop("last", "size", "root")
-        members = members.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        members = saved(members.withColumn("root", F.coalesce("root", "class")), "members")
-        open_ = members.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")
-        )
-        open_ = saved(open_.filter("low < high").select("key", "size"), "open")
-        members = saved(join_hot(members, open_, "key", "size", "inner").drop("size"), "members")
+            wanted = saved(held.join(asked, "class", "left_semi").select("class", "digest", "least"), "wanted")
+            links = _linked(near, _sets(texts, wanted, words), percent)
+            if not links.isEmpty():
+                # Links of earlier rounds are stars by now.
+                stars = roots.filter("node > root").toDF("child", "parent")
+                roots = saved(components(links.unionByName(stars)), "roots")
+        left = met.filter("next >= 0").select("key", "a", "next")
+        if left.isEmpty():
+            return roots
+        members = _still(members, left, roots)
         if members.isEmpty():
             return roots
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row per distinct set: class, digest, least, size, n, first, signature.
+
+    Only sets that may have copies are shuffled; the others are classes as they are.
+    """
+    held = rows.filter("n > 0").withColumn("hash", F.xxhash64("digest"))
+    test = may_repeat(held.select("hash"))
+    folded = held.filter(test("hash")).groupBy("digest").agg(
+        F.min("doc_id").alias("least"),
+        F.count("*").alias("size"),
+        F.min("row").alias("class"),
+        *[F.any_value(name).alias(name) for name in ("n", "first", "signature")],
+    )
+    folded = saved(folded, "folded")
+    alone = held.filter(~test("hash")).select(
+        "digest", F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("size"), F.col("row").alias("class"), "n", "first", "signature"
+    )
+    return alone.unionByName(folded)
+
+
 def jaccard_components(
     docs: DataFrame,
     words: int = WORDS,
@@ -447,13 +615,9 @@ def jaccard_components(
         raise ValueError("the similarity is a percentage over 50")
     prepare(docs.sparkSession)
     texts = documents(docs, id_col, text_col)
-    rows = saved(describe(texts, words, percent), "described")
-    folded = rows.filter("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("least"),
-        F.count("*").alias("size"),
-        *[F.any_value(name).alias(name) for name in ("n", "first", "signature", "mark")],
-    )
-    classes = saved(folded.withColumn("class", F.monotonically_increasing_id()), "classes")
+    rows = describe(texts, words, percent).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, "described")
+    classes = _classes(rows)
     roots = _joined(texts, classes, light, words, percent).withColumnRenamed("node", "class")
     rooted = classes.select("class", "digest", "least", "size").join(roots, "class", "left")
     rooted = saved(rooted.withColumn("root", F.coalesce("root", "class")), "rooted")

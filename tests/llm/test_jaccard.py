@@ -148,3 +148,66 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[10_000:])), (3, " ".join(words[: len(words) // 2])), (4, "short")]
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def written(monkeypatch):
+    """The tables that are saved from now on, as (label, frame)."""
+    tables, save = [], jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda df, label: (tables.append((label, save(df, label))), tables[-1][1])[1])
+    return tables
+
+
+def test_sets_that_share_too_little_are_on_no_list(spark, monkeypatch):
+    """Each text shares one passage with another one and has nothing else in common with any."""
+    rows = []
+    for i in range(400):
+        own = [f"w{i}x{j}" for j in range(40)]
+        own[20:25] = [f"p{i // 2}y{j}" for j in range(5)]
+        rows.append((i, " ".join(own)))
+    tables = written(monkeypatch)
+    found = got(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == plain(rows)
+    assert [df.count() for label, df in tables if label == "lists"] == [0]
+
+
+def test_near_copies_that_do_not_link_are_compared_in_few_rounds(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(110)], []
+    for i in range(420):
+        words = list(base)
+        for at in draw.integers(0, len(base), 3):
+            words.insert(at, f"x{i}y{at}")
+        rows.append((i, " ".join(words)))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join([*words, "end"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tables = written(monkeypatch)
+    found = got(jaccard.jaccard_components(docs, light=0))
+    assert found == plain(rows)
+    assert 300 < len({r[2] for r in found}) < len(rows)
+    first = next(df for label, df in tables if label == "members")
+    assert first.groupBy("key").count().agg(F.max("count")).first()[0] > 400
+    assert sum(label == "pairs" for label, _ in tables) <= 3
+    # A pair is named by one of its lists, not by each, and so are all of the pairs a bounded number.
+    assert sum(df.count() for label, df in tables if label == "named" and "next" in df.columns) < 3 * len(rows)
+
+
+def test_shared_elements_in_sql_and_plain(spark):
+    for percent in (51, 70, 85, 99):
+        sizes = [n for n in range(1, 3000) if jaccard.can_link(n, percent)]
+        asked = [jaccard.in_common(n, percent) for n in sizes]
+        assert asked == sorted(asked)
+        assert all(2 <= k <= jaccard.least_overlap(n, percent) for n, k in zip(sizes, asked))
+        rows = spark.createDataFrame([(n,) for n in sizes], "n long").selectExpr("n", jaccard._in_common("n", percent)).collect()
+        assert {r[0]: r[1] for r in rows} == dict(zip(sizes, asked))
+
+
+def test_rows_whose_key_another_row_has():
+    import pyarrow as pa
+
+    key = np.repeat([3, 4, 7, 8, 9], [1, 2, 1, 5, 1])
+    for step in range(1, 11):
+        parts = [slice(i, i + step) for i in range(0, 10, step)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[p]) for c in (key, np.arange(10), np.arange(10, dtype=np.int32))], names=["key", "class", "pos"]) for p in parts)
+        out = [x for b in jaccard._several(batches) for x in zip(b["key"].to_pylist(), b["class"].to_pylist())]
+        assert out == [(4, 1), (4, 2), (8, 4), (8, 5), (8, 6), (8, 7), (8, 8)]

@@ -281,3 +281,51 @@ def test_lines_meet_their_heads_and_products_only(spark, sf_dir):
 
     plan = views.event_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan()
     assert joins_with(plan, "l_extendedprice") == 2
+
+
+def test_a_text_is_not_parsed_again_for_a_filter(spark, folder):
+    with open(f"{folder}/a.txt", "w") as out:
+        out.write(event(1))
+    lines = sources.placed(sources.with_file_order(spark.read.text(f"{folder}/a.txt")))
+    found = decode.nested_events(decode.decode(lines))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if "Filter" in line]
+    assert filters and not any("from_json" in line for line in filters)
+    # All parts at once, and where that is not enough as text, then each of the four.
+    assert sum(line.count("from_json(") for line in plan) == 6
+
+
+def test_parts_parsed_at_once_are_as_parsed_one_by_one(spark):
+    def bare(number, field, text):
+        return event(number, **{field: "@"}).replace('"@"', text)
+
+    def decoded(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "n int, value string")
+        rows = decode.decode(df.select("value", F.struct("n").alias("seq"))).orderBy("seq.n")
+        return rows.select("reason", "order", "customer", "customer_fields").collect()
+
+    one = event(1)
+    as_text = json.loads(one)
+    as_text["order"] = json.dumps(as_text["order"])
+    texts = {
+        bare(2, "order__order_status", "NaN"): (None, "NaN"),
+        bare(3, "order__order_status", "1e400"): (None, "Infinity"),
+        bare(4, "order__order_status", "1.50"): (None, "1.5"),
+        bare(5, "order__order_status", "null"): (None, None),
+        bare(6, "order__order_status", '"\\"q\\""'): (None, '"q"'),
+        bare(7, "order__order_status", '{"a": 1.50}'): (None, '{"a":1.5}'),
+        json.dumps(as_text): (None, "completed"),
+        one[:-1] + ',"order":' + json.dumps(json.loads(event(9))["order"]) + "}": (None, "completed"),
+        bare(10, "order__order_status", '"\\ud800"'): (None, "?"),
+        one[:-1]: ("no order", None),
+        "": ("no order", None),
+    }
+    rows = decoded(texts)
+    assert [(r["reason"], r["order"] and r["order"]["order_status"]) for r in rows] == list(texts.values())
+    assert rows[-4]["order"]["order_id"] == "ORD_9"
+    whole = {n: "x" for n in ("email", "city", "country", "segment")} | {"registration_date": "2024-01-01"}
+    given = [{}, {"city": None}, whole, whole | {"city": None}]
+    rows = decoded([event(n, **{f"customer__{k}": v for k, v in c.items()}) for n, c in enumerate(given)])
+    assert [sorted(r["customer_fields"]) for r in rows] == [
+        sorted({"customer_id", "name", "state"} | c.keys()) for c in given
+    ]

@@ -329,3 +329,31 @@ def test_parts_parsed_at_once_are_as_parsed_one_by_one(spark):
     assert [sorted(r["customer_fields"]) for r in rows] == [
         sorted({"customer_id", "name", "state"} | c.keys()) for c in given
     ]
+
+
+def test_parts_that_set_all_fields_are_not_folded_by_field(spark, folder, monkeypatch):
+    folded, fold = [], ingest.fold
+    monkeypatch.setattr(ingest, "fold", lambda rows, key, order: folded.append(key) or fold(rows, key, order))
+    all_set = {f"customer__{n}": "x" for n in ("email", "city", "country", "segment")}
+    all_set |= {"customer__registration_date": "2024-01-01", "product__subcategory": "s"}
+    all_set |= {"product__brand": "b", "product__cost_price": 1.0, "product__list_price": 2.0}
+    store = HotStore(spark, f"{folder}/hot")
+
+    def write(batch_id, lines):
+        batch = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+        ingest.write_star(store, batch.select("value", F.struct(F.col("n").alias("at")).alias("seq")), batch_id)
+        return sorted(rows(store.customers().select("customer_id", "name", "city", "email", "state")))
+
+    assert write(0, [event(n, f"c{n % 2}", **all_set) for n in range(4)]) == [
+        ("c0", "name 2", "x", "x", "Ohio"),
+        ("c1", "name 3", "x", "x", "Ohio"),
+    ]
+    assert folded == []
+    later = [event(5, "c1", **all_set), event(6, "c1", customer__city=None), event(7, "c2", customer__state=...)]
+    assert write(1, [*later, "{"]) == [
+        ("c0", "name 2", "x", "x", "Ohio"),
+        ("c1", "name 6", None, "x", "Ohio"),
+        ("c2", "name 7", None, None, None),
+    ]
+    assert sorted(folded) == ["customer_id", "product_id"]
+    assert store.dead_letters().count() == 1 and store.orders().count() == 7
